@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality, secrets, simhash
+from . import bpe, exact_dedup, html_extract, licenses, packing, pii, quality, secrets, simhash, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -37,6 +37,15 @@ FROM n
 """
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,9 +54,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_packing, op3_exact_dedup, op6_simhash, op7_quality, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_packing, op3_exact_dedup, op4_licenses, op5_toxicity, op6_simhash, op7_quality, op8_html, op9_pii, op10_bpe)}
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL}
