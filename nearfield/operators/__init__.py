@@ -1 +1 @@
-
+"""Nearest-neighbour operators over DataFrames of vectors."""
