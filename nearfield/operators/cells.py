@@ -122,9 +122,32 @@ class CellIndex:
         return out if return_dist else out.drop("distance")
 
     def self_knn(self, k: int = 15, **params) -> DataFrame:
-        """The k nearest of every indexed row, itself included."""
+        """The k nearest of every indexed row, itself included. Methods that can rebuild a row from its code ask with the rebuilt row; estimates without that are re-ranked by the vectors."""
+        if isinstance(self.codec, C.RaBitQ | C.TurboQuant):
+            params.setdefault("rerank", True)
+        if isinstance(self.codec, C.SQ8 | C.PQ | C.BFloat16) and not params.get("rerank"):
+            return self.query(self.rebuilt(), k, **params)
         return self.query(self.vectors, k, **params)
 
+    def rebuilt(self) -> DataFrame:
+        """(id, vec) from the first copy's codes."""
+        router, codec = self.router, self.codec
+
+        def decode(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cell, codes = b.column(0).to_numpy(), matrix(b.column(2))
+                out = np.empty((len(cell), 0))
+                for own in np.unique(cell):
+                    part = np.flatnonzero(cell == own)
+                    x = codec.decode(codes[part], cell_centre(router, codec, own))
+                    out = np.empty((len(cell), x.shape[1])) if not out.size else out
+                    out[part] = x
+                yield pa.RecordBatch.from_arrays([b.column(1), lists(out, pa.float64())], names=["id", "vec"])
+
+        return self.rows.where("cell = home").select("cell", "id", "code").mapInArrow(decode, "id bigint, vec array<double>")
+
     def candidates(self, q: DataFrame, k: int, params: dict) -> DataFrame:
         count = q.count()
         plan = params.pop("plan", None) or ("broadcast" if count * (8 * self.dim + 16 * self.expected_cells(params)) <= BROADCAST_BYTES else "cogroup")
