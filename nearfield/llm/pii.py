@@ -151,23 +151,25 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 def estimate(counts: dict[tuple[int, str], int], rounds: int = 50) -> dict[tuple[int, str], float]:
     """The probability that a candidate with these votes is personal data, from expectation-maximisation over all combinations.
 
-    For each kind and labeler: how often it votes y, n or nothing on true and on false candidates, with a prior that labelers are better than chance.
+    For each kind and labeler: how often it votes y rather than n on true and on false candidates, with a prior that labelers are better than chance.
     """
     out = {}
     for kind in {k for k, _ in counts}:
         keys = [v for k, v in counts if k == kind]
         n = np.array([counts[kind, v] for v in keys], float)
         seen = np.array([["yn-".index(c) for c in v] for v in keys])
-        # votes on true and on false candidates; a check digit says more than the other labelers, and more than the share of candidates that pass it
-        prior = np.array([[3.0, 0.5, 3.0], [0.5, 3.0, 3.0]])[:, None] * np.where(np.arange(seen.shape[1]) == 0, max(40, n.sum()), 4)[:, None]
+        # votes (y, n) on true and on false candidates, of which the first labeler's (check digits, forbidden ranges) hardly err; no vote is no evidence
+        prior = np.repeat(np.array([[3.0, 0.5], [0.5, 3.0]])[:, None] * 4, seen.shape[1], 1)
+        prior[:, 0] = np.array([[6.0, 0.1], [0.1, 6.0]]) * max(10, n.sum())
         belief, rate = prior / prior.sum(2, keepdims=True), 0.5
         for _ in range(rounds):
-            both = np.array([np.log([1 - rate, rate][::-1][t]) + sum(np.log(belief[t, j, seen[:, j]]) for j in range(seen.shape[1])) for t in (0, 1)])
+            sure = np.log(np.concatenate([belief, np.ones((2, seen.shape[1], 1))], 2))
+            both = [np.log(share) + sum(sure[t, j, seen[:, j]] for j in range(seen.shape[1])) for t, share in ((0, rate), (1, 1 - rate))]
             true = 1 / (1 + np.exp(np.clip(both[1] - both[0], -50, 50)))
             rate = float(np.clip((n @ true + 2) / (n.sum() + 4), 0.01, 0.99))
             for t, weight in ((0, n * true), (1, n * (1 - true))):
                 for j in range(seen.shape[1]):
-                    total = prior[t, j] + np.bincount(seen[:, j], weight, 3)
+                    total = prior[t, j] + np.bincount(seen[:, j], weight, 3)[:2]
                     belief[t, j] = total / total.sum()
         out |= {(kind, v): float(p) for v, p in zip(keys, true)}
     return out
