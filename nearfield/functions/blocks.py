@@ -77,6 +77,8 @@ def top(dist: np.ndarray, ids: np.ndarray, k: int, exact=None) -> tuple[np.ndarr
     last = np.partition(dist, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
     room = 1e-7 * np.maximum(1, np.abs(np.where(np.isfinite(last), last, 0)))
     rows, cols = np.nonzero((dist <= (last + room)[:, None]) & np.isfinite(dist))
+    if not len(rows):
+        return rows, ids[:0], np.zeros(0)
     value = exact(rows, cols) if exact else dist[rows, cols]
     order = np.lexsort((ids[cols], value, rows))
     rows, cols, value = rows[order], cols[order], value[order]
