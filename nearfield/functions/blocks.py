@@ -66,20 +66,26 @@ def pairs(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a - b) ** 2).sum(1)
 
 
-def top(dist: np.ndarray, ids: np.ndarray, k: int, exact=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def top(dist: np.ndarray, ids: np.ndarray, k: int, exact=None, bound: np.ndarray | None = None, room: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, id, distance) of the k nearest of each row, by distance and then id; ties at the k-th place are all looked at.
 
-    exact(rows, cols) gives the distances again where those of the block are rounded; infinite ones are left out.
+    exact(rows, cols) gives the distances again where those of the block are rounded by up to ``room``; infinite ones are left out.
+    bound: what a row's k-th distance is already known not to exceed; where all rows have one, nothing has to be selected.
     """
     n, m = dist.shape
     if not n or not m:
         return np.zeros(0, np.int64), ids[:0], np.zeros(0)
-    last = np.partition(dist, min(k, m) - 1, axis=1)[:, min(k, m) - 1]
-    room = 1e-7 * np.maximum(1, np.abs(np.where(np.isfinite(last), last, 0)))
-    rows, cols = np.nonzero((dist <= (last + room)[:, None]) & np.isfinite(dist))
-    if not len(rows):
-        return rows, ids[:0], np.zeros(0)
-    value = exact(rows, cols) if exact else dist[rows, cols]
+    if bound is not None and np.isfinite(bound).all():
+        last = bound
+    else:
+        last = np.partition(dist, min(k, m) - 1, axis=1)[:, min(k, m) - 1].astype(np.float64)
+        last = last if bound is None or m < k else np.minimum(last, bound)
+    slack = 1e-7 * np.maximum(1, np.abs(np.where(np.isfinite(last), last, 0)))
+    slack = slack if room is None else slack + room
+    rows, cols = np.nonzero(dist <= (last + slack)[:, None].astype(dist.dtype))
+    value = (exact(rows, cols) if exact and len(rows) else dist[rows, cols]).astype(np.float64)
+    some = np.isfinite(value) & np.isfinite(dist[rows, cols])
+    rows, cols, value = rows[some], cols[some], value[some]
     order = np.lexsort((ids[cols], value, rows))
     rows, cols, value = rows[order], cols[order], value[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")

@@ -57,7 +57,28 @@ class Raw:
         return np.ascontiguousarray(codes).view(self.dtype).reshape(len(codes), -1)
 
     def score(self, q, codes, centre=None):
-        return distances(self.metric, q, self.decode(codes))
+        """Distances of a block, in 32-bit products where rows have 32 bits; ``room`` bounds their error and ``exact`` mends it."""
+        v = self.decode(codes)
+        if self.dtype != "<f4" or self.metric == "manhattan":
+            return distances(self.metric, q, v)
+        q = np.asarray(q, np.float32)
+        if self.metric == "cosine":
+            out = unit(q) @ unit(v).T
+            return np.subtract(1, out, out=out)
+        out = q @ v.T
+        out *= -2
+        out += (v * v).sum(1)
+        out += (q * q).sum(1)[:, None]
+        return out
+
+    def room(self, q, codes) -> float | None:
+        if self.dtype != "<f4" or self.metric == "manhattan":
+            return None
+        d = q.shape[1] + 8
+        if self.metric == "cosine":
+            return 4 * d * 6e-8
+        v = self.decode(codes)
+        return 4 * d * 6e-8 * float((np.asarray(q) ** 2).sum(1).max() + (v.astype(np.float64) ** 2).sum(1).max())
 
     def exact(self, q, codes):
         return pairs(self.metric, q, self.decode(codes))

@@ -194,16 +194,21 @@ class CellIndex:
         rows = self.rows
         if self.router.cells > 1 and len(looked) <= PUSHED_CELLS and len(looked) < len(self.sizes):
             rows = rows.where(F.col("cell").isin(looked.tolist()))
-        router, codec, copies = self.router, self.codec, self.router.copies
-        spilled = copies == 2 and isinstance(router, R.Spilled)
+        router, codec, copies, total = self.router, self.codec, self.router.copies, self.router.cells
+        spilled = isinstance(router, R.Spilled)
 
         def scan(batches):
             qid, q, who, looked, start = asked.value
-            met = [], [], []
-            held = 0
+            bound, met, held, fresh = np.full(len(q), np.inf), ([], [], []), 0, 0
+            keys = np.sort(who * total + np.repeat(looked, np.diff(start))) if spilled else None
 
             def squeezed():
-                return merge_top(*(np.concatenate(x) for x in met), k, copies > 1)
+                """Keeps k a query of what was met, and learns from full lists what the k-th distance can't exceed."""
+                rows, ids, value = merge_top(*(np.concatenate(x) for x in met), k, copies > 1)
+                ends = np.searchsorted(rows, np.arange(len(q) + 1))
+                full = np.flatnonzero(np.diff(ends) == k)
+                bound[full] = value[ends[full + 1] - 1]
+                return rows, ids, value
 
             for b in batches:
                 if not b.num_rows:
@@ -216,14 +221,15 @@ class CellIndex:
                     if at == len(looked) or looked[at] != cell[part[0]]:
                         continue
                     mine = who[start[at] : start[at + 1]]
-                    for r, i, v in scored(codec, cell_centre(router, codec, cell[part[0]]), q[mine], ids[part], codes[part], k, home[part] if spilled and (home[part] != cell[part]).any() else None, probed(who, looked, start, mine) if spilled else None, cell[part[0]]):
+                    hidden = (home[part], mine * total, keys) if spilled and (home[part] != cell[part]).any() else None
+                    for r, i, v in scored(codec, cell_centre(router, codec, cell[part[0]]), q[mine], ids[part], codes[part], k, hidden, cell[part[0]], bound[mine]):
                         for x, y in zip(met, (mine[r], i, v)):
                             x.append(y)
-                        held += len(v)
-                if held > 2_000_000:
+                        fresh += len(v)
+                if fresh > max(held, 4 * len(q)):
                     kept = squeezed()
-                    met, held = tuple([x] for x in kept), len(kept[0])
-            if held:
+                    met, held, fresh = tuple([x] for x in kept), len(kept[0]), 0
+            if held + fresh:
                 who_found, ids, value = squeezed()
                 for i in range(0, len(ids), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(qid[who_found[i : i + 50_000]], pa.int64()), pa.array(ids[i : i + 50_000], pa.int64()), pa.array(value[i : i + 50_000], pa.float64())], names=["qid", "id", "distance"])
@@ -249,8 +255,12 @@ class CellIndex:
                 return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
             qid, q = left.column("qid").to_numpy(), np.asarray(matrix(left.column("vec")))
             cell, home, ids, codes = right.column("cell")[0].as_py(), right.column("home").to_numpy(), right.column("id").to_numpy(), matrix(right.column("code"))
-            own = {(i, c) for i, cs in enumerate(left.column("cells").to_pylist()) for c in cs} if spilled else None
-            out = [(qid[r], i, v) for r, i, v in scored(codec, cell_centre(router, codec, cell), q, ids, codes, k, home if spilled and (home != cell).any() else None, own, cell)]
+            hidden = None
+            if spilled and (home != cell).any():
+                listed = left.column("cells").combine_chunks()
+                n = np.arange(len(qid)) * router.cells
+                hidden = home, n, np.sort(np.repeat(n, listed.value_lengths().to_numpy()) + listed.flatten().to_numpy())
+            out = [(qid[r], i, v) for r, i, v in scored(codec, cell_centre(router, codec, cell), q, ids, codes, k, hidden, cell)]
             a, b, c = (np.concatenate(x) for x in zip(*out))
             return pa.table({"qid": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "distance": pa.array(c, pa.float64())})
 
@@ -295,29 +305,23 @@ def cell_centre(router, codec, cell):
     return C.unit(router.table)[cell] if router.metric == "cosine" else router.table[cell]
 
 
-def probed(who, looked, start, mine):
-    """(place in mine, cell) pairs of the queries' own cells."""
-    out = set()
-    place = {w: i for i, w in enumerate(mine.tolist())}
-    for at, cell in enumerate(looked.tolist()):
-        for w in who[start[at] : start[at + 1]].tolist():
-            if w in place:
-                out.add((place[w], cell))
-    return out
-
+def scored(codec, centre, q, ids, codes, k, hidden=None, cell=None, bound=None):
+    """(row of q, id, score) of the k nearest in a block of codes.
 
-def scored(codec, centre, q, ids, codes, k, home=None, own=None, cell=None):
-    """(row of q, id, score) of the k nearest in a block of codes. home and own: a second copy is left out for queries that look at its first cell."""
+    hidden: (first cells of the rows, each query's number times the cells, sorted sums of that and a cell looked at); second copies are left out for queries that look at the first.
+    """
     step = max(1, 4_000_000 // max(1, len(codes)))
+    raw = isinstance(codec, C.Raw)
     for i in range(0, len(q), step):
         part = q[i : i + step]
         dist = codec.score(part, codes, centre)
-        if home is not None:
-            dist = np.array(dist, np.float64)
-            for c in np.unique(home[home != cell]).tolist():
-                seen = [r for r in range(len(part)) if (i + r, c) in own]
-                if seen:
-                    dist[np.ix_(seen, np.flatnonzero(home == c))] = np.inf
-        exact = (lambda r, c, part=part: codec.exact(part[r], codes[c])) if isinstance(codec, C.Raw) else None
-        r, found, value = top(np.asarray(dist, np.float64), ids, k, exact)
+        if hidden is not None:
+            home, number, keys = hidden
+            firsts, which = np.unique(home, return_inverse=True)
+            want = number[i : i + step, None] + firsts[None]
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            seen = (keys[at] == want) & (firsts != cell)[None]
+            dist = np.where(seen[:, which], np.inf, dist)
+        exact = (lambda r, c, part=part: codec.exact(part[r], codes[c])) if raw else None
+        r, found, value = top(dist, ids, k, exact, None if bound is None else bound[i : i + step], codec.room(part, codes) if raw else None)
         yield r + i, found, value
