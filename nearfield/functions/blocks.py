@@ -82,7 +82,7 @@ def top(dist: np.ndarray, ids: np.ndarray, k: int, exact=None, bound: np.ndarray
         last = last if bound is None or m < k else np.minimum(last, bound)
     slack = 1e-7 * np.maximum(1, np.abs(np.where(np.isfinite(last), last, 0)))
     slack = slack if room is None else slack + room
-    rows, cols = np.nonzero(dist <= (last + slack)[:, None].astype(dist.dtype))
+    rows, cols = np.divmod(np.flatnonzero(dist <= (last + slack)[:, None].astype(dist.dtype)), m)
     value = (exact(rows, cols) if exact and len(rows) else dist[rows, cols]).astype(np.float64)
     some = np.isfinite(value) & np.isfinite(dist[rows, cols])
     rows, cols, value = rows[some], cols[some], value[some]

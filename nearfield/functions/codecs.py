@@ -71,14 +71,17 @@ class Raw:
         out += (q * q).sum(1)[:, None]
         return out
 
-    def room(self, q, codes) -> float | None:
+    def partial(self, q, codes):
+        """(block, offsets, room): distances less an offset for each query, from one product of 32-bit rows; None for room where they are in doubles."""
+        v = self.decode(codes)
         if self.dtype != "<f4" or self.metric == "manhattan":
-            return None
-        d = q.shape[1] + 8
+            return distances(self.metric, q, v), np.zeros(len(q)), None
+        error = 4 * (v.shape[1] + 8) * 6e-8
         if self.metric == "cosine":
-            return 4 * d * 6e-8
-        v = self.decode(codes)
-        return 4 * d * 6e-8 * float((np.asarray(q) ** 2).sum(1).max() + (v.astype(np.float64) ** 2).sum(1).max())
+            return -unit(q).astype(np.float32) @ unit(v).T, np.ones(len(q)), error
+        norms, own = (v * v).sum(1), (np.asarray(q, np.float64) ** 2).sum(1)
+        wide = np.concatenate([-2 * np.asarray(q, np.float32), np.ones((len(q), 1), np.float32)], 1)
+        return wide @ np.concatenate([v, norms[:, None]], 1).T, own, error * float(own.max() + norms.max())
 
     def exact(self, q, codes):
         return pairs(self.metric, q, self.decode(codes))

@@ -313,8 +313,11 @@ def scored(codec, centre, q, ids, codes, k, hidden=None, cell=None, bound=None):
     step = max(1, 4_000_000 // max(1, len(codes)))
     raw = isinstance(codec, C.Raw)
     for i in range(0, len(q), step):
-        part = q[i : i + step]
-        dist = codec.score(part, codes, centre)
+        part, offset, room = q[i : i + step], None, None
+        if raw:
+            dist, offset, room = codec.partial(part, codes)
+        else:
+            dist = codec.score(part, codes, centre)
         if hidden is not None:
             home, number, keys = hidden
             firsts, which = np.unique(home, return_inverse=True)
@@ -323,5 +326,6 @@ def scored(codec, centre, q, ids, codes, k, hidden=None, cell=None, bound=None):
             seen = (keys[at] == want) & (firsts != cell)[None]
             dist = np.where(seen[:, which], np.inf, dist)
         exact = (lambda r, c, part=part: codec.exact(part[r], codes[c])) if raw else None
-        r, found, value = top(dist, ids, k, exact, None if bound is None else bound[i : i + step], codec.room(part, codes) if raw else None)
+        limit = None if bound is None else bound[i : i + step] - (0 if offset is None else offset)
+        r, found, value = top(dist, ids, k, exact, limit, room)
         yield r + i, found, value
