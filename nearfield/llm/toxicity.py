@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pass_id
+from .common import arrow_map, cut, pass_id
 
 FOLDS = 5
 #: The most labelled rows that the classifier is fitted on.
@@ -38,6 +38,8 @@ HASH_BITS = 20
 PENALTY, RIDGE, STEPS = 2.0, 1e-4, 150
 #: Standard errors by which a feature's counts must differ between classes.
 LEAST_DIFFERENCE = 3.5
+#: Texts that a feature must stand in.
+LEAST_TEXTS = 3
 MARKS = ".,;:!?\"'()[]{}«»¿¡…-–—*#$%&|<>_~`"
 CACHE_WORDS = 500_000
 
@@ -105,25 +107,29 @@ class Model:
         self.weights, self.bias = weights, bias
 
 
-def fit(toxic: np.ndarray, lists: list[np.ndarray], pairs: list[tuple[str, str]]) -> Model:
-    """Logistic loss plus PENALTY times the mean squared difference of counterfactual scores, by full-batch Adagrad."""
+def telling(feature: np.ndarray, pos: np.ndarray, neg: np.ndarray, bad: int, n: int) -> np.ndarray:
+    """The features whose counts (in toxic and other texts) differ by more than chance."""
+    rate = (pos + neg) / n
+    z = (pos / bad - neg / (n - bad)) / np.sqrt(rate * (1 - rate) * (1 / bad + 1 / (n - bad)) + 1e-12)
+    return np.sort(feature[(np.abs(z) >= min(LEAST_DIFFERENCE, math.sqrt(bad) / 2)) & (pos + neg >= LEAST_TEXTS)])
+
+
+def fit(toxic: np.ndarray, lists: list[np.ndarray], pairs: list[tuple[str, str]], used: np.ndarray | None = None) -> Model:
+    """Logistic loss plus PENALTY times the mean squared difference of counterfactual scores, by full-batch Adagrad. used: the features to learn; chosen here where None."""
     size = 1 << HASH_BITS
     weights, n, bad = np.zeros(size, np.float32), len(toxic), int(toxic.sum())
     if not bad or bad == n:
         share = min(max(bad / n if n else 0.0, 1e-6), 1 - 1e-6)
         return Model(weights, math.log(share / (1 - share)))
-    at = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    at = np.concatenate(lists)
     doc = np.repeat(np.arange(n), [len(x) for x in lists])
-    once = np.unique(doc.astype(np.int64) << HASH_BITS | at)  # a document counts once for each feature
-    of, own = once & size - 1, toxic[once >> HASH_BITS]
-    pos, neg = np.bincount(of, own, size), np.bincount(of, 1 - own, size)
-    rate = (pos + neg) / n
-    z = (pos / bad - neg / (n - bad)) / np.sqrt(rate * (1 - rate) * (1 / bad + 1 / (n - bad)) + 1e-12)
-    pair_list = pairs + [(a, b) for terms in IDENTITIES for a, b in zip(terms, terms[1:] + terms[:1])]
-    keep = (np.abs(z) >= min(LEAST_DIFFERENCE, math.sqrt(bad) / 2)) & (pos + neg >= 3)
-    used = np.flatnonzero(keep)
+    if used is None:
+        once = np.unique(doc.astype(np.int64) << HASH_BITS | at)  # a document counts once for each feature
+        of, own = once & size - 1, toxic[once >> HASH_BITS]
+        used = telling(np.arange(size), np.bincount(of, own, size), np.bincount(of, 1 - own, size), bad, n)
     if not len(used):
         return Model(weights, math.log(bad / (n - bad)))
+    pair_list = pairs + [(a, b) for terms in IDENTITIES for a, b in zip(terms, terms[1:] + terms[:1])]
     number = np.full(size, -1, np.int64)
     number[used] = np.arange(len(used))
     col = number[at]
@@ -155,11 +161,25 @@ def fit(toxic: np.ndarray, lists: list[np.ndarray], pairs: list[tuple[str, str]]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    table = training_rows(docs, labels, id_col, text_col).toArrow()
-    swapped = [s for s in table.column("swaps").to_pylist() if s]
-    pairs = [(a, b) for s in swapped for a, b in zip(s[::2], s[1::2])]
+    """Features are counted and chosen on the executors; the driver gets the chosen ones of each labelled row."""
+    rows = cut(training_rows(docs, labels, id_col, text_col))
+    n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not bad or bad == n:
+        return fit(np.r_[np.ones(bad), np.zeros(n - bad)], [], [])
+    counts = rows.select("toxic", F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("pos"), F.count("*").alias("all"))
+    table = counts.where(F.col("all") >= LEAST_TEXTS).toArrow()  # at most 2^HASH_BITS rows of three numbers
+    feature, pos, every = (table.column(c).to_numpy().astype(np.int64) for c in ("feature", "pos", "all"))
+    used = telling(feature, pos, every - pos, bad, n)
+
+    def chosen(values):
+        for toxic, found, swapped in values:
+            found = np.array(found, np.int64)
+            yield toxic, found[np.isin(found, used)].tolist(), swapped
+
+    table = arrow_map(rows, ["toxic", "features", "swaps"], chosen, ["toxic int", "features array<int>", "swaps array<string>"]).toArrow()
+    pairs = [(a, b) for s in table.column("swaps").to_pylist() for a, b in zip(s[::2], s[1::2])]
     lists = [np.asarray(x.values, np.int64) for x in table.column("features")]
-    return fit(table.column("toxic").to_numpy().astype(float), lists, pairs)
+    return fit(table.column("toxic").to_numpy().astype(float), lists, pairs, used)
 
 
 class Scorer:
