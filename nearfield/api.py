@@ -14,6 +14,7 @@ from .functions.vectors import parse_metric
 from .operators import routers as R
 from .operators.cells import CellIndex
 from .operators.graphs import GraphIndex, clustered_knn_graph
+from .operators.kmeans import assign, train_centroids  # noqa: F401 - part of the API
 from .operators.kmknn import KMkNN
 from .sources import persist
 

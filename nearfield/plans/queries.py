@@ -14,7 +14,7 @@ from .. import api
 from ..functions import codecs as C
 from ..functions import vectors as V
 from ..functions.blocks import matrix
-from ..operators import evaluate, graphs
+from ..operators import evaluate, graphs, kmeans
 from ..operators import routers as R
 from ..operators.cells import CellIndex
 from ..operators.topk import top_k
@@ -108,19 +108,14 @@ def centroid_by_label(spark, sf_dir):
 
 
 def _assigned(spark, sf_dir, m):
-    import pyarrow as pa
-
-    e = base(spark, sf_dir).select("id", "vec")
-    router = by_label(base(spark, sf_dir))
-    router.fit(None, 0, "euclidean")
+    e = base(spark, sf_dir)
+    return kmeans.assign(e, means(e), top=m)
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                row, cell, rank = router.assign_top(np.asarray(matrix(b.column(1)), np.float64), m)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(rank + 1), pa.array(cell)], names=["id", "rk", "cell"])
 
-    return e.mapInArrow(run, "id bigint, rk bigint, cell bigint")
+def kmeans_cells(spark, sf_dir):
+    """Cells of centroids trained on all rows, ten of them."""
+    e = base(spark, sf_dir)
+    return kmeans.assign(e, kmeans.train_centroids(e, 10)).groupBy("cell").agg(F.count("*").alias("n"))
 
 
 def assign_nearest_centroid(spark, sf_dir):
@@ -391,7 +386,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flat_l2, flat_cosine, flat_manhattan, flat_l2_external, flat_l2_cogroup, flat_canberra, knn_self_graph, norms, pairwise_metrics, centroid_by_label,
-        assign_nearest_centroid, assign_top_m, cell_stats, ivf_probe, ivf_probe_cogroup, ivf_full_probe, ivf_default, kmknn, soar_nearest, soar_shifted, soar_orthogonal,
+        assign_nearest_centroid, assign_top_m, kmeans_cells, cell_stats, ivf_probe, ivf_probe_cogroup, ivf_full_probe, ivf_default, kmknn, soar_nearest, soar_shifted, soar_orthogonal,
         soar_full_probe, soar_default, sq8_flat_l2, sq8_flat_cosine, sign_hamming, sign_asymmetric, hamming_columns, rerank_exact, reverse_edges, graph_merge_topk,
         graph_two_hop, graph_refine, recall_at_k, mean_distance_ratio, synthetic_sources, saved_and_loaded, events_profile, knn_graph, nsg_from_knn, nndescent_edges,
     )

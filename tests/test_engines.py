@@ -110,6 +110,16 @@ def test_probe_rule_grows_until_k_rows():
     assert keep.tolist() == [[True, True, False], [True, False, False]]
 
 
+def test_kmeans_over_the_table_is_a_fixed_point(base):
+    c = api.train_centroids(base, 6)
+    x = np.array([r.vec for r in base.collect()], float)
+    own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    assert np.allclose(c, [x[own == i].mean(0) for i in range(6)], atol=1e-3)
+    assert api.assign(base, c, top=2).count() == 2 * N
+    with pytest.raises(ValueError):
+        api.train_centroids(base, N + 1)
+
+
 def test_second_cell_is_another_one():
     x = np.random.default_rng(0).standard_normal((200, 8))
     table = R.kmeans(x, 7)
