@@ -223,10 +223,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links, root being the smallest node reachable; alternating large and small stars."""
     edges, before = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
+        # minima are written before the joins: then either side of a join is a shuffle of its own, and the partition of a row with very many links is split
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -252,9 +253,10 @@ def classes(table: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     member = F.struct(F.col("id").isNull().alias("absent"), "id", "row")
     distinct = cut(table.groupBy("fp").agg(F.min(member).alias("first")))
     roots = components(near_links(distinct, threshold))
-    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of_root = known.groupBy("root").agg(F.min("first").alias("first"))
-    return known.select("fp", "root").join(of_root, "root").select("fp", "first")
+    members = cut(roots.select(F.col("node").alias("fp"), "root").join(distinct, "fp"))
+    of_root = cut(members.groupBy("root").agg(F.min("first").alias("least")))
+    named = members.select("fp", "root").join(of_root, "root").select("fp", "least")
+    return cut(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
