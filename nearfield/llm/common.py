@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows in one Arrow batch of whole texts; texts may have a million characters each.
-TEXT_BATCH_ROWS = 512
+#: Rows of an Arrow batch that are Python objects at a time. Spark holds batches to spark.sql.execution.arrow.maxBytesPerBatch.
+TEXT_ROWS = 512
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Holds the session's Arrow batches to a row count that bounds a worker's memory for long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def slices(batches):
+    """The batches in pieces of at most TEXT_ROWS rows; pieces share the batch's memory."""
+    for b in batches:
+        for i in range(0, b.num_rows, TEXT_ROWS):
+            yield b.slice(i, TEXT_ROWS)
 
 
 def pass_id(frame: DataFrame, id_col: str) -> str:
@@ -32,14 +32,13 @@ def schema_of(fields: list[str]) -> T.StructType:
 
 
 def arrow_map(frame: DataFrame, cols: list[str], rows: Callable[[Iterable[tuple]], Iterator[tuple]], fields: list[str], out_rows: int = 4096) -> DataFrame:
-    """``rows`` gets the chosen columns' values as tuples, a partition at a time, and yields result tuples; memory is a batch in and a batch out."""
+    """``rows`` gets the chosen columns' values as tuples, a partition at a time, and yields result tuples; memory is a batch in, a slice of it as Python objects, and a batch out."""
     schema = schema_of(fields)
     arrow = to_arrow_schema(schema)
-    text_batches(frame.sparkSession)
 
     def run(batches):
         def values():
-            for b in batches:
+            for b in slices(batches):
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
         def made(chunk):
@@ -59,15 +58,13 @@ def arrow_map(frame: DataFrame, cols: list[str], rows: Callable[[Iterable[tuple]
 
 def arrow_filter(frame: DataFrame, text_col: str, keep: Callable[[list], list[bool]]) -> DataFrame:
     """Rows whose text ``keep`` accepts, with all their columns as they were."""
-    text_batches(frame.sparkSession)
     place = frame.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                out = b.filter(pa.array(keep(b.column(place).to_pylist()), pa.bool_()))
-                if out.num_rows:
-                    yield out
+        for b in slices(batches):
+            out = b.filter(pa.array(keep(b.column(place).to_pylist()), pa.bool_()))
+            if out.num_rows:
+                yield out
 
     return frame.mapInArrow(run, frame.schema)
 
