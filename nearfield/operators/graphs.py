@@ -424,6 +424,7 @@ class GraphIndex:
     def __init__(self, kind, metric, shards, vectors, n, dim, element, params):
         self.kind, self.metric, self.shards, self.vectors, self.n, self.dim, self.element, self.params = kind, metric, shards, vectors, n, dim, element, params
         self.distance_kind = {"euclidean": "squared_l2", "cosine": "one_minus_cosine", "manhattan": "l1"}[metric]
+        self.shard_count = max(1, shards.count())
 
     @classmethod
     def build(cls, base: DataFrame, kind: str, metric: str = "euclidean", id_col: str = "id", vec_col: str = "vec", seed: int = 42, shard_rows: int = SHARD_ROWS, **params) -> GraphIndex:
@@ -486,7 +487,8 @@ class GraphIndex:
             return spark.createDataFrame([], "qid bigint, id bigint, distance double")
         asked = spark.sparkContext.broadcast((table.column("id").to_numpy(), np.asarray(matrix(table.column("vec")), np.float64)))
         metric = self.metric
-        slices = max(1, min(8, spark.sparkContext.defaultParallelism, len(asked.value[0]) // 64))
+        # few shards: each is read by several tasks with a share of the queries; many shards are searched where they lie
+        slices = max(1, min(8, spark.sparkContext.defaultParallelism // self.shard_count, len(asked.value[0]) // 64))
 
         def search(batches):
             qid, q = asked.value
@@ -510,7 +512,8 @@ class GraphIndex:
                         yield pa.RecordBatch.from_arrays([pa.array(qid[a], pa.int64()), pa.array(ids, pa.int64()), pa.array(np.maximum(far, 0), pa.float64())], names=["qid", "id", "distance"])
 
         pieces = self.shards.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("piece"), "payload")
-        return pieces.repartition(max(1, slices * min(64, -(-self.n // SHARD_ROWS)))).mapInArrow(search, "qid bigint, id bigint, distance double")
+        pieces = pieces.repartition(slices * self.shard_count) if slices > 1 else pieces
+        return pieces.mapInArrow(search, "qid bigint, id bigint, distance double")
 
     def self_knn(self, k: int = 15, **params) -> DataFrame:
         return self.query(self.vectors, k, **params)
