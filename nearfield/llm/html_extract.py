@@ -51,6 +51,8 @@ DROPPED = frozenset("head script style noscript template nav aside footer form b
 SAYS_SO = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar complementary footer contentinfo masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies share sharing social related recommended widget toolbar pagination pager skip copyright disclaimer search searchbox".split()
 )
+#: Beginnings of compound names (commentlist, sidebarleft) that say so as well.
+SAYS_SO_FROM = ("comment", "advert", "sidebar", "cookie", "newsletter", "promo", "sponsor", "breadcrumb", "navbar", "navigation", "subscri", "popup", "relatedpost", "sharethis", "footer")
 HEADER_WORDS = frozenset(("header", "topbar", "masthead", "banner", "nav", "navbar"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([A-Za-z][^\s/>]*)[^>]*>|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
@@ -240,7 +242,7 @@ def says_so(node: Node, inside: bool) -> bool:
         return False
     if not inside and not HEADER_WORDS.isdisjoint(words):
         return not holds(node, ("article", "main"))
-    return not SAYS_SO.isdisjoint(words) and not holds(node, ("article", "main", "h1"))
+    return (not SAYS_SO.isdisjoint(words) or any(w.startswith(SAYS_SO_FROM) for w in words)) and not holds(node, ("article", "main", "h1"))
 
 
 def blocks(root: Node, top: Slot) -> list[Block]:

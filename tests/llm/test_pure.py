@@ -214,6 +214,7 @@ def test_html_blocks():
     text = lambda h: html_extract.main_text(html_extract.page_blocks(h, html_extract.skeleton(h), "h"), set())
     assert text(PAGE) == "T <x>\n\nOne two three\n\nFour\n\na\n\nb"
     assert text("<body><nav>m</nav><article><h1>H</h1><p>p<div class=share>s</div></article><p>after") == "H\n\np"
+    assert text("<div id=content><p>a</p><ol class='commentlist x'><li>b</ol><div class=SidebarLeft>c</div><div class=adverbs>d</div></div>") == "a\n\nd"
     assert text("plain < text & <b>bold</b>") == "plain < text & bold" and text(None) == "" and text("") == ""
 
 
