@@ -193,3 +193,11 @@ def test_every_engine_has_its_query_names():
     for name in api.ENGINES:
         query = f"query_{name}" if "_index" in name else f"query_{name}_index"
         assert callable(getattr(api, query)) and callable(getattr(api, f"query_{name}_self"))
+
+
+def test_a_scan_is_told_which_cells_to_read(spark, base):
+    index = api.build_ivf_index(base, 40)
+    found = index.query(base.where("id = 3"), 5, nprobe=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(cell" in plan or "PushedFilters: [Or(" in plan or "EqualTo(cell" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
