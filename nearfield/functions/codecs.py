@@ -26,8 +26,7 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 25, seed: int = 42) -> np.ndarray
         dist = distances("euclidean", x, c)
         own = dist.argmin(1)
         count = np.bincount(own, minlength=len(c))
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
+        sums = np.stack([np.bincount(own, x[:, j], len(c)) for j in range(x.shape[1])], 1)
         new = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
         empty = np.flatnonzero(count == 0)
         if len(empty):

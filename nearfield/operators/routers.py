@@ -52,25 +52,32 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 30, seed: int = 42, balance: boo
     if k > len(x):
         raise ValueError(f"{k} centroids of {len(x)} rows")
     x, rng = np.asarray(x, np.float64), np.random.default_rng(seed)
-    c = seeds(x, k, rng).astype(np.float64)
+    c, near = seeds(x, k, rng).astype(np.float64), x.astype(np.float32)
+    still = 1e-4 * np.sqrt(x.var(0).sum()) + 1e-12  # centroids that move less than this no longer change cells to speak of
     for i in range(rounds):
-        dist = distances("euclidean", x, c)
-        own = dist.argmin(1)
+        own = nearest_cell(near, c)
         count = np.bincount(own, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
+        sums = np.stack([np.bincount(own, x[:, j], k) for j in range(x.shape[1])], 1)
         new = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
         small = np.flatnonzero(count < (threshold * len(x) / k if balance and i < rounds - 5 else 1))
         if len(small):
             donors = rng.choice(len(x), len(small), p=count[own] / count[own].sum())
             weight = np.minimum(count[small], pull)[:, None] if balance else np.zeros((len(small), 1))
             new[small] = (weight * new[small] + x[donors]) / (weight + 1)
-        if np.allclose(new, c, atol=1e-9):
-            break
+        moved = np.sqrt(((new - c) ** 2).sum(1)).max()
         c = new
+        if moved <= still:
+            break
     return c
 
 
+def nearest_cell(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each 32-bit row, in blocks; a row's own norm doesn't matter for that."""
+    wide, norms = (-2 * c.T).astype(np.float32), (c * c).sum(1).astype(np.float32)
+    step = max(1, 4_000_000 // len(c))
+    return np.concatenate([(x[i : i + step] @ wide + norms).argmin(1) for i in range(0, len(x), step)])
+
+
 def probe_rule(order: np.ndarray, sizes: np.ndarray, nprobe: int, k: int) -> np.ndarray:
     """Which of each query's cells, nearest first, are looked at: ``nprobe``, and more until they hold k rows."""
     before = np.cumsum(sizes[order], axis=1) - sizes[order]
