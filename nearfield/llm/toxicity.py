@@ -37,7 +37,7 @@ MOST_LABELLED = 12_000
 HASH_BITS = 20
 PENALTY, RIDGE, STEPS = 2.0, 1e-4, 150
 #: Standard errors by which a feature's counts must differ between classes.
-LEAST_DIFFERENCE = 3.5
+LEAST_DIFFERENCE = 3.0
 #: Texts that a feature must stand in.
 LEAST_TEXTS = 3
 MARKS = ".,;:!?\"'()[]{}«»¿¡…-–—*#$%&|<>_~`"
