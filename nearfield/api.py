@@ -168,7 +168,8 @@ build_nsg_from_gpu_knn = build_nsg_from_knn_index
 
 
 def extract_nndescent_knn(index: GraphIndex, return_dist: bool = True) -> DataFrame:
-    graph = index.graph()
+    """The kNN graph (src, dst, distance) of all indexed rows, across shards."""
+    graph = index.knn_lists()
     return graph if return_dist else graph.drop("distance")
 
 

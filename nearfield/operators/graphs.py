@@ -410,6 +410,8 @@ def two_hop(metric, x, graph):
 BUILDERS = {"nndescent": build_nndescent, "hnsw": build_hnsw, "vamana": build_vamana, "nsg": build_nsg, "rnn_descent": build_rnn, "cagra": build_detour}
 #: Beam width where none is given, for k.
 DEFAULT_EF = {"nndescent": lambda k: min(max(2 * k, 50), 200), "hnsw": lambda k: 100, "vamana": lambda k: 75, "nsg": lambda k: 100, "rnn_descent": lambda k: 100, "cagra": lambda k: max(64, 2 * k)}
+#: Neighbours in the kNN lists of methods that keep them, for the parameters.
+KNN_WIDTH = {"nndescent": lambda p: p.get("k", 30), "cagra": lambda p: p.get("degree", 32) * 3 // 2}
 
 
 def descend(metric, q, x, arrays) -> np.ndarray:
@@ -536,6 +538,15 @@ class GraphIndex:
 
         return self.shards.select("payload").mapInArrow(edges, "src bigint, dst bigint, distance double")
 
+    def knn_lists(self) -> DataFrame:
+        """The kNN graph (src, dst, distance) of all rows. The lists that a shard keeps know its own rows only, so with several shards every row is
+        searched in all of them, and the k nearest of what was found and of the shards' lists stay; pruned lists are filled up again by this."""
+        if self.shard_count == 1 or self.kind not in KNN_WIDTH:
+            return self.graph()
+        k = KNN_WIDTH[self.kind](self.params)
+        found = self.self_knn(k + 1).where("qid <> id").select(F.col("qid").alias("src"), F.col("id").alias("dst"), "distance")
+        return merge_graphs(self.graph(), found, k).drop("rk")
+
     def converged(self) -> bool:
         """Whether NN-Descent stopped by itself in every shard."""
 

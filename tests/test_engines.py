@@ -137,6 +137,18 @@ def test_shards_and_metrics_of_graphs(base):
     assert evaluate.validate(api.build_nndescent_index(base, metric="manhattan"), K)[0] > 0.9
 
 
+@pytest.mark.parametrize("build", [api.build_nndescent_index, api.build_nndescent_index_gpu])
+def test_extracted_lists_cross_shards(base, truth, build):
+    index = build(base, k=K + 2, shard_rows=100)
+    assert index.shard_count == 4
+    p = api.extract_nndescent_knn(index).toPandas()
+    width = K + 2 if build is api.build_nndescent_index else (K + 2) * 3 // 2
+    assert not p.duplicated(["src", "dst"]).any() and (p.src != p.dst).all() and (p.groupby("src").size() == width).all() and p.src.nunique() == N
+    found = set(zip(p.src, p.dst))
+    recall = np.mean([(q, i) in found for q in range(N) for i in truth[q, 1:]])
+    assert recall > 0.95
+
+
 def test_knn_graph_merge_and_refine(base, truth):
     g = api.build_knn_graph(base, k=K, cells=4)
     p = g.toPandas()
