@@ -6,8 +6,8 @@ pivot's by simple tree matching (the largest top-down match that keeps the
 order of siblings), so that blocks of text on different pages fall into the same
 slot. A block that stands in the same slot with the same text on nearly all of
 a host's different pages (``CONSTANT``, ``LEAST_PAGES`` at least) belongs to the
-template; what varies is content. Copies of a page count once, so a host full of
-copies doesn't make its articles a template.
+template; what varies is content. Copies of a page, which have the same set of
+block texts, count once, so a host full of copies doesn't make its articles a template.
 
 From the content go the parts whose element says what they are: navigation,
 headers and footers of the page, asides, forms, scripts, styles, and elements
@@ -331,7 +331,7 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             found = page_blocks(html, pivot, host)
             if not found:
                 continue
-            content = xxhash.xxh64_intdigest("\0".join(sorted({t for _, t, _, _ in found}, key=len)[-3:]).encode("utf-8", "replace")) - (1 << 63)
+            content = xxhash.xxh64_intdigest("\0".join(sorted({t for _, t, _, _ in found})).encode("utf-8", "replace")) - (1 << 63)
             yield host, None, content
             for key in {f[0] for f in found}:
                 yield host, key, content

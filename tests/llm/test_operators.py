@@ -98,6 +98,13 @@ def test_whole_pages_and_templates(spark):
         html_extract.BROADCAST_HOSTS = dealt
 
 
+def test_templates_of_hosts_with_long_notices_and_short_items(spark):
+    notices = [f"{name} that is much longer than any item of this host and is the same on all of its pages" for name in ("Legal words", "A text on data", "The closing words")]
+    page = "<html><body><div>{0}</div>" + "".join(f"<div>{n}</div>" for n in notices) + "</body></html>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(f"Item {i}.")) for i in range(8)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {i: f"Item {i}." for i in range(8)}
+
+
 def test_pii_spans_beyond_the_patterns(spark):
     d = spark.createDataFrame([(i, f"Contact: Mary Jones, ssn {100 + i}-45-6789, mail m{i}@x.org") for i in range(30)] + [(99, "nothing here at all")], "doc_id bigint, text string")
     got = {r.doc_id: r.spans for r in pii.find_personal_data(d).collect()}
