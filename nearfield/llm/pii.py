@@ -9,7 +9,10 @@ of a page or a longer number). The corpus is read once; what is learned from are
 counts of each combination of votes over all of it. Expectation-maximisation estimates
 each labeler's reliability for each kind (a model with a hidden true label), and
 a logistic regression on votes and kind is trained with the resulting soft
-labels. A candidate with a score of 0.5 or more is a span.
+labels. A candidate with a score of 0.5 or more is a span. Any two capitalised
+words are looked at as a name, and up to four with further given names or a second
+surname, from each word on; a word that is a cue itself (Contact, Mr) is part of
+none. Of names that overlap the surest stays, then the longest, then the first.
 
 The number of vote combinations is at most kinds * 3^5, whatever the corpus's size.
 
@@ -55,8 +58,14 @@ CUES = {
     7: re.compile(r"\b(?:call|phone|tel|mobile|cell|fax|telefon|teléfono|téléphone)\b", re.IGNORECASE),
 }
 AGAINST = re.compile(r"\b(?:order|invoice|version|isbn|issn|part|model|figure|fig|table|section|street|hotel|university|street|river)\W*$", re.IGNORECASE)
+_CAPITALISED = r"[A-ZÀ-Þ][a-zà-ÿ]+"
+_FURTHER = rf" (?:[A-Z]\. )?({_CAPITALISED})(?![\w'-])"
+#: A capitalised word with others after it, which are only looked at: the next match may start at the second word.
+_NAME = re.compile(rf"(?<![\w'-])({_CAPITALISED})(?={_FURTHER})")
+_NEXT_NAME = re.compile(_FURTHER)
+#: Words of a name, and those of them after the first that needn't be given names.
+MOST_NAME_WORDS, MOST_SURNAMES = 4, 2
 CANDIDATES = (
-    (4, re.compile(r"(?<![\w'-])[A-ZÀ-Þ][a-zà-ÿ]+(?: [A-Z]\.)? [A-ZÀ-Þ][a-zà-ÿ]+(?![\w'-])")),
     (5, re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     (6, re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     (7, re.compile(r"(?<![\w+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")),
@@ -131,23 +140,53 @@ def votes(text: str, kind: int, a: int, b: int, base: list[tuple[int, int, int]]
     return shape + named + context + nearby + place
 
 
+def name_runs(text: str):
+    """(start, ends) of each word that may begin a name: the ends of two words, and of three and four where the further ones may belong to it."""
+    for m in _NAME.finditer(text):
+        if CUES[4].fullmatch(m[1]):
+            continue
+        ends, given, others, at = [], m[1] in GIVEN_NAMES, 0, m.end()
+        while len(ends) < MOST_NAME_WORDS - 1 and (w := _NEXT_NAME.match(text, at)):
+            is_given = w[1] in GIVEN_NAMES
+            others += not (given and is_given)
+            if CUES[4].fullmatch(w[1]) or ends and (is_given and not given or others > MOST_SURNAMES or AGAINST.fullmatch(w[1])):
+                break
+            given, at = given and is_given, w.end()
+            ends.append(at)
+        if ends:
+            yield m.start(), ends
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
-    """(start, kind's place, end, votes); names only with a vote for them, for any two capitalised words have the shape."""
+    """(start, kind's place, end, votes); names only with a vote for them, for any two capitalised words have the shape, and they may overlap."""
     found = []
-    digits = _DIGITS.search(text) is not None
+    for a, ends in name_runs(text):
+        for b in ends:
+            v = votes(text, 4, a, b, base)
+            if "y" not in v[1:3]:
+                break  # the gazetteer and the words before vote alike on all names that start here
+            if not any(s < b and a < e for s, _, e in base):
+                found.append((a, 4, b, v))
+    if _DIGITS.search(text) is None:
+        return found
     for kind, pattern in CANDIDATES:
-        if kind != 4 and not digits:
-            continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if any(s < b and a < e for s, _, e in base):
-                continue
-            v = votes(text, kind, a, b, base)
-            if kind != 4 or "y" in v[1:3]:
-                found.append((a, kind, b, v))
+            if not any(s < b and a < e for s, _, e in base):
+                found.append((a, kind, b, votes(text, kind, a, b, base)))
     return found
 
 
+def without_overlaps(names: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the names (score, start, end) that stay: the surest, then the longest, then the first."""
+    out, taken = [], set()
+    for _, a, b in sorted(names, key=lambda s: (-s[0], s[1] - s[2], s[1])):
+        if taken.isdisjoint(range(a, b)):
+            taken.update(range(a, b))
+            out.append((a, b))
+    return out
+
+
 def estimate(counts: dict[tuple[int, str], int], rounds: int = 50) -> dict[tuple[int, str], float]:
     """The probability that a candidate with these votes is personal data, from expectation-maximisation over all combinations.
 
@@ -222,15 +261,19 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places = {k: i for i, k in enumerate(KINDS)}
 
     def run(rows):
-        score: dict[tuple[int, str], bool] = {}
+        score: dict[tuple[int, str], float] = {}
         for *front, base, found in rows:
             spans = [(int(a), places[k], int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)]
+            names = []
             for c in found:
                 key = c["kind"], c["votes"]
                 if key not in score:
-                    score[key] = bool(features(*key) @ weights >= 0)
-                if score[key]:
+                    score[key] = float(features(*key) @ weights)
+                if score[key] >= 0 and c["kind"] == 4:
+                    names.append((score[key], c["start"], c["end"]))
+                elif score[key] >= 0:
                     spans.append((c["start"], c["kind"], c["end"]))
+            spans += [(a, 4, b) for a, b in without_overlaps(names)]
             yield *front, hashlib.sha256(base.encode()).hexdigest(), written(sorted(spans))
 
     cols = [id_col, *(f"n_{k}" for k in KINDS[:4])]

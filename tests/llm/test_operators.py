@@ -111,6 +111,13 @@ def test_pii_spans_beyond_the_patterns(spark):
     assert "name:" in got[3] and "national_id:" in got[3] and "email:" in got[3] and got[99] == ""
 
 
+def test_pii_names_after_capitalised_cues(spark):
+    texts = ["Contact John Smith today", "Dear Maria Garcia, thanks", "Mr John Smith wrote", "Herr Hans Müller schrieb", "Señora Maria Garcia Lopez came"] * 6
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = ["name:8:18", "name:5:17", "name:3:13", "name:5:16", "name:7:25"]
+    assert {r.doc_id: r.spans for r in pii.find_personal_data(d).collect()} == {i: want[i % 5] for i in range(30)}
+
+
 def test_licenses_in_long_paragraphs(spark):
     d = spark.createDataFrame([(1, LONG + "Licensed under the Apache License, Version 2.0. " + LONG), (2, "He lost his driver license and the general public laughed"), (3, "text\nThis work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License.")], "doc_id bigint, text string")
     got = {r.doc_id: r.families for r in licenses.scan_licenses(d).collect()}

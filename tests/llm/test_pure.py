@@ -207,6 +207,17 @@ def test_pii_labelers_and_em():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_names_after_capitalised_words():
+    for text, name in {
+        "Contact John Smith now": "John Smith", "Dear Maria Garcia, hello": "Maria Garcia", "Mr John Smith came": "John Smith", "Herr Hans Müller kam": "Hans Müller", "Yesterday John Smith left": "John Smith",
+        "Dear Mr Tom Baker": "Tom Baker", "Señora Maria Elena Garcia Lopez": "Maria Elena Garcia Lopez", "Signed John F. Smith": "John F. Smith",
+    }.items():
+        found = [(v[1:3].count("y") - v[1:3].count("n"), a, b) for a, _, b, v in pii.candidates(text, [])]
+        assert [text[a:b] for a, b in pii.without_overlaps(found)] == [name]
+    two = "Contact John Smith Mary Jones"
+    assert sorted(two[a:b] for a, _, b, _ in pii.candidates(two, [])) == ["John Smith", "Mary Jones"]
+
+
 PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><a>Home</a></nav><div class="cookie-notice">We care</div><div class="post"><h2>T &lt;x&gt;</h2><p>One<br>two &nbsp; three<p>Four<div class="advert">buy</div><form><p>mail</form><ul><li>a<li>b</ul></div><section id="comments"><p>nice</section><aside>x</aside><!-- no --><footer>f</footer></body></html>'
 
 
