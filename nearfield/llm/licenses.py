@@ -42,6 +42,7 @@ PHRASES = {
     "cc0": ("Creative Commons CC0 1.0 Universal", "dedicated to the public domain under CC0", "released under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"),
     "cc-by": ("Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "licensed under CC BY-NC-SA 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "gpl": ("This work is licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License as published by the Free Software Foundation", "released under the GPL version 2", "SPDX-License-Identifier: GPL-3.0-or-later", "licensed under GPLv3"),
     "isc": ("released under the ISC License", "licensed under the ISC license", "SPDX-License-Identifier: ISC"),
@@ -70,9 +71,40 @@ PHRASES = {
         "free copy of the newspaper for any person who asks",
     ),
 }
+#: Identifiers of SPDX by family (every version, -only, -or-later and the older forms without them), of which each makes a tag.
+SPDX = {
+    "agpl": "AGPL-1.0 AGPL-1.0-only AGPL-1.0-or-later AGPL-3.0 AGPL-3.0+ AGPL-3.0-only AGPL-3.0-or-later",
+    "apache": "Apache-1.0 Apache-1.1 Apache-2.0",
+    "bsd": "0BSD BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-4-Clause BSD-2-Clause-Patent BSD-3-Clause-Clear",
+    "cc0": "CC0-1.0",
+    "cc-by": "CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0",
+    "cc-by-nc": "CC-BY-NC-1.0 CC-BY-NC-2.0 CC-BY-NC-2.5 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-2.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-2.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0",
+    "cc-by-nd": "CC-BY-ND-1.0 CC-BY-ND-2.0 CC-BY-ND-2.5 CC-BY-ND-3.0 CC-BY-ND-4.0",
+    "cc-by-sa": "CC-BY-SA-1.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0",
+    "gpl": "GPL-1.0 GPL-1.0+ GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later",
+    "isc": "ISC",
+    "lgpl": "LGPL-2.0 LGPL-2.0+ LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0+ LGPL-3.0-only LGPL-3.0-or-later",
+    "mit": "MIT MIT-0",
+    "mpl": "MPL-1.0 MPL-1.1 MPL-2.0",
+    "unlicense": "Unlicense",
+}
+#: Other versions and short forms, by family.
+VERSIONS = {
+    "agpl": ("licensed under AGPLv3", "released under the AGPL version 3"),
+    "apache": ("licensed under Apache 2.0", "Licensed under the Apache License, Version 1.1"),
+    "bsd": ("licensed under the 2-clause BSD license", "released under the BSD 2-Clause License"),
+    "cc-by": ("licensed under a Creative Commons Attribution 3.0 Unported License",),
+    "cc-by-nc": ("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License", "licensed under CC BY-NC-ND 4.0"),
+    "cc-by-sa": ("licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License",),
+    "gpl": ("licensed under GPLv2", "licensed under the GNU GPL v2", "licensed under the GNU GPL v3", "GNU General Public License v2.0", "GNU General Public License v3.0", "under the terms of the GNU General Public License version 2 only", "under the terms of the GNU General Public License version 3 or later"),
+    "lgpl": ("licensed under LGPLv2", "licensed under LGPLv3", "GNU Lesser General Public License version 3", "GNU Lesser General Public License v3.0", "GNU Library General Public License version 2"),
+    "mpl": ("licensed under the Mozilla Public License 1.1", "Mozilla Public License Version 2.0"),
+}
+for _family, _names in SPDX.items():
+    PHRASES[_family] = tuple(dict.fromkeys((*PHRASES[_family], *VERSIONS.get(_family, ()), *(f"SPDX-License-Identifier: {n}" for n in _names.split()))))
 FAMILIES = tuple(PHRASES)
 #: Words of licence phrases that ordinary prose shares; an n-gram of such words alone is no feature.
-COMMON = frozenset("a an and any are as at by file for free from in is it may not of on or person use used this that the to under using version with work you your copy charge except without all other 1 2 3 4 0 v 16".split())
+COMMON = frozenset("a an and any are as at by file for free from in is it may not of on or person use used this that the to under using version with work you your copy charge except without all other 1 2 3 4 5 0 v 16 clear library patent".split())
 _TOKEN = r"[a-z0-9]+"
 #: Seconds of training are bounded: phrases, variants of each, steps.
 VARIANTS, STEPS, L1 = 12, 400, 2e-4
@@ -167,10 +199,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     weights, bias = trained()
     k = len(FAMILIES)
     pairs: dict[str, list] = {}
+    sizes, families = {}, {}
     for pair, number, family, size in templates():
-        pairs.setdefault(pair, []).append({"number": number, "family": family, "size": size})
+        pairs.setdefault(pair, []).append(number)
+        sizes[number], families[number] = size, family
+    size_of, family_of = (F.array(*[F.lit(of[i]) for i in range(len(of))]) for of in (sizes, families))
     entries = [{"gram": g, "weight": [float(v) for v in weights[g]] if g in weights else None, "phrases": pairs.get(g)} for g in sorted({*weights, *pairs})]
-    kind = "array<struct<gram: string, weight: array<double>, phrases: array<struct<number: int, family: string, size: int>>>>"
+    kind = "array<struct<gram: string, weight: array<double>, phrases: array<int>>>"
     known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(entries)), kind)))  # some hundred rows, from this file alone
 
     cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(cues(), key=lambda w: (-len(w), w))) + ")(?![a-z0-9])"
@@ -184,14 +219,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = rows.join(F.broadcast(known), "gram", "left")
     # one row per line: sums of weights by family, and how much of each phrase it holds
     sums = [F.sum(F.coalesce(F.col("weight")[i], F.lit(0.0))).alias(f"w{i}") for i in range(k)]
-    scored = met.groupBy("row", "id", "line").agg(*sums, F.flatten(F.collect_list("phrases")).alias("phrases"))  # at most one entry for each pair of this file
+    scored = met.groupBy("row", "id", "line").agg(*sums, F.flatten(F.collect_list("phrases")).alias("phrases"))  # numbers, at most one for each pair of each phrase of this file
     logits = F.array(*[F.col(f"w{i}") + F.lit(float(bias[i])) for i in range(k)])
     scored = scored.select("row", "id", "line", "phrases", logits.alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("class", F.array_position("z", F.col("top")).cast("int") - 1)
     scored = scored.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z - F.col("top"))))
     scored = scored.withColumn("family", F.when(F.col("probability") < LEAST_PROBABILITY, UNKNOWN).otherwise(F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("class") + 1)))
-    own = F.filter("phrases", lambda p: p["family"] == F.col("family"))
-    shares = F.transform(own, lambda p: F.size(F.filter(own, lambda q: q["number"] == p["number"])) / p["size"])
+    scored = scored.withColumn("own", F.filter("phrases", lambda p: F.element_at(family_of, p + 1) == F.col("family")))
+    shares = F.transform(F.array_distinct("own"), lambda p: F.size(F.filter("own", lambda q: q == p)) / F.element_at(size_of, p + 1))
     scored = scored.withColumn("coverage", F.coalesce(F.array_max(shares), F.lit(0.0)))
     found = (F.col("line").isNotNull()) & (F.col("family") != UNKNOWN)
     sure = found & (F.col("coverage") >= LEAST_SHARED)

@@ -124,6 +124,17 @@ def test_licenses_in_long_paragraphs(spark):
     assert got == {1: "apache", 2: "", 3: "gpl,mit"}
 
 
+def test_licences_of_spdx_tags_and_versions(spark):
+    want = {
+        "gpl": "GPL-1.0+ GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later", "lgpl": "LGPL-2.0 LGPL-2.1 LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later",
+        "agpl": "AGPL-3.0 AGPL-3.0-or-later", "apache": "Apache-1.1 Apache-2.0", "bsd": "0BSD BSD-2-Clause BSD-3-Clause BSD-4-Clause", "cc0": "CC0-1.0", "cc-by": "CC-BY-3.0 CC-BY-4.0", "cc-by-nc": "CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0",
+        "cc-by-nd": "CC-BY-ND-4.0", "cc-by-sa": "CC-BY-SA-3.0 CC-BY-SA-4.0", "isc": "ISC", "mit": "MIT MIT-0", "mpl": "MPL-1.1 MPL-2.0", "unlicense": "Unlicense", "": "Zlib EPL-2.0 NOASSERTION",
+    }
+    rows = [(f, f"// SPDX-License-Identifier: {name}") for f, names in want.items() for name in names.split()] + [("gpl", "licensed under GPLv2"), ("lgpl", "licensed under LGPLv3"), ("gpl", "GNU General Public License v2.0")]
+    d = spark.createDataFrame([(i, f"int x;\n{text}\nint y;") for i, (_, text) in enumerate(rows)], "doc_id bigint, text string")
+    assert {r.doc_id: r.families for r in licenses.scan_licenses(d).collect()} == {i: f for i, (f, _) in enumerate(rows)}
+
+
 def test_licenses_run_no_python(spark):
     plan = licenses.scan_licenses(spark.range(5).select(F.col("id").alias("doc_id"), F.lit("text").alias("text")))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
