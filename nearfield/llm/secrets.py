@@ -4,8 +4,10 @@ A vocabulary learned from text spells words with few tokens; random strings
 need about one for every two characters. Strings of ``LEAST_CHARS`` or more
 characters of the base64 alphabets are encoded, and one with fewer than
 ``MOST_RATIO`` characters a token is a secret (kind ``random``), unless it is a
-digest of a known length, an identifier of a known form, or spells no mix of
-letters and digits. Fixed patterns come first and always stay; a string that
+digest of a known length, an identifier of a known form, or has no letters.
+Strings without digits may be words or names run together, of which rare ones cost
+much, so these need fewer than ``MOST_RATIO_WITHOUT_DIGITS``; random letters of both
+cases have about 1.4. Fixed patterns come first and always stay; a string that
 overlaps one isn't reported twice.
 
 Spans are kind:start:end in code points, end exclusive, by start and then by
@@ -32,8 +34,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _ASSIGNED = ("passw", "secret", "token", "key")
-LEAST_CHARS, MOST_RATIO = 20, 2.3
+LEAST_CHARS, MOST_RATIO, MOST_RATIO_WITHOUT_DIGITS = 20, 2.3, 1.75
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_DIGITS = re.compile(r"[0-9]")
 #: Digests by their length in hex digits (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and forms of identifiers.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})|sha(?:1|256|384|512)-[A-Za-z0-9+/]+={0,2}")
 _IDENTIFIER = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9+/_=-]+|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-][0-9]{2}-?[0-9]{2}-?[0-9]{2}[A-Za-z0-9+-]*")
@@ -50,8 +53,8 @@ def vocabulary(path: str):
 
 
 def known(string: str) -> bool:
-    """Whether a string is a digest or an identifier, or has no mix of letters and digits."""
-    return bool(_DIGEST.fullmatch(string) or _IDENTIFIER.fullmatch(string)) or string.isdigit() or not any(c.isdigit() for c in string) or not any(c.isalpha() for c in string)
+    """Whether a string is a digest or an identifier, or has no letters."""
+    return bool(_DIGEST.fullmatch(string) or _IDENTIFIER.fullmatch(string)) or not any(c.isalpha() for c in string)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -72,7 +75,8 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], vocab) -> list[tu
         string = m[0].strip("=-_/+")
         if len(string) < LEAST_CHARS or known(string) or any(s < b and a < e for s, _, e in taken):
             continue
-        if len(string) < MOST_RATIO * len(vocab.encode_ordinary(string)):
+        most = MOST_RATIO if _DIGITS.search(string) else MOST_RATIO_WITHOUT_DIGITS
+        if len(string) < most * len(vocab.encode_ordinary(string)):
             found.append((a, 3, b))
     return found
 

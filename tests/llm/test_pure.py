@@ -179,6 +179,15 @@ def test_random_strings_and_what_is_known():
     assert secrets.redact("a token=abcdefgh1 b", secrets.base_spans("a token=abcdefgh1 b")) == "a [SECRET] b"
 
 
+def test_random_strings_without_digits():
+    vocab, rnd = secrets.vocabulary(RANKS), random.Random(1)
+    kinds = lambda s: [k for _, k, _ in secrets.scan(f"text before {s} and after", vocab)[1]]
+    for n in (20, 24, 32, 64):
+        assert sum(kinds("".join(rnd.choices(string.ascii_letters, k=n))) == [3] for _ in range(200)) > 185
+    for s in ("Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement", "/usr/local/share/applications/icons", "MAX_CONNECTIONS_PER_HOST_DEFAULT", "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogoch", "einlichheitenpfpfver", "+--------+--------+--------+"):
+        assert kinds(s) == []
+
+
 def slow_pii(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
