@@ -15,7 +15,7 @@ from nearfield.llm.queries import BYTE_BPE, RANKS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, with their texts as they were: lines that fail count against a document, but stay in it; ``quality.clean_text``, which takes them out, is not a stage."""
     return quality.filter_documents(docs)
 
 
