@@ -12,7 +12,9 @@ block texts, count once, so a host full of copies doesn't make its articles a te
 From the content go the parts whose element says what they are: navigation,
 headers and footers of the page, asides, forms, scripts, styles, and elements
 with a role, class or id such as menu, advert, notice or comments. If the page has
-an ``article`` or ``main`` element, the text inside it is taken.
+``article`` or ``main`` elements with content, the text inside all of them is
+taken, with headings that stand directly before one and paragraphs between the two;
+those with such a role, class or id only where there are no others.
 
 All counts cover all pages: they are sums over (slot and text, content) pairs,
 which no host can make large for one task. Wrappers reach the pages by a join
@@ -44,6 +46,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 BLOCK = ENDS_P | frozenset("html head body li dt dd tr td th thead tbody tfoot caption legend optgroup option center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: An open element that a start tag ends, by tag, and where the search for it stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), **{t: ({"thead", "tbody", "tfoot"}, {"table"}) for t in ("thead", "tbody", "tfoot")}}
 #: Elements that are never main text, and words of a class, id or role that say so.
@@ -216,10 +219,10 @@ def alignment(root: Slot, pivot: str | None) -> dict[int, int]:
 
 
 class Block:
-    __slots__ = ("parts", "slot", "main", "dropped")
+    __slots__ = ("parts", "slot", "main", "dropped", "lead")
 
     def __init__(self, slot, main, dropped):
-        self.parts, self.slot, self.main, self.dropped = [], slot, main, dropped
+        self.parts, self.slot, self.main, self.dropped, self.lead = [], slot, main, dropped, False
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
@@ -242,17 +245,26 @@ def says_so(node: Node, inside: bool) -> bool:
         return False
     if not inside and not HEADER_WORDS.isdisjoint(words):
         return not holds(node, ("article", "main"))
+    return named_so(node)
+
+
+def named_so(node: Node) -> bool:
+    """Whether an element's role, class or id alone says so, and it holds neither an article nor a main heading."""
+    words = node.words
     return (not SAYS_SO.isdisjoint(words) or any(w.startswith(SAYS_SO_FROM) for w in words)) and not holds(node, ("article", "main", "h1"))
 
 
 def blocks(root: Node, top: Slot) -> list[Block]:
-    """The page's blocks of text in order. main: the number of the article or main element around it, or 0."""
+    """The page's blocks of text in order. main: the number of the article or main element around it or directly behind it, negative if its role, class or id speaks against it, or 0."""
     out: list[Block] = []
     count = [0]
 
     def walk(node: Node, slot: Slot, main: int, dropped: bool) -> None:
+        lead = None  # where the headings begin that only paragraphs part from what follows
         for child in node.children:
             if isinstance(child, str):
+                if child.strip():
+                    lead = None
                 if not out:
                     out.append(Block(slot, main, dropped))
                 if (b := out[-1]).slot is None:
@@ -263,11 +275,17 @@ def blocks(root: Node, top: Slot) -> list[Block]:
                     out[-1].parts.append(" ")
             else:
                 block = child.tag in BLOCK or child.tag in DROPPED
-                drop = dropped or says_so(child, main > 0)
+                drop = dropped or says_so(child, main != 0)
                 own = main
                 if child.tag in ("article", "main") and not main and not drop:
                     count[0] += 1
-                    own = count[0]
+                    own = -count[0] if named_so(child) else count[0]
+                    for b in out[lead:] if lead is not None else ():
+                        b.main, b.lead = own, True
+                if child.tag in HEADINGS:
+                    lead = len(out) if lead is None else lead
+                elif child.tag != "p":
+                    lead = None
                 if block or drop != dropped:
                     out.append(Block(None, own, drop))
                 walk(child, child.own or slot, own, drop)
@@ -278,8 +296,8 @@ def blocks(root: Node, top: Slot) -> list[Block]:
     return [b for b in out if b.parts]
 
 
-def page_blocks(html: str | None, pivot: str | None, host: str) -> list[tuple[int, str, int, bool]]:
-    """(key, text, main, dropped) of each block with text. The key stands for host, slot and text."""
+def page_blocks(html: str | None, pivot: str | None, host: str) -> list[tuple[int, str, int, bool, bool]]:
+    """(key, text, main, dropped, lead: before its main element) of each block with text. The key stands for host, slot and text."""
     root, top = parse(html or ""), Slot("#root")
     fold(root, top)
     place, out = alignment(top, pivot), []
@@ -287,19 +305,16 @@ def page_blocks(html: str | None, pivot: str | None, host: str) -> list[tuple[in
         if text := b.text():
             slot = b.slot or top
             name = place.get(id(slot), slot.sign)
-            out.append((xxhash.xxh64_intdigest(f"{host}\0{name}\0{text}".encode("utf-8", "replace")) - (1 << 63), text, b.main, b.dropped))
+            out.append((xxhash.xxh64_intdigest(f"{host}\0{name}\0{text}".encode("utf-8", "replace")) - (1 << 63), text, b.main, b.dropped, b.lead))
     return out
 
 
-def main_text(found: list[tuple[int, str, int, bool]], template: frozenset[int] | set[int]) -> str:
-    """The content blocks: neither template nor dropped, and of the largest article or main element if there is one."""
-    content = [(text, main) for key, text, main, dropped in found if not dropped and key not in template]
-    size: dict[int, int] = {}
-    for text, main in content:
-        if main:
-            size[main] = size.get(main, 0) + len(text)
-    best = max(size, key=size.get) if size else 0
-    return "\n\n".join(text for text, main in content if not best or main == best)
+def main_text(found: list[tuple[int, str, int, bool, bool]], template: frozenset[int] | set[int]) -> str:
+    """The content blocks: neither template nor dropped, and of article or main elements if there are any with content, those that are named otherwise only where there are no others."""
+    content = [(text, main, lead) for key, text, main, dropped, lead in found if not dropped and key not in template]
+    inside = {main for _, main, lead in content if main and not lead}
+    taken = {main for main in inside if main > 0} or inside
+    return "\n\n".join(text for text, main, _ in content if not taken or main in taken)
 
 
 def skeleton(html: str | None) -> str:
@@ -331,7 +346,7 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             found = page_blocks(html, pivot, host)
             if not found:
                 continue
-            content = xxhash.xxh64_intdigest("\0".join(sorted({t for _, t, _, _ in found})).encode("utf-8", "replace")) - (1 << 63)
+            content = xxhash.xxh64_intdigest("\0".join(sorted({f[1] for f in found})).encode("utf-8", "replace")) - (1 << 63)
             yield host, None, content
             for key in {f[0] for f in found}:
                 yield host, key, content

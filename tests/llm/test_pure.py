@@ -238,6 +238,14 @@ def test_html_blocks():
     assert text("plain < text & <b>bold</b>") == "plain < text & bold" and text(None) == "" and text("") == ""
 
 
+def test_html_keeps_all_articles_and_the_headings_before_them():
+    text = lambda h: html_extract.main_text(html_extract.page_blocks(h, html_extract.skeleton(h), "h"), set())
+    assert text("<body><div>menu</div><h1>Title</h1> <p>Lead.</p><article><p>One, which is long.</article><p>between<article><p>Two.</article><article class=related><p>Other</article><p>after") == "Title\n\nLead.\n\nOne, which is long.\n\nTwo."
+    assert text("<body><h1 class=banner>Site</h1><article><p>One.</article><h2>Part</h2><article><p>Two.</article><h2>Elsewhere</h2><div>more</div>") == "One.\n\nPart\n\nTwo."
+    assert text("<body><h1>Site</h1><div>menu</div><main><article><p>One.</article><article><p>Two.</article></main>") == "One.\n\nTwo."
+    assert text("<body><h1>Title</h1><article></article><div>Words.</div>") == "Title\n\nWords."
+
+
 def test_simple_tree_matching():
     a, b = "#root(html(body(nav,div.x(p),article(h1,p),footer)))", "#root(html(body(nav,article(h1,p,ul(li)),footer)))"
     x, y = html_extract.read(a), html_extract.read(b)
