@@ -90,12 +90,93 @@ def test_whole_pages_and_templates(spark):
     assert got[0] == "First words of 0.\n\nMore of 0 here." and got[6] == "" and got[7] == "Alone"
     assert got[100] == "Site name\n\nCopied text.\n\nAll of it.\n\nSign here to get the news"  # copies of one page are no template
     assert html_extract.extract(pages).count() == len(rows) and html_extract.extract(pages.limit(0)).count() == 0
-    dealt = html_extract.BROADCAST_HOSTS
-    html_extract.BROADCAST_HOSTS = -1
+    dealt = html_extract.BROADCAST_BYTES
+    html_extract.BROADCAST_BYTES = -1
     try:
         assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == got
     finally:
-        html_extract.BROADCAST_HOSTS = dealt
+        html_extract.BROADCAST_BYTES = dealt
+
+
+def plain_wrappers(pages):
+    """{host: Wrapper or None} by the rules of the operator, over lists and dictionaries. pages: (page_id, host, html)."""
+    h, out = html_extract, {}
+    for host in {p[1] for p in pages}:
+        own = [p for p in pages if p[1] == host]
+        pivot = h.numbered(h.skeleton(min(own, key=lambda p: p[0])[2]))
+        different = {}
+        for _, _, html in own:
+            found, whole, body = h.page_blocks(html, pivot)
+            if found:
+                different[whole] = found, body
+        if len(different) < h.LEAST_PAGES:
+            out[host] = None, pivot
+            continue
+        n = len(different)
+        on, bodies, firsts = defaultdict(set), defaultdict(set), defaultdict(set)
+        size, links, inside, heading = defaultdict(int), defaultdict(int), defaultdict(int), set()
+        for whole, (found, body) in different.items():
+            for key in {f.key for f in found if f.named < 2}:
+                same = [f for f in found if f.key == key]
+                f, chars = same[-1], sum(len(x.text) for x in same)
+                on[f.slot, key].add(whole)
+                bodies[f.slot, key].add(body)
+                size[f.slot] += chars
+                links[f.slot] += chars * f.links // len(f.text)
+                inside[f.slot] += f.inside
+                if f.heading:
+                    heading.add(f.slot)
+                if not f.inside:
+                    firsts[f.slot, f.first].add(whole)
+        keys = {k for (s, k), w in on.items() if len(w) >= h.CONSTANT * n}
+        template, content, within = set(), set(), {}
+        supported = [s for s in size if (m := sum(len(w) for (t, _), w in on.items() if t == s)) >= h.LEAST_PAGES and m >= h.LEAST_SHARE * n]
+        for s in supported:
+            within[s] = 2 * inside[s] > sum(len(w) for (t, _), w in on.items() if t == s)
+        total = sum(size[s] for s in supported if within[s])
+        for s in supported:
+            every = [len(b) for (t, _), b in bodies.items() if t == s]
+            again = sum(b for b in every if b > 1) >= h.RECURRING * sum(every) and sum(every) >= h.LEAST_PAGES
+            alike = any(len(w) >= h.CONSTANT * n for (t, _), w in firsts.items() if t == s)
+            if links[s] >= h.LINKED * size[s] and not (within[s] and s in heading) or not within[s] and (again or alike):
+                template.add(s)
+            elif within[s] and (s in heading or size[s] >= h.CORE_SHARE * total):
+                content.add(s)
+        out[host] = h.Wrapper(keys, template, content), pivot
+    return out
+
+
+@needs_data
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_html_query_against_plain_counting(spark, sf):
+    rows = [(r.page_id, re.sub("^[a-z]+://", "", r.url or "").split("/")[0].lower(), r.html) for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()]
+    known = plain_wrappers(rows)
+    want = {i: html_extract.main_text(html_extract.page_blocks(html, known[host][1])[0], known[host][0]) for i, host, html in rows}
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op8_html(spark, f"/root/testdata/{sf}").collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    article = {i: re.findall(r"(?s)<article>(.*?)</article>", html) for i, _, html in rows}  # these tables' pages have one each
+    assert all(t == html_extract.main_text(html_extract.page_blocks("".join(article[i]), None)[0], None) for i, t in want.items())
+
+
+def test_wrappers_decide_without_telling_names(spark):
+    """Menus of links, rotating notices and closing lines in plain elements, which differ from page to page, go; names that mislead don't matter where the body is known."""
+    rnd = np.random.default_rng(1)
+    word = lambda n: " ".join("".join(chr(97 + c) for c in rnd.integers(0, 26, 6)) for _ in range(n))
+    offers = [word(7) for _ in range(3)]
+    page = '<html><body><div class="x1"><p><a href="/{0}">{0}</a> <a href="/{1}">{1}</a></p></div><div class="x2"><p>{2}</p></div><div class="notice"><h1>{3}</h1><p>{4}</p><p>{5}</p></div><div class="x3"><p>Printed by us on {6}</p></div></body></html>'
+    rows, want = [], {}
+    for i in range(24):
+        title, a, b = word(5), word(40), word(30)
+        rows.append((i, f"http://h.example/{i}", page.format(word(1), word(1), offers[i % 3], title, a, b, word(3))))
+        want[i] = f"{title}\n\n{a}\n\n{b}"
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
+def test_one_deep_or_long_page_fails_no_query(spark):
+    rows = [(1, "http://a/", "<div>" * 30_000 + "deep"), (2, "http://a/", "<p>" + "word " * 400_000), (3, "http://a/", "<a " * 100_000), (4, "http://a/", "<p>x")]
+    got = {r.page_id: r.n_chars for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: 4, 2: 5 * 400_000 - 1, 3: 0, 4: 1}
 
 
 def test_templates_of_hosts_with_long_notices_and_short_items(spark):

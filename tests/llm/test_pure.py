@@ -231,7 +231,7 @@ PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><
 
 
 def test_html_blocks():
-    text = lambda h: html_extract.main_text(html_extract.page_blocks(h, html_extract.skeleton(h), "h"), set())
+    text = lambda h: html_extract.main_text(html_extract.page_blocks(h, None)[0], None)
     assert text(PAGE) == "T <x>\n\nOne two three\n\nFour\n\na\n\nb"
     assert text("<body><nav>m</nav><article><h1>H</h1><p>p<div class=share>s</div></article><p>after") == "H\n\np"
     assert text("<div id=content><p>a</p><ol class='commentlist x'><li>b</ol><div class=SidebarLeft>c</div><div class=adverbs>d</div></div>") == "a\n\nd"
@@ -239,20 +239,84 @@ def test_html_blocks():
 
 
 def test_html_keeps_all_articles_and_the_headings_before_them():
-    text = lambda h: html_extract.main_text(html_extract.page_blocks(h, html_extract.skeleton(h), "h"), set())
+    text = lambda h: html_extract.main_text(html_extract.page_blocks(h, None)[0], None)
     assert text("<body><div>menu</div><h1>Title</h1> <p>Lead.</p><article><p>One, which is long.</article><p>between<article><p>Two.</article><article class=related><p>Other</article><p>after") == "Title\n\nLead.\n\nOne, which is long.\n\nTwo."
     assert text("<body><h1 class=banner>Site</h1><article><p>One.</article><h2>Part</h2><article><p>Two.</article><h2>Elsewhere</h2><div>more</div>") == "One.\n\nPart\n\nTwo."
     assert text("<body><h1>Site</h1><div>menu</div><main><article><p>One.</article><article><p>Two.</article></main>") == "One.\n\nTwo."
     assert text("<body><h1>Title</h1><article></article><div>Words.</div>") == "Title\n\nWords."
 
 
-def test_simple_tree_matching():
-    a, b = "#root(html(body(nav,div.x(p),article(h1,p),footer)))", "#root(html(body(nav,article(h1,p,ul(li)),footer)))"
-    x, y = html_extract.read(a), html_extract.read(b)
-    assert html_extract.match(x, y, {}) == 8 and html_extract.match(x, x, {}) == 10
-    assert html_extract.written(x) == a
-    out = html_extract.alignment(x, b)
-    assert len(out) == 8 and len(set(out.values())) == 8
+def test_html_reads_tags_as_the_tokenizer_does():
+    text = lambda h: html_extract.main_text(html_extract.page_blocks(h, None)[0], None)
+    assert text("<a href=foo title=it's>text</a><p>World isn't here</p>") == "text\n\nWorld isn't here"
+    assert text('<a title="5" tall">link</a>') == "link" and text("a<!--x-->b<!-->c<!--") == "abc"
+    assert text("<p>a < b <3</p><p title='x>y'>c</p>x <a href=") == "a < b <3\n\nc\n\nx"
+
+
+def test_html_names_are_whole_names():
+    text = lambda name: html_extract.main_text(html_extract.page_blocks(f'<div class="{name}"><p>Main words</p></div>', None)[0], None)
+    for name in ("social-science", "related-work", "search-results", "share-price", "alert-level", "commentary", "adverbs", "menuett"):
+        assert text(name) == "Main words"
+    for name in ("cookie-notice", "share-buttons", "relatedPosts", "comment-list", "commentlist", "SidebarLeft", "ad", "main-menu", "site-header"):
+        assert text(name) == ""
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<b>" * 50_000 + "x", "<a " * 500_000, "".join(f"<h2>t{i}</h2><p>x{i}</p>" for i in range(20_000)), "<div><i>" + "<b>" * 50_000 + "x" + "</i>" * 50_000, "< " * 500_000, "<p>" + "word and another " * 600_000])
+def test_deep_and_long_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    found = html_extract.page_blocks(page, html_extract.numbered(html_extract.skeleton(page)))[0]
+    assert time.process_time() - began < 20
+    assert len(found) == {"<h2>": 40_000}.get(page[:4], 0 if page.startswith("<a") else 1)
+
+
+def folded(rnd, depth=0):
+    """A random tree as (sign, children) whose siblings differ."""
+    return [(c, folded(rnd, depth + 1) if depth < 4 and rnd.random() < 0.6 else []) for c in rnd.sample("abcde", rnd.randrange(6))]
+
+
+def slow_match(a, b):
+    """Simple tree matching of two lists of children, by the table of its definition."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, (x, own) in enumerate(a):
+        for j, (y, other) in enumerate(b):
+            both = table[i][j] + 1 + slow_match(own, other) if x == y else 0
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], both)
+    return table[-1][-1]
+
+
+def as_slots(children):
+    out = html_extract.Folded()
+
+    def walk(own, up):
+        for sign, below in own:
+            out.hashes.append(hash((out.hashes[up], sign)))
+            out.parents.append(up)
+            out.inner.append(False)
+            walk(below, len(out.hashes) - 1)
+
+    walk(children, 0)
+    return out
+
+
+def test_simple_tree_matching_against_its_definition():
+    rnd = random.Random(7)
+    for _ in range(300):
+        a, b = folded(rnd), folded(rnd)
+        x, y = as_slots(a), as_slots(b)
+        pairs = html_extract.aligned(x, {h: i for i, h in enumerate(y.hashes)})
+        assert sum(pairs) == 1 + slow_match(a, b)
+        places = [y.hashes.index(h) for h, there in zip(x.hashes, pairs) if there]
+        assert len(set(places)) == len(places)
+
+
+def test_folding():
+    html = "<body><ul><li class=i1>a<li class=i2>b</ul><p>x<p>y<h2>z</h2><p>w<h2>v</h2><p>u<h2>t</h2><p>s</body>"
+    tree = html_extract.parse(html)
+    slots = html_extract.fold(tree)[1]
+    assert slots[tree.tags.index("li")] == slots[len(tree.tags) - 1 - tree.tags[::-1].index("li")]  # digits aside they are alike
+    assert [slots[i] for i, t in enumerate(tree.tags) if t == "p"] == [slots[tree.tags.index("p")] + d for d in (0, 0, 2, 4, 4)]
 
 
 def test_license_model():
