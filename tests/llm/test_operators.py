@@ -199,6 +199,28 @@ def test_pii_names_after_capitalised_cues(spark):
     assert {r.doc_id: r.spans for r in pii.find_personal_data(d).collect()} == {i: want[i % 5] for i in range(30)}
 
 
+@needs_data
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pii_query_against_plain_counting(spark, sf):
+    from collections import Counter
+
+    from test_pure import slow_pii
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    base = {i: slow_pii(t) for i, t in docs.items()}
+    found = {i: pii.candidates(t, base[i]) for i, t in docs.items()}
+    weights = pii.train(Counter((k, v) for c in found.values() for _, k, _, v in c))
+    score = lambda k, v: 1 / (1 + np.exp(-pii.features(k, v) @ weights))
+    for r in queries.op9_pii(spark, f"/root/testdata/{sf}").collect():
+        own = base[r.doc_id]
+        others = [(a, k, b, v) for a, k, b, v in found[r.doc_id] if k > 3 and score(k, v) >= 0.5]
+        names = pii.without_overlaps([(score(k, v), a, b) for a, k, b, v in others if k == 4])
+        want = sorted([*own, *((a, k, b) for a, k, b, _ in others if k > 4), *((a, 4, b) for a, b in names)])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == i for _, k, _ in own) for i in range(4))
+        assert r.base_sha256 == hashlib.sha256(pii.written(own).encode()).hexdigest() and r.spans == pii.written(want)
+        assert len([x for x in r.scores.split(",") if x]) == len(want)
+
+
 def test_licenses_in_long_paragraphs(spark):
     d = spark.createDataFrame([(1, LONG + "Licensed under the Apache License, Version 2.0. " + LONG), (2, "He lost his driver license and the general public laughed"), (3, "text\nThis work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License.")], "doc_id bigint, text string")
     got = {r.doc_id: r.families for r in licenses.scan_licenses(d).collect()}
