@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; that is set here only where it is unset."""
+    """A new path under spark.checkpoint.dir. Where that is unset, a temporary folder serves in local mode only: on a cluster each executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialise(frame: DataFrame) -> DataFrame:
+def materialise(frame: DataFrame, path: str | None = None) -> DataFrame:
     """The frame, written once and read back; a lost executor then costs its own tasks only."""
-    path = shared_dir(frame.sparkSession)
+    path = path or shared_dir(frame.sparkSession)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
