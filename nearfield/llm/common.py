@@ -1,8 +1,8 @@
-"""What the operators of this folder share: Arrow batches of bounded size, and tables that cut lineage."""
+"""What the operators of this folder share: Arrow batches of bounded size, tables that cut lineage, spans in order."""
 
 from __future__ import annotations
 
-import uuid
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.tables import materialise, shared_dir
+
 #: Rows of an Arrow batch that are Python objects at a time. Spark holds batches to spark.sql.execution.arrow.maxBytesPerBatch.
 TEXT_ROWS = 512
 
@@ -69,22 +71,35 @@ def arrow_filter(frame: DataFrame, text_col: str, keep: Callable[[list], list[bo
     return frame.mapInArrow(run, frame.schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
+class Surroundings:
+    """Spans (start, kind, end) sorted by start, and how far those up to each one reach."""
+
+    def __init__(self, base: list[tuple[int, int, int]]):
+        self.starts, self.reach = [s for s, _, _ in base], []
+        for _, _, e in base:
+            self.reach.append(max(e, self.reach[-1]) if self.reach else e)
+
+    def near(self, a: int, b: int, room: int, but: int | None = None) -> bool:
+        """Whether one lies in [a - room, b + room]; ``but``: the place of one that doesn't count."""
+        i = bisect_right(self.starts, b + room)
+        if but is None:
+            return i > 0 and self.reach[i - 1] >= a - room
+        return but + 1 < i or but > 0 and self.reach[but - 1] >= a - room
 
-        base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    def overlap(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, b - 1)
+        return i > 0 and self.reach[i - 1] > a
 
 
 def cut(frame: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read back: no lineage behind it, so a lost executor costs its own tasks only."""
+    return materialise(frame)
+
+
+def cut_at(frame: DataFrame) -> tuple[DataFrame, str]:
+    """``cut``, and where the table lies, for ``drop_table``."""
     path = shared_dir(frame.sparkSession)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return materialise(frame, path), path
 
 
 def drop_table(spark: SparkSession, path: str) -> None:

@@ -32,14 +32,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, pass_id
+from .common import Surroundings, arrow_map, cut, pass_id
 
 KINDS = ("email", "ip", "card", "phone", "name", "national_id", "account", "local_phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,26 +163,6 @@ def strict(kind: int, string: str, digits: str) -> tuple[str, str]:
     return yes(digits[0] in "23456789" and digits[3] in "23456789"), "-"
 
 
-class Surroundings:
-    """The fixed patterns' spans of a text, which are sorted by start, and how far those up to each one reach."""
-
-    def __init__(self, base: list[tuple[int, int, int]]):
-        self.starts, self.reach = [s for s, _, _ in base], []
-        for _, _, e in base:
-            self.reach.append(max(e, self.reach[-1]) if self.reach else e)
-
-    def near(self, a: int, b: int, room: int = NEAR, but: int | None = None) -> bool:
-        """Whether one lies in [a - room, b + room]; ``but``: the place of one that doesn't count."""
-        i = bisect_right(self.starts, b + room)
-        if but is None:
-            return i > 0 and self.reach[i - 1] >= a - room
-        return but + 1 < i or but > 0 and self.reach[but - 1] >= a - room
-
-    def overlap(self, a: int, b: int) -> bool:
-        i = bisect_right(self.starts, b - 1)
-        return i > 0 and self.reach[i - 1] > a
-
-
 def votes(text: str, kind: int, a: int, b: int, around: Surroundings, own: int | None = None, given=GIVEN_NAMES) -> str:
     """Each labeler's vote on a candidate: y, n, or - for none; then the buckets of its length (one for all names, which compete by it otherwise) and of the word before."""
     string, before = text[a:b], text[max(0, a - CONTEXT) : a]
@@ -192,7 +171,7 @@ def votes(text: str, kind: int, a: int, b: int, around: Surroundings, own: int |
     else:
         shape, named = strict(kind, string, "".join(_DIGITS.findall(string)))
     context = "y" if CUES[kind].search(before) else "n" if AGAINST.search(before) else "-"
-    nearby = "y" if around.near(a, b, but=own) else "-"
+    nearby = "y" if around.near(a, b, NEAR, own) else "-"
     word = before[before.rfind(" ") + 1 :]
     place = "n" if "/" in word or "=" in word or "\\" in word or text[b : b + 1] in ("/", "=", "_") else "-"
     last = before.split()[-1:]

@@ -8,13 +8,13 @@ digest of a known length, an identifier of a known form, or has no letters.
 Strings without digits may be words or names run together, of which rare ones cost
 much, so these need fewer than ``MOST_RATIO_WITHOUT_DIGITS``; random letters of both
 cases have about 1.4. Fixed patterns come first and always stay; a string that
-overlaps one isn't reported twice.
+overlaps one isn't reported twice. Time is linear in a text's length, but for the sorting of its spans.
 
 Spans are kind:start:end in code points, end exclusive, by start and then by
 the order of ``KINDS``.
 
 Defined results: null text has no spans; null or repeated doc_ids are scanned
-each on its own; an empty table gives an empty table; extra columns aren't read
+each on its own; an empty table gives an empty table; very long texts are scanned whole; extra columns aren't read
 (``drop_documents`` and ``redact`` return them as they were).
 """
 
@@ -27,7 +27,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import arrow_filter, arrow_map, pass_id
+from .common import Surroundings, arrow_filter, arrow_map, pass_id
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -35,6 +35,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _ASSIGNED = ("passw", "secret", "token", "key")
 LEAST_CHARS, MOST_RATIO, MOST_RATIO_WITHOUT_DIGITS = 20, 2.3, 1.75
+#: Characters that are encoded together.
+PIECE = 2048
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _DIGITS = re.compile(r"[0-9]")
 #: Digests by their length in hex digits (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and forms of identifiers.
@@ -69,18 +71,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], vocab) -> list[tuple[int, int, int]]:
-    found = []
+    """taken: spans in order that these mustn't overlap."""
+    found, around = [], Surroundings(taken)
     for m in _LONG.finditer(text):
         a, b = m.span()
         string = m[0].strip("=-_/+")
-        if len(string) < LEAST_CHARS or known(string) or any(s < b and a < e for s, _, e in taken):
+        if len(string) < LEAST_CHARS or known(string) or around.overlap(a, b):
             continue
         most = MOST_RATIO if _DIGITS.search(string) else MOST_RATIO_WITHOUT_DIGITS
-        if len(string) < most * len(vocab.encode_ordinary(string)):
+        if len(string) < most * token_count(string, vocab):
             found.append((a, 3, b))
     return found
 
 
+def token_count(string: str, vocab) -> int:
+    """Tokens of a string, in pieces of ``PIECE`` characters: the encoder's time grows with the square of a word's length."""
+    return sum(len(vocab.encode_ordinary(string[i : i + PIECE])) for i in range(0, len(string), PIECE))
+
+
 def scan(text: str | None, vocab) -> tuple[list, list]:
     """Base spans and all spans, both in order."""
     base = sorted(base_spans(text or ""))
@@ -92,16 +100,17 @@ def written(spans) -> str:
 
 
 def find_secrets(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, counts of the fixed patterns, base_sha256, spans."""
+    """One row per document: id, counts of the fixed patterns, base_sha256, spans, and ratios (characters a token of each span, in their order)."""
 
     def run(rows):
         vocab = vocabulary(vocabulary_path)
         for key, text in rows:
             base, every = scan(text, vocab)
             n = [sum(k == i for _, k, _ in base) for i in range(3)]
-            yield key, *n, hashlib.sha256(written(base).encode()).hexdigest(), written(every)
+            ratios = ",".join(f"{len(x) / token_count(x, vocab):.2f}" for x in (text[a:b] for a, _, b in every))
+            yield key, *n, hashlib.sha256(written(base).encode()).hexdigest(), written(every), ratios
 
-    return arrow_map(docs, [id_col, text_col], run, [pass_id(docs, id_col), "n_assign bigint", "n_access bigint", "n_hex bigint", "base_sha256 string", "spans string"])
+    return arrow_map(docs, [id_col, text_col], run, [pass_id(docs, id_col), "n_assign bigint", "n_access bigint", "n_hex bigint", "base_sha256 string", "spans string", "ratios string"])
 
 
 def drop_documents(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:

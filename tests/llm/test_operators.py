@@ -65,6 +65,16 @@ def test_exact_dedup_decides_ties_once(odd):
     assert sorted(r.doc_id for r in stay.collect()) == [3, 4, 6, 7, 8]  # of the null and the empty text 3 stays
 
 
+def test_secret_and_quality_filters_keep_rows_as_they_were(spark, odd):
+    stay = secrets.drop_documents(odd, queries.RANKS)
+    assert stay.columns == odd.columns and sorted(str(r.doc_id) for r in stay.collect()) == sorted(map(str, [5, 3, None, 9, 9, 4, 7]))
+    stay = quality.filter_documents(odd)
+    assert stay.columns == odd.columns and stay.count() == 0
+    good = spark.createDataFrame([(None, " ".join(f"word{i} and{i}" for i in range(30)) + "."), (2, None)], "doc_id bigint, text string").withColumn("kept", F.lit("clash"))
+    assert [(r.doc_id, r.kept) for r in quality.filter_documents(good).collect()] == [(None, "clash")]
+    assert secrets.drop_documents(odd.limit(0), queries.RANKS).count() == quality.filter_documents(odd.limit(0)).count() == 0
+
+
 def test_equal_rows_leave_one(spark):
     d = spark.createDataFrame([(1, "a b")] * 5 + [(None, "c")] * 3, "doc_id bigint, text string").repartition(4)
     assert exact_dedup.drop_duplicates(d).count() == 2 and simhash.drop_near_duplicates(d).count() == 2
@@ -199,6 +209,34 @@ def test_pii_names_after_capitalised_cues(spark):
     assert {r.doc_id: r.spans for r in pii.find_personal_data(d).collect()} == {i: want[i % 5] for i in range(30)}
 
 
+@needs_data
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_secrets_query_against_plain_python(spark, sf):
+    from test_pure import slow_secrets
+
+    vocab, h = secrets.vocabulary(queries.RANKS), secrets
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rnd = np.random.default_rng(0)
+    planted = ["".join(rnd.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 32)) for _ in range(40)]
+    texts = {r.doc_id: (r.text or "") + (f" {planted[i]} end" if i < 40 else "") for i, r in enumerate(docs.collect())}
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    added = 0
+    for source, want_of in ((queries.op1_secrets(spark, f"/root/testdata/{sf}"), {r.doc_id: r.text or "" for r in docs.collect()}), (secrets.find_secrets(d, queries.RANKS), texts)):
+        for r in source.collect():
+            text = want_of[r.doc_id]
+            base, more = slow_secrets(text), []
+            for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+                x = m[0].strip("=-_/+")
+                if len(m[0]) >= 20 and len(x) >= 20 and not h.known(x) and not any(s < m.end() and m.start() < e for s, _, e in base):
+                    if len(x) / len(vocab.encode(x, disallowed_special=())) < (h.MOST_RATIO if re.search("[0-9]", x) else h.MOST_RATIO_WITHOUT_DIGITS):
+                        more.append((m.start(), 3, m.end()))
+            assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+            assert r.base_sha256 == hashlib.sha256(h.written(base).encode()).hexdigest() and r.spans == h.written(sorted(base + more))
+            assert len([x for x in r.ratios.split(",") if x]) == len(base + more)
+            added += len(more)
+    assert added >= 36  # nearly every planted string is costly
+
+
 @needs_data
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_pii_query_against_plain_counting(spark, sf):

@@ -188,6 +188,17 @@ def test_random_strings_without_digits():
         assert kinds(s) == []
 
 
+def test_secrets_take_linear_time():
+    import time
+
+    vocab, rnd = secrets.vocabulary(RANKS), random.Random(1)
+    mixed = "".join(rnd.choices(string.ascii_letters + string.digits, k=1_000_000))
+    for text in (mixed, " ".join(mixed[i : i + 32] for i in range(0, len(mixed), 32)), "token = abcdefgh1 " * 50_000, "token" + " " * 1_000_000, "x" * 1_000_000):
+        began = time.process_time()
+        secrets.scan(text, vocab)
+        assert time.process_time() - began < 10
+
+
 def slow_pii(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -222,10 +233,10 @@ def test_pii_labelers_and_em():
 def test_surroundings(spans, a, size):
     base, b = sorted((s, k, s + n) for s, k, n in spans), a + size
     around = pii.Surroundings(base)
-    assert around.near(a, b) == any(s - pii.NEAR <= b and a <= e + pii.NEAR for s, _, e in base)
+    assert around.near(a, b, pii.NEAR) == any(s - pii.NEAR <= b and a <= e + pii.NEAR for s, _, e in base)
     assert around.overlap(a, b) == any(s < b and a < e for s, _, e in base)
     for i, (s, _, e) in enumerate(base):
-        assert around.near(s, e, but=i) == any(x - pii.NEAR <= e and s <= y + pii.NEAR for j, (x, _, y) in enumerate(base) if j != i)
+        assert around.near(s, e, pii.NEAR, i) == any(x - pii.NEAR <= e and s <= y + pii.NEAR for j, (x, _, y) in enumerate(base) if j != i)
 
 
 def test_em_finds_how_good_labelers_are():
