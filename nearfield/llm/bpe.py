@@ -1,18 +1,22 @@
 """BPE encoding and decoding with a contiguous rank array per word.
 
-A word that the pretokenizer cuts off is held as three flat arrays: where each
-part begins, the part's id, and the rank of each part with its right
-neighbour. The lowest rank is searched for over and over (leftmost among
-equals), the boundary behind it is deleted and the two ranks beside it are
-looked up again. Words of one length that a worker hasn't met before stand as
-rows of one matrix and take these steps together; a word alone takes them over
-lists; words over ``LONG_WORD`` bytes go through a heap with the same order of
+A short word that the pretokenizer cuts off is held as two flat arrays: its parts' ids,
+and the boundaries between them, each with the rank of the two parts that it
+parts. The boundaries are scanned for the lowest rank over and over (leftmost among
+equals); that boundary is deleted, so what stands behind it moves up, its two parts become one, and the ranks of the
+two boundaries beside it are looked up again. Words of up to ``BLOCK_BYTES`` bytes which a worker hasn't met before
+take these steps together with all others of their length, as rows of matrices that lose a column a step; longer ones take them
+alone, over lists. Words over ``LONG_WORD`` bytes aren't short: they go through a heap with the same order of
 merges, so one very long run of letters costs n log n and not n^2.
 
 Ids equal those of the ``tokenizers`` library for byte-level BPE files:
 merges are looked up by pair of ids, the special tokens of the file are cut
 out first wherever their strings stand in a text.
 
+A very long text is encoded in pieces of about ``PIECE_CHARS`` characters, which end where a
+single space stands between two words, as every word of the pretokenizer does that starts there; so memory is
+a piece's words and the text's ids, but for a longer text without such a space.
+
 Defined results: null text is the empty text (no ids); null ids stay null;
 repeated rows each give a row; an empty table gives an empty table; extra
 columns are not read.
@@ -24,6 +28,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,9 +44,9 @@ LONG_WORD = 384
 #: Words kept with their ids by a worker; when full it starts afresh.
 CACHE_WORDS = 600_000
 CACHE_WORD_CHARS = 40
-#: Bytes up to which words of equal length are merged as rows of a matrix, and characters of text handled together.
-MATRIX_BYTES = 48
-BLOCK_CHARS = 1_500_000
+#: Bytes up to which words of equal length are merged as rows of a matrix, rows of one, characters of text handled together, and of one text.
+BLOCK_BYTES, BLOCK_WORDS = 48, 65_536
+BLOCK_CHARS, PIECE_CHARS = 1_500_000, 1_000_000
 _SLOTS = 1 << 19
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _NONE = 1 << 62
@@ -146,63 +151,55 @@ class RankBpe:
             open_ = open_[~hit & (found >= 0)]
         return out
 
-    def merge_matrix(self, ids: np.ndarray) -> list[bytes]:
-        """``merge_short`` for words of one length together: ids (parts x words), a word a column.
-
-        An entry of ``low`` holds rank, new id and place of a pair, so that the column's minimum is the leftmost lowest
-        rank. Row n stands for what lies beyond a word's ends; no pair with it merges.
-        """
-        n, count = ids.shape
-        ids = np.vstack([ids, np.full((1, count), _ID_MASK)])
-        right = np.repeat(np.arange(1, n + 2)[:, None], count, 1)
-        left = np.repeat(np.array([n, *range(n)])[:, None], count, 1)
-        low = np.full((n + 1, count), _NONE)
-        for i in range(n - 1):
-            low[i] = self.placed(ids[i], ids[i + 1], i)
-        cols = np.arange(count)
+    def merge_block(self, ids: np.ndarray) -> list[bytes]:
+        """``merge_short`` for words of one length together: ids (words x parts). ``low`` has a column for each boundary."""
+        count = len(ids)
+        done: list = [None] * count
+        low = self.pair_values(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(count, -1) if ids.shape[1] > 1 else np.zeros((count, 0), np.int64)
+        words = np.arange(count)
         while True:
-            best = low.min(0)
-            go = np.flatnonzero(best < _NONE)
-            if not len(go):
-                break
-            if len(go) < len(cols):
-                cols, low, best = cols[go], low[:, go], best[go]
-            every = np.arange(len(cols))
-            i, made = best & 63, best >> 6 & _ID_MASK
-            j = right[i, cols]
-            k, h = right[j, cols], left[i, cols]
-            ids[i, cols], ids[j, cols] = made, -1
-            right[i, cols], left[k, cols] = k, i
-            low[j, every] = _NONE
-            low[i, every] = self.placed(made, ids[k, cols], i)
-            low[h, every] = self.placed(ids[h, cols], made, h)
-        ids = ids[:n].T
-        there = ids >= 0
-        raw, ends = ids[there].astype("<u4").tobytes(), (np.cumsum(there.sum(1)) * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def placed(self, left: np.ndarray, right: np.ndarray, at) -> np.ndarray:
-        got = self.pair_values(left, right)
-        return np.where(got < _NONE, got << 6 | at, _NONE)
+            every = np.arange(len(words))
+            if low.shape[1]:
+                i = low.argmin(1)
+                best = low[every, i]
+                go = best < _NONE
+            else:
+                go = np.zeros(len(words), bool)
+            if not go.all():
+                still = np.flatnonzero(~go)
+                raw, size = ids[still].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for j, word in enumerate(words[still].tolist()):
+                    done[word] = raw[size * j : size * (j + 1)]
+                words, ids, low = words[go], ids[go], low[go]
+                if not len(words):
+                    return done
+                i, best, every = i[go], best[go], np.arange(len(words))
+            ids[every, i] = best & _ID_MASK
+            parts, bounds = np.arange(ids.shape[1] - 1), np.arange(low.shape[1] - 1)
+            ids = np.take_along_axis(ids, parts + (parts > i[:, None]), 1)
+            low = np.take_along_axis(low, bounds + (bounds >= i[:, None]), 1)
+            own = np.flatnonzero(i < low.shape[1])
+            low[own, i[own]] = self.pair_values(ids[own, i[own]], ids[own, i[own] + 1])
+            own = np.flatnonzero(i > 0)
+            low[own, i[own] - 1] = self.pair_values(ids[own, i[own] - 1], ids[own, i[own]])
 
     def learn(self, words) -> None:
         """Puts the short ones among new words into the cache, merged length by length."""
         by_length: dict[int, tuple[list[str], list[bytes]]] = {}
         for word in words:
-            if len(word) <= CACHE_WORD_CHARS and 1 < len(raw := word.encode("utf-8")) <= MATRIX_BYTES:
+            if len(word) <= CACHE_WORD_CHARS and len(raw := word.encode("utf-8")) <= BLOCK_BYTES:
                 group = by_length.setdefault(len(raw), ([], []))
                 group[0].append(word)
                 group[1].append(raw)
         first = np.array(self.byte_id, np.int64)
         for n, (group, raws) in by_length.items():
-            if len(group) >= 8:
-                ids = first[np.frombuffer(b"".join(raws), np.uint8).reshape(-1, n).T]
-                self.cache.update(zip(group, self.merge_matrix(ids)))
+            for at in range(0, len(group), BLOCK_WORDS):
+                ids = first[np.frombuffer(b"".join(raws[at : at + BLOCK_WORDS]), np.uint8).reshape(-1, n)]
+                self.cache.update(zip(group[at : at + BLOCK_WORDS], self.merge_block(ids)))
 
     def merge_short(self, ids: list[int]) -> list[int]:
-        """Repeated scans of the contiguous rank array."""
+        """Repeated scans of the contiguous rank array, which has an entry for each boundary."""
         get = self.pairs.get
-        starts = list(range(len(ids)))
         ranks = [get(a << _ID_BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
         while ranks:
             low = min(ranks)
@@ -210,7 +207,7 @@ class RankBpe:
                 break
             i = ranks.index(low)
             ids[i] = low & _ID_MASK
-            del ids[i + 1], starts[i + 1], ranks[i]
+            del ids[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = get(ids[i - 1] << _ID_BITS | ids[i], _NONE)
             if i < len(ranks):
@@ -220,7 +217,7 @@ class RankBpe:
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same merges in the same order from a heap of (rank, place)."""
         get, n = self.pairs.get, len(ids)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        ids, right, left = array("q", ids), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << _ID_BITS | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
@@ -245,6 +242,17 @@ class RankBpe:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        short = [i for i, text in enumerate(texts) if len(text) <= PIECE_CHARS]
+        out: list[bytes] = [b""] * len(texts)
+        for i, raw in zip(short, self.encode_pieces([texts[i] for i in short])):
+            out[i] = raw
+        for i, text in enumerate(texts):
+            if len(text) > PIECE_CHARS:
+                plain = [text] if self.cut_special is None else self.cut_special.split(text)
+                out[i] = b"".join(np.array([self.special[x]], "<u4").tobytes() if j % 2 else b"".join(self.encode_pieces([p])[0] for p in pieces(x)) for j, x in enumerate(plain))
+        return out
+
+    def encode_pieces(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         parts = []  # of each text: words, or the id of a special token
@@ -279,6 +287,21 @@ def load(path: str) -> RankBpe:
     return RankBpe(path)
 
 
+def pieces(text: str, size: int | None = None):
+    """A long text in pieces that the pretokenizer would part as well: each but the last ends before a space between two characters that aren't white space."""
+    at, size = 0, size or PIECE_CHARS
+    while len(text) - at > size:
+        m = _PARTING.search(text, at + size)
+        if not m:
+            break
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
+    yield text[at:]
+
+
+_PARTING = re.compile(r"[^\s\x1c-\x1f\x85](?= [^\s\x1c-\x1f\x85])")
+
+
 def encoded(rows, bpe: RankBpe, block_chars: int = BLOCK_CHARS):
     """(key, bytes of the ids) for (key, text) rows in order, in blocks of bounded size."""
     keys, texts, size = [], [], 0

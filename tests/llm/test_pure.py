@@ -49,11 +49,33 @@ def test_three_ways_of_merging_agree(text):
     ids = [own.byte_id[b] for b in text.encode()]
     short, long = own.merge_short(list(ids)), own.merge_long(list(ids))
     assert short == long
-    if len(ids) <= bpe.MATRIX_BYTES:
-        raw = own.merge_matrix(np.array([ids, ids], np.int64).T)
+    if len(ids) <= bpe.BLOCK_BYTES:
+        raw = own.merge_block(np.array([ids, ids], np.int64))
         assert np.frombuffer(raw[1], "<u4").tolist() == short
 
 
+@given(st.lists(st.sampled_from(["word", " ", "  ", "\n", "\x1c", "\u2003", "é", "12", "'s", "!", "<|endoftext|>", "\U0001f600"]), max_size=60), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_pieces_of_long_texts_have_the_same_ids(parts, size):
+    own, text = bpe.load(PATH), "".join(parts)
+    assert "".join(bpe.pieces(text, size)) == text
+    whole, old = own.encode(text).tolist(), bpe.PIECE_CHARS
+    bpe.PIECE_CHARS = size
+    try:
+        assert own.encode(text).tolist() == whole
+    finally:
+        bpe.PIECE_CHARS = old
+
+
+@pytest.mark.parametrize("text", ["word and another " * 600_000, "x" * 1_000_000, " " * 3_000_000, "ab1" * 300_000])
+def test_long_texts_are_encoded_in_near_linear_time(text):
+    import time
+
+    own, began = bpe.RankBpe(PATH), time.process_time()
+    assert own.decode(own.encode(text)) == text
+    assert time.process_time() - began < 30
+
+
 @given(st.lists(st.integers(1, 9000), max_size=60))
 @settings(max_examples=80, deadline=None)
 def test_packing_places_each_token_once_without_padding(sizes):
