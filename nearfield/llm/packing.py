@@ -1,15 +1,17 @@
 """Packing of documents into training windows of several lengths.
 
 Each task packs the documents of its own partition in one pass, so no text is
-shuffled and memory is a block of texts and a few open windows:
+shuffled and memory is a block of texts and ``BUFFER`` tokens:
 
 1. Routing. A document's full ``max`` windows leave at once; what is left of
-   it goes to the shortest tier (context size) that can hold it.
-2. Packing. A tier has one open window. Pieces are laid end to end and cut at
-   the window's end, so a tier's windows are full.
-3. Gap filling. At the end of the partition the longest tier's open window is
-   filled from the shorter tiers' open windows, longest first.
-4. What then is left (less than one longest window) is cut into windows of
+   it waits in the shortest tier (context size) that can hold it.
+2. Packing. When more than ``BUFFER`` tokens wait, windows are packed until half
+   of them are left, those of the longest tier first. A tier's longest waiting document opens a window; in
+   all tiers but the shortest it is over half of the window, so a tier's windows have a gap each.
+3. Gap filling. A gap is filled from the shorter tiers (in the shortest tier from itself) by best fit: the
+   longest whole document that fits, again and again. What then is left of the gap takes a piece of the shortest document that is longer; the rest
+   of that goes back to the tier it now fits. So windows are full, and few documents are cut.
+4. At the end of the partition all that waits is packed; what doesn't fill the last window is cut into windows of
    falling powers of two, which need no padding.
 5. Step groups. Windows of one length are gathered into groups of
    ``step_tokens`` tokens, so that every step of a training run takes as many
@@ -22,7 +24,7 @@ task that is run again after a lost executor writes the same rows.
 bits: unique, not consecutive.
 
 Defined results: a null or empty text is a document of the end id alone; null
-and repeated doc_ids are documents of their own; an empty table has no pieces;
+and repeated doc_ids are documents of their own; a very long text fills as many windows as it takes; an empty table has no pieces;
 extra columns are not read.
 """
 
@@ -41,21 +43,57 @@ from .common import arrow_map, pass_id
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 STEP_TOKENS = 8 * 2048
+#: Tokens that may wait for a window.
+BUFFER = 256 * 2048
 _PARTITION_BITS = 33
 
 
+class Waiting:
+    """Pieces (doc, start, length) by length; the lengths that there are stand as bits of one number."""
+
+    def __init__(self):
+        self.lists: dict[int, list] = {}
+        self.there, self.tokens = 0, 0
+
+    def put(self, piece) -> None:
+        own = self.lists.setdefault(piece[2], [])
+        own.append(piece)
+        self.there |= 1 << piece[2]
+        self.tokens += piece[2]
+
+    def take(self, length: int):
+        own = self.lists[length]
+        piece = own.pop()
+        if not own:
+            self.there ^= 1 << length
+        self.tokens -= length
+        return piece
+
+    def longest(self, most: int):
+        """Takes a longest piece of ``most`` tokens or fewer; None if there is none."""
+        found = (self.there & (2 << most) - 1).bit_length() - 1
+        return self.take(found) if found > 0 else None
+
+    def shortest(self, least: int):
+        """Takes a shortest piece of more than ``least`` tokens; None if there is none."""
+        found = self.there >> least + 1
+        return self.take(least + (found & -found).bit_length()) if found else None
+
+
 class Packer:
     """Packs a stream of (key, number of tokens) into windows; yields (key, start, length, sequence, offset, tier, group)."""
 
-    def __init__(self, tiers=TIERS, step_tokens: int = STEP_TOKENS):
-        self.tiers, self.step_tokens = sorted(tiers), step_tokens
+    def __init__(self, tiers=TIERS, step_tokens: int = STEP_TOKENS, buffer: int = BUFFER):
+        self.tiers, self.step_tokens, self.buffer = sorted(tiers), step_tokens, buffer
         if any(t & (t - 1) for t in self.tiers) or step_tokens % self.tiers[-1]:
             raise ValueError("tiers must be powers of two, and a step a multiple of the longest")
-        self.open = {t: [] for t in self.tiers}  # pieces of the open window
-        self.used = dict.fromkeys(self.tiers, 0)
+        self.waits = Waiting()
         self.waiting = {t: [] for t in self.tiers}  # full windows of an incomplete group
         self.sequences = self.groups = 0
 
+    def tier(self, length: int) -> int:
+        return next(t for t in self.tiers if length <= t)
+
     def add(self, doc, tokens: int):
         """``doc`` is carried along with each of its pieces."""
         start, longest = 0, self.tiers[-1]
@@ -63,18 +101,25 @@ class Packer:
             yield from self.full(longest, [(doc, start, longest)])
             start += longest
         if left := tokens - start:
-            tier = next(t for t in self.tiers if left <= t)
-            yield from self.lay(tier, doc, start, left)
-
-    def lay(self, tier: int, doc, start: int, length: int):
-        while length:
-            n = min(length, tier - self.used[tier])
-            self.open[tier].append((doc, start, n))
-            self.used[tier] += n
-            start, length = start + n, length - n
-            if self.used[tier] == tier:
-                window, self.open[tier], self.used[tier] = self.open[tier], [], 0
-                yield from self.full(tier, window)
+            self.waits.put((doc, start, left))
+        if self.waits.tokens > self.buffer:
+            while self.waits.tokens > self.buffer // 2:
+                yield from self.full(*self.window())
+
+    def window(self) -> tuple[int, list]:
+        """The next window's tier and pieces; it is full but where nothing else waits."""
+        waits = self.waits
+        window = [waits.longest(self.tiers[-1])]
+        tier = self.tier(window[0][2])
+        gap = tier - window[0][2]
+        while gap and (piece := waits.longest(gap)):
+            window.append(piece)
+            gap -= piece[2]
+        if gap and (piece := waits.shortest(gap)):
+            doc, start, length = piece
+            window.append((doc, start, gap))
+            waits.put((doc, start + gap, length - gap))
+        return tier, window
 
     def full(self, tier: int, window: list):
         group = self.waiting[tier]
@@ -93,11 +138,14 @@ class Packer:
         self.groups += 1
 
     def end(self):
-        longest = self.tiers[-1]
-        rest = [piece for t in reversed(self.tiers[:-1]) for piece in self.open[t]]
-        for piece in rest:
-            yield from self.lay(longest, *piece)
-        left, size = self.open[longest], self.used[longest]
+        left = []
+        while self.waits.tokens:
+            tier, window = self.window()
+            if sum(piece[2] for piece in window) == tier:
+                yield from self.full(tier, window)
+            else:
+                left = window
+        size = sum(piece[2] for piece in left)
         short = []
         while size:
             want = room = 1 << (size.bit_length() - 1)

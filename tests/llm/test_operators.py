@@ -91,6 +91,36 @@ def test_packing_of_awkward_rows(odd):
     assert (windows.ids.map(len) == windows.tier).all() and windows.tier.sum() == sum(by_text)
 
 
+@needs_data
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_packing_query_against_the_library(spark, sf):
+    tok = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.BYTE_BPE)
+    docs = {r.doc_id: tok.encode(r.text or "", add_special_tokens=False).ids + [1] for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in queries.op2_packing(spark, f"/root/testdata/{sf}").collect():
+        ids = docs[r.doc_id]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        pieces[r.doc_id].append((r.start, r.length))
+        windows[r.sequence_id].append((r.offset, r.length, r.tier, r.step_group))
+    for i, ids in docs.items():
+        at = 0
+        for start, length in sorted(pieces[i]):
+            assert start == at and length > 0
+            at += length
+        assert at == len(ids)
+    groups = defaultdict(int)
+    for own in windows.values():
+        at = 0
+        for offset, length, _, _ in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048 and at & (at - 1) == 0 and {t for _, _, t, _ in own} == {at} and len({g for *_, g in own}) == 1
+        groups[own[0][3]] += at
+    assert all(v <= packing.STEP_TOKENS for v in groups.values())
+    short = [i for i, ids in docs.items() if len(ids) <= 2048]
+    assert sum(len(pieces[i]) > 1 for i in short) < 0.15 * len(short)  # best fit leaves most whole
+
+
 def test_whole_pages_and_templates(spark):
     page = '<html><body><div class="top">Site name</div><div><p>{0}</p><p>{1}</p><p>Sign here to get the news</p></div></body></html>'
     rows = [(i, f"http://h.example/{i}", page.format(f"First words of {i}.", f"More of {i} here.")) for i in range(6)] + [(6, None, None), (7, "http://other.example/", "<p>Alone"), (7, "http://other.example/", "<p>Alone")]

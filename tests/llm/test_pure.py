@@ -76,10 +76,23 @@ def test_long_texts_are_encoded_in_near_linear_time(text):
     assert time.process_time() - began < 30
 
 
-@given(st.lists(st.integers(1, 9000), max_size=60))
-@settings(max_examples=80, deadline=None)
-def test_packing_places_each_token_once_without_padding(sizes):
+def test_gaps_are_filled_by_the_longest_that_fit():
+    p = packing.Packer()
+    for i, n in enumerate([1500, 400, 140, 8, 300, 100]):
+        assert list(p.add(i, n)) == []
+    tier, window = p.window()
+    assert tier == 2048 and [x[2] for x in window] == [1500, 400, 140, 8]
+    assert p.window() == (512, [(4, 0, 300), (5, 0, 100)])
     p = packing.Packer()
+    list(p.add("a", 900))
+    list(p.add("b", 1000))
+    assert p.window() == (1024, [("b", 0, 1000), ("a", 0, 24)]) and p.window() == (1024, [("a", 24, 876)])
+
+
+@given(st.lists(st.integers(1, 9000), max_size=60), st.sampled_from([2048, 8192, packing.BUFFER]))
+@settings(max_examples=80, deadline=None)
+def test_packing_places_each_token_once_without_padding(sizes, buffer):
+    p = packing.Packer(buffer=buffer)
     rows = [r for i, n in enumerate(sizes) for r in p.add(i, n)] + list(p.end())
     for i, n in enumerate(sizes):
         own = sorted((s, length) for d, s, length, *_ in rows if d == i)
