@@ -5,16 +5,17 @@ word and its beginnings of 4, 5 and 6 letters, so that inflected forms share
 what is learned. It is fitted on at most ``MOST_LABELLED`` labelled rows (those
 with the smallest hashes of doc_id), never on rows whose crc32(doc_id as text)
 is a multiple of ``FOLDS``. Counterfactuals: in each labelled text that names a
-group, the identity term is swapped for others of its category, and the
+group, the identity term is swapped for two others of its category and for none, and the
 squared difference of the two scores is added to the loss; all terms are
-also swapped in a bare sentence each. So the model can't lean on which group a
-text names, and neutral mentions aren't taken for attacks.
+also swapped in a bare sentence each. So the model can lean neither on which group a
+text names nor on that it names one, and neutral mentions aren't taken for attacks. Terms are lists of four
+languages here; ``train`` takes others.
 
 Features are kept if their counts differ between classes by more than chance;
 the model is an array of 2^``HASH_BITS`` weights whatever the corpus's size.
 
 Defined results: null and empty texts get the score of the bias; rows with
-null doc_ids count as held out; unlabelled corpora, or labels of one class,
+null doc_ids count as held out; very long texts are read whole; unlabelled corpora, or labels of one class,
 give the share of toxic labels (0 without any) as everyone's score; repeated
 rows each give a row; an empty table gives an empty table; extra columns aren't read.
 """
@@ -44,13 +45,16 @@ MARKS = ".,;:!?\"'()[]{}«»¿¡…-–—*#$%&|<>_~`"
 CACHE_WORDS = 500_000
 
 #: Identity terms, by category; terms of a line are swapped for each other.
-IDENTITIES = (
-    "man woman men women male female boy girl transgender nonbinary hombre mujer homme femme mann frau".split(),
-    "christian muslim jewish hindu buddhist atheist catholic protestant sikh cristiano musulmán judío chrétien musulman juif christlich muslimisch jüdisch".split(),
-    "black white asian latino hispanic african european arab indian indigenous negro blanco noir blanc schwarz weiß".split(),
-    "gay straight lesbian bisexual heterosexual homosexual queer".split(),
-    "american mexican chinese german french spanish russian turkish polish japanese immigrant refugee foreigner citizen".split(),
-    "old young elderly teenager disabled blind deaf autistic".split(),
+IDENTITIES = tuple(
+    tuple(terms.split())
+    for terms in (
+        "man woman men women male female boy girl transgender nonbinary hombre mujer homme femme mann frau",
+        "christian muslim jewish hindu buddhist atheist catholic protestant sikh cristiano musulmán judío chrétien musulman juif christlich muslimisch jüdisch",
+        "black white asian latino hispanic african european arab indian indigenous negro blanco noir blanc schwarz weiß",
+        "gay straight lesbian bisexual heterosexual homosexual queer",
+        "american mexican chinese german french spanish russian turkish polish japanese immigrant refugee foreigner citizen",
+        "old young elderly teenager disabled blind deaf autistic",
+    )
 )
 
 
@@ -73,22 +77,24 @@ def is_held_out(id_col):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-@lru_cache(maxsize=1)
-def category_of() -> dict[str, int]:
-    return {term: i for i, terms in enumerate(IDENTITIES) for term in terms}
+@lru_cache(maxsize=8)
+def category_of(identities: tuple[tuple[str, ...], ...]) -> dict[str, int]:
+    return {term: i for i, terms in enumerate(identities) for term in terms}
 
 
-def swaps(words: set[str]) -> list[tuple[str, str]]:
-    """Each identity term of a text and another of its category, the next but one of the list and the one after that."""
-    out = []
-    for term in sorted(words & category_of().keys()):
-        terms = IDENTITIES[category_of()[term]]
-        i = terms.index(term)
-        out += [(term, terms[(i + k) % len(terms)]) for k in (1, 2)]
-    return out
+def counterfactuals(term: str, terms: tuple[str, ...]) -> list[tuple[str, str]]:
+    """A term and what it is swapped for: the next two of its category, and nothing."""
+    i = terms.index(term)
+    return [(term, terms[(i + 1) % len(terms)]), (term, terms[(i + 2) % len(terms)]), (term, "")]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def swaps(words: set[str], identities=IDENTITIES) -> list[tuple[str, str]]:
+    """The counterfactuals of each identity term of a text."""
+    known = category_of(identities)
+    return [pair for term in sorted(words & known.keys()) for pair in counterfactuals(term, identities[known[term]])]
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, identities=IDENTITIES) -> DataFrame:
     """Features and swaps of the labelled rows that are fitted on; their number has a fixed bound, which makes them safe to broadcast and to collect."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(F.col("id")))
     chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED)
@@ -97,7 +103,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     def run(values):
         for _key, text, toxic in values:
             words = words_of(text)
-            yield toxic, features(sorted(words)), [x for pair in swaps(words) for x in pair]
+            yield toxic, features(sorted(words)), [x for pair in swaps(words, identities) for x in pair]
 
     return arrow_map(rows, ["id", "text", "toxic"], run, ["toxic int", "features array<int>", "swaps array<string>"], out_rows=256)
 
@@ -114,8 +120,8 @@ def telling(feature: np.ndarray, pos: np.ndarray, neg: np.ndarray, bad: int, n:
     return np.sort(feature[(np.abs(z) >= min(LEAST_DIFFERENCE, math.sqrt(bad) / 2)) & (pos + neg >= LEAST_TEXTS)])
 
 
-def fit(toxic: np.ndarray, lists: list[np.ndarray], pairs: list[tuple[str, str]], used: np.ndarray | None = None) -> Model:
-    """Logistic loss plus PENALTY times the mean squared difference of counterfactual scores, by full-batch Adagrad. used: the features to learn; chosen here where None."""
+def fit(toxic: np.ndarray, lists: list[np.ndarray], pairs: list[tuple[str, str]], used: np.ndarray | None = None, penalty: float = PENALTY, identities=IDENTITIES) -> Model:
+    """Logistic loss plus ``penalty`` times the mean squared difference of counterfactual scores, by full-batch Adagrad. used: the features to learn; chosen here where None."""
     size = 1 << HASH_BITS
     weights, n, bad = np.zeros(size, np.float32), len(toxic), int(toxic.sum())
     if not bad or bad == n:
@@ -129,7 +135,7 @@ def fit(toxic: np.ndarray, lists: list[np.ndarray], pairs: list[tuple[str, str]]
         used = telling(np.arange(size), np.bincount(of, own, size), np.bincount(of, 1 - own, size), bad, n)
     if not len(used):
         return Model(weights, math.log(bad / (n - bad)))
-    pair_list = pairs + [(a, b) for terms in IDENTITIES for a, b in zip(terms, terms[1:] + terms[:1])]
+    pair_list = pairs + [pair for terms in identities for term in terms for pair in counterfactuals(term, terms)]
     number = np.full(size, -1, np.int64)
     number[used] = np.arange(len(used))
     col = number[at]
@@ -137,7 +143,7 @@ def fit(toxic: np.ndarray, lists: list[np.ndarray], pairs: list[tuple[str, str]]
     diff_row, diff_col, diff_sign = [], [], []
     for i, (a, b) in enumerate(pair_list):
         for word, sign in ((a, 1.0), (b, -1.0)):
-            for c in number[word_features(word)].tolist():
+            for c in number[word_features(word)].tolist() if word else ():
                 if c >= 0:
                     diff_row.append(i)
                     diff_col.append(c)
@@ -151,7 +157,7 @@ def fit(toxic: np.ndarray, lists: list[np.ndarray], pairs: list[tuple[str, str]]
         grad = np.bincount(col, error[doc], len(used)) + RIDGE * w
         if len(diff_row):
             gap = np.bincount(diff_row, diff_sign * w[diff_col], len(pair_list))
-            grad += np.bincount(diff_col, 2 * PENALTY / len(pair_list) * gap[diff_row] * diff_sign, len(used))
+            grad += np.bincount(diff_col, 2 * penalty / len(pair_list) * gap[diff_row] * diff_sign, len(used))
         sum_w += grad**2
         sum_b += error.sum() ** 2
         w -= 0.3 * grad / np.sqrt(sum_w)
@@ -160,9 +166,9 @@ def fit(toxic: np.ndarray, lists: list[np.ndarray], pairs: list[tuple[str, str]]
     return Model(weights, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY, identities=IDENTITIES) -> Model:
     """Features are counted and chosen on the executors; the driver gets the chosen ones of each labelled row."""
-    rows = cut(training_rows(docs, labels, id_col, text_col))
+    rows = cut(training_rows(docs, labels, id_col, text_col, identities))
     n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not bad or bad == n:
         return fit(np.r_[np.ones(bad), np.zeros(n - bad)], [], [])
@@ -179,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = arrow_map(rows, ["toxic", "features", "swaps"], chosen, ["toxic int", "features array<int>", "swaps array<string>"]).toArrow()
     pairs = [(a, b) for s in table.column("swaps").to_pylist() for a, b in zip(s[::2], s[1::2])]
     lists = [np.asarray(x.values, np.int64) for x in table.column("features")]
-    return fit(table.column("toxic").to_numpy().astype(float), lists, pairs, used)
+    return fit(table.column("toxic").to_numpy().astype(float), lists, pairs, used, penalty, identities)
 
 
 class Scorer:

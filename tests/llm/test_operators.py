@@ -342,6 +342,35 @@ def test_bpe_query_against_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_counterfactuals_spare_neutral_mentions(spark):
+    """Labelled texts name groups mostly where they are toxic. Of held-out texts that only mention a group, the plain model flags most, the regularised one hardly any; both find what is toxic."""
+    rnd = np.random.default_rng(4)
+    plain = ["".join(chr(97 + c) for c in rnd.integers(0, 26, 6)) for _ in range(400)]
+    insults, groups = ["vilest", "wretched", "loathsome", "filthiest"], ["muslim", "jewish", "gay", "lesbian", "mexican", "refugee"]
+    rows, labels, kind = [], [], {}
+    for i in range(2400):
+        own = list(rnd.choice(plain, 30))
+        kind[i] = what = rnd.choice(["toxic", "neutral", "clean"], p=[0.25, 0.03, 0.72]) if i < 2000 else rnd.choice(["toxic", "neutral"])
+        if what == "toxic":
+            own += list(rnd.choice(insults, 1 if rnd.random() < 0.8 else 0)) if i < 2000 else list(rnd.choice(insults, 2))
+            own += list(rnd.choice(groups, 1 if rnd.random() < 0.9 else 0))
+        elif what == "neutral":
+            own += list(rnd.choice(groups, 1))
+        rows.append((i, " ".join(rnd.permutation(own))))
+        if i < 2000:
+            labels.append((i, int(what == "toxic")))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    found = {}
+    for penalty in (0.0, toxicity.PENALTY):
+        got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, toxicity.train(docs, marks, penalty=penalty)).collect()}
+        for what in ("toxic", "neutral"):
+            own = [i for i in got if i >= 2000 and kind[i] == what]
+            found[penalty, what] = np.mean([got[i] for i in own])
+    assert found[0.0, "neutral"] > 0.5 and found[toxicity.PENALTY, "neutral"] < 0.05
+    assert found[toxicity.PENALTY, "toxic"] > 0.95
+
+
 @needs_data
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"

@@ -424,12 +424,7 @@ def test_toxicity_learns_and_is_even_between_groups():
     pairs = [p for d in docs for p in toxicity.swaps(toxicity.words_of(d))]
     s = toxicity.Scorer(toxicity.fit(np.array(toxic), lists, pairs))
     assert s.score("such a vilest thing") > 0.5 > s.score("a kind thing") and 0 <= s.score(None) < 0.5
-    plain = toxicity.PENALTY
-    toxicity.PENALTY = 0.0
-    try:
-        free = toxicity.Scorer(toxicity.fit(np.array(toxic), lists, pairs))
-    finally:
-        toxicity.PENALTY = plain
+    free = toxicity.Scorer(toxicity.fit(np.array(toxic), lists, pairs, penalty=0.0))
     gap = lambda m: abs(m.score("a muslim neighbour") - m.score("a christian neighbour"))
     assert gap(s) < gap(free)
     assert toxicity.Scorer(toxicity.fit(np.zeros(0), [], [])).score("x") < 0.01
