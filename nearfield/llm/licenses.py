@@ -1,22 +1,24 @@
 """Licence scan by a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line. Its word n-grams (one and two words) that have a weight
+A paragraph is a run of lines up to one without words. It is judged by its pieces: its lines, and the sentences of
+its folded text (white space made single spaces), so that notices broken into lines are read as one; long pieces are
+taken in windows of ``WINDOW`` words that overlap by more than any phrase has. A piece's word n-grams (one and two words) that have a weight
 in a sparse multinomial logistic regression are summed per licence family, one
 of the classes being "unknown". The model is trained on this file's phrases
-(a fixed, small set) and on variants with words left out; the weights' size is
-then scaled (one temperature) so that its probabilities fit variants that
-weren't trained on, and a family needs ``LEAST_PROBABILITY``. A prediction is
-confirmed if the paragraph holds ``LEAST_SHARED`` of the word pairs of one of the family's
-phrases.
-
-Every n-gram with a weight holds a cue word, and a paragraph without n-grams is
-"unknown" by the bias alone, so lines without a cue word are left out by one
+(a fixed, small set) and on variants with words left out. The weights' size is
+scaled by one temperature, so that its probabilities fit variants of phrases that a
+model of the other phrases has never seen, and a family needs ``LEAST_PROBABILITY``. A prediction is
+confirmed if the piece holds ``LEAST_SHARED`` of the word pairs of one of the family's
+phrases. A paragraph has the families of its pieces.
+
+Every n-gram with a weight holds a cue word, and a piece without n-grams is
+"unknown" by the bias alone, so paragraphs and pieces without a cue word are left out by one
 regular expression before they are taken apart. Weights and phrases are tables of
 a few thousand rows whatever the corpus's size, and are broadcast. What is
-shuffled are the n-grams of lines with cue words, added up before the shuffle.
+shuffled are the n-grams of pieces with cue words, added up before the shuffle.
 
 Defined results: null and empty texts have no families; rows with null or repeated
-doc_ids are judged each on its own; an empty table gives an empty table; extra
+doc_ids are judged each on its own; very long texts, paragraphs and lines are read whole; an empty table gives an empty table; extra
 columns aren't read.
 """
 
@@ -33,6 +35,10 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 LEAST_PROBABILITY, LEAST_SHARED = 0.7, 0.6
+#: Words of a piece that are judged together, and after how many the next such window begins.
+WINDOW, STEP = 240, 180
+#: What parts paragraphs, and the sentences of a folded one.
+PARTING, SENTENCE = r"\n[\x20\t\x0b\f\r]*\n", r"(?<=[.!?;:])\x20(?=[A-Z\"(\[])"
 
 #: Phrases of licences, by family.
 PHRASES = {
@@ -107,7 +113,7 @@ FAMILIES = tuple(PHRASES)
 COMMON = frozenset("a an and any are as at by file for free from in is it may not of on or person use used this that the to under using version with work you your copy charge except without all other 1 2 3 4 5 0 v 16 clear library patent".split())
 _TOKEN = r"[a-z0-9]+"
 #: Seconds of training are bounded: phrases, variants of each, steps.
-VARIANTS, STEPS, L1 = 12, 400, 2e-4
+VARIANTS, STEPS, L1, HELD_OUT = 12, 400, 2e-4, 4
 
 
 def tokens(text: str) -> list[str]:
@@ -139,41 +145,43 @@ def variants(words: list[str], rng: random.Random) -> list[list[str]]:
     return out
 
 
+def fitted(rows: list[tuple[set[str], int]], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of each n-gram by family, and the biases: proximal gradient with an L1 penalty."""
+    x, y = indicators(rows, names), np.eye(len(FAMILIES))[[k for _, k in rows]]
+    w, b, step = np.zeros((len(names), len(FAMILIES))), np.zeros(len(FAMILIES)), 4.0
+    for _ in range(STEPS):
+        p = softmax(x @ w + b)
+        w -= step * (x.T @ (p - y)) / len(x)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
+        b -= step * (p - y).mean(0)
+    return w, b
+
+
+def indicators(rows: list[tuple[set[str], int]], names: list[str]) -> np.ndarray:
+    place, x = {g: i for i, g in enumerate(names)}, np.zeros((len(rows), len(names)))
+    for i, (grams, _) in enumerate(rows):
+        x[i, [place[g] for g in grams if g in place]] = 1
+    return x
+
+
 @lru_cache(maxsize=1)
 def trained() -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Weights of each n-gram by family, and the biases: proximal gradient with an L1 penalty, then one temperature."""
+    """Weights of each n-gram by family, and the biases, over a temperature: the one that fits every ``HELD_OUT``-th phrase of a family best when a model of the others judges it."""
     rng = random.Random(17)
-    fit, test = [], []
+    fit, held = [], []
     for k, family in enumerate(FAMILIES):
-        for phrase in PHRASES[family]:
-            made = [(cued(ngrams(v)), k) for v in variants(tokens(phrase), rng)]
-            fit += made[: 1 + VARIANTS * 2 // 3]
-            test += made[1 + VARIANTS * 2 // 3 :]
+        for i, phrase in enumerate(PHRASES[family]):
+            (held if i % HELD_OUT == HELD_OUT - 1 else fit).extend((cued(ngrams(v)), k) for v in variants(tokens(phrase), rng))
     unknown = FAMILIES.index(UNKNOWN)
-    for word in sorted(cues()):  # a cue word alone says nothing
-        fit.append(({word}, unknown))
+    fit += [({word}, unknown) for word in sorted(cues())]  # a cue word alone says nothing
     fit += [(set(), unknown)] * 10
-    names = sorted(set().union(*(g for g, _ in fit)))
-    place = {g: i for i, g in enumerate(names)}
-
-    def matrix(rows):
-        x = np.zeros((len(rows), len(names)))
-        for i, (grams, _) in enumerate(rows):
-            x[i, [place[g] for g in grams if g in place]] = 1
-        return x, np.eye(len(FAMILIES))[[k for _, k in rows]]
-
-    x, y = matrix(fit)
-    w, b = np.zeros((len(names), len(FAMILIES))), np.zeros(len(FAMILIES))
-    step = 4.0
-    for _ in range(STEPS):
-        p = softmax(x @ w + b)
-        w -= step * (x.T @ (p - y)) / len(x)
-        w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
-        b -= step * (p - y).mean(0)
-    xt, yt = matrix(test)
-    loss = {t: -np.log(np.maximum((softmax((xt @ w + b) / t) * yt).sum(1), 1e-12)).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)}
+    names = sorted(set().union(*(g for g, _ in fit + held)))
+    w, b = fitted(fit, names)
+    z, every, own = indicators(held, names) @ w + b, np.arange(len(held)), np.array([k for _, k in held])
+    loss = {t: -np.log(np.maximum(softmax(z / t)[every, own], 1e-12)).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)}
     best = min(loss, key=loss.get)
-    return {g: w[i] / best for g, i in place.items() if np.abs(w[i]).max() > 1e-3}, b / best
+    w, b = fitted(fit + held, names)
+    return {g: w[i] / best for i, g in enumerate(names) if np.abs(w[i]).max() > 1e-3}, b / best
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -193,8 +201,12 @@ def templates() -> list[tuple[str, int, str, int]]:
     return out
 
 
+def cue_pattern() -> str:
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(cues(), key=lambda w: (-len(w), w))) + ")(?![a-z0-9])"
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, families (confirmed ones, joined by comma), n_license (confirmed paragraphs), n_unconfirmed, family, probability and coverage of the surest paragraph."""
+    """One row per document: id, families (confirmed ones, joined by comma), n_license (confirmed families of all paragraphs), n_unconfirmed, family, probability and coverage of the surest piece."""
     spark = docs.sparkSession
     weights, bias = trained()
     k = len(FAMILIES)
@@ -208,33 +220,39 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = "array<struct<gram: string, weight: array<double>, phrases: array<int>>>"
     known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(entries)), kind)))  # some hundred rows, from this file alone
 
-    cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(cues(), key=lambda w: (-len(w), w))) + ")(?![a-z0-9])"
-    lines = F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda line: line.rlike(cue))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), lines.alias("lines"))
-    rows = rows.select("row", "id", F.posexplode_outer("lines").alias("line", "text"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0))
-    rows = rows.select("row", "id", "line", words.alias("words"))
+    cue = cue_pattern()
+    told = lambda x: x.rlike(cue)
+    paragraphs = F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), PARTING), told)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), paragraphs.alias("paragraphs"))
+    rows = rows.select("row", "id", F.posexplode_outer("paragraphs").alias("paragraph", "text"))
+    folded = F.regexp_replace("text", r"[\x20\t-\r]+", " ")
+    pieces = F.filter(F.array_union(F.split("text", "\n"), F.split(folded, SENTENCE)), told)
+    rows = rows.select("row", "id", "paragraph", F.posexplode_outer(pieces).alias("piece", "text"))
+    rows = rows.select("row", "id", "paragraph", "piece", F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)).alias("words"))
+    begins = F.sequence(F.lit(1), F.greatest(F.size("words") - (WINDOW - STEP), F.lit(1)), F.lit(STEP))
+    rows = rows.select("row", "id", "paragraph", "piece", "words", F.explode_outer(F.when(F.size("words") > 0, begins)).alias("begin"))
+    rows = rows.select("row", "id", "paragraph", "piece", "begin", F.slice("words", F.col("begin"), F.lit(WINDOW)).alias("words"))
     grams = F.when(F.size("words") > 0, F.array_union(F.col("words"), F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))))
-    rows = rows.select("row", "id", "line", F.explode_outer(grams).alias("gram"))
+    rows = rows.select("row", "id", "paragraph", "piece", "begin", F.explode_outer(grams).alias("gram"))
     met = rows.join(F.broadcast(known), "gram", "left")
-    # one row per line: sums of weights by family, and how much of each phrase it holds
+    # one row per window: sums of weights by family, and how much of each phrase it holds
+    unit = ["row", "id", "paragraph", "piece", "begin"]
     sums = [F.sum(F.coalesce(F.col("weight")[i], F.lit(0.0))).alias(f"w{i}") for i in range(k)]
-    scored = met.groupBy("row", "id", "line").agg(*sums, F.flatten(F.collect_list("phrases")).alias("phrases"))  # numbers, at most one for each pair of each phrase of this file
+    scored = met.groupBy(*unit).agg(*sums, F.flatten(F.collect_list("phrases")).alias("phrases"))  # numbers, at most one for each pair of each phrase of this file
     logits = F.array(*[F.col(f"w{i}") + F.lit(float(bias[i])) for i in range(k)])
-    scored = scored.select("row", "id", "line", "phrases", logits.alias("z")).withColumn("top", F.array_max("z"))
+    scored = scored.select(*unit, "phrases", logits.alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("class", F.array_position("z", F.col("top")).cast("int") - 1)
     scored = scored.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, z: acc + F.exp(z - F.col("top"))))
     scored = scored.withColumn("family", F.when(F.col("probability") < LEAST_PROBABILITY, UNKNOWN).otherwise(F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("class") + 1)))
     scored = scored.withColumn("own", F.filter("phrases", lambda p: F.element_at(family_of, p + 1) == F.col("family")))
     shares = F.transform(F.array_distinct("own"), lambda p: F.size(F.filter("own", lambda q: q == p)) / F.element_at(size_of, p + 1))
     scored = scored.withColumn("coverage", F.coalesce(F.array_max(shares), F.lit(0.0)))
-    found = (F.col("line").isNotNull()) & (F.col("family") != UNKNOWN)
+    found = F.col("begin").isNotNull() & (F.col("family") != UNKNOWN)
     sure = found & (F.col("coverage") >= LEAST_SHARED)
     best = F.max(F.when(found, F.struct((F.col("coverage") >= LEAST_SHARED).alias("sure"), "probability", "coverage", "family")))
-    out = scored.groupBy("row", "id").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"),
-        F.count(F.when(sure, 1)).alias("n_license"),
-        F.count(F.when(found & ~sure, 1)).alias("n_unconfirmed"),
-        best.alias("best"),
-    )
-    return out.select(F.col("id").alias(id_col), "families", "n_license", "n_unconfirmed", F.col("best.family").alias("family"), F.col("best.probability").alias("probability"), F.col("best.coverage").alias("coverage"))
+    hit = F.struct("paragraph", "family")
+    out = scored.groupBy("row", "id").agg(F.collect_set(F.when(sure, hit)).alias("sure"), F.collect_set(F.when(found & ~sure, hit)).alias("unsure"), best.alias("best"))
+    return out.select(
+        F.col("id").alias(id_col), F.array_join(F.array_sort(F.array_distinct(F.col("sure.family"))), ",").alias("families"), F.size("sure").cast("bigint").alias("n_license"),
+        F.size(F.array_except("unsure", "sure")).cast("bigint").alias("n_unconfirmed"), F.col("best.family").alias("family"), F.col("best.probability").alias("probability"), F.col("best.coverage").alias("coverage"),
+    )

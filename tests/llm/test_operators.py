@@ -306,6 +306,66 @@ def test_licences_of_spdx_tags_and_versions(spark):
     assert {r.doc_id: r.families for r in licenses.scan_licenses(d).collect()} == {i: f for i, (f, _) in enumerate(rows)}
 
 
+NOTICES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+}
+
+
+def plain_licenses(text):
+    """(families, n_license, n_unconfirmed) by the rules of the operator, in plain Python."""
+    h = licenses
+    weights, bias = h.trained()
+    cue, sure, unsure = re.compile(h.cue_pattern(), re.ASCII), set(), set()
+    phrases = [(family, p) for family in h.FAMILIES if family != h.UNKNOWN for p in h.PHRASES[family]]
+    for place, paragraph in enumerate(p for p in re.split(h.PARTING, text or "") if cue.search(p)):
+        pieces = {*paragraph.split("\n"), *re.split(h.SENTENCE, re.sub(r"[\x20\t-\r]+", " ", paragraph))}
+        for piece in filter(cue.search, pieces):
+            words = h.tokens(piece)
+            for at in range(0, max(len(words) - (h.WINDOW - h.STEP), 1), h.STEP):
+                grams = h.ngrams(words[at : at + h.WINDOW])
+                p = h.softmax((bias + sum((weights[g] for g in grams if g in weights), np.zeros(len(bias))))[None])[0]
+                family = h.FAMILIES[int(p.argmax())]
+                if family == h.UNKNOWN or p.max() < h.LEAST_PROBABILITY:
+                    continue
+                share = 0.0
+                for own, phrase in phrases:
+                    t = h.tokens(phrase)
+                    pairs = {f"{a} {b}" for a, b in zip(t, t[1:])}
+                    share = max(share, len(pairs & grams) / len(pairs)) if own == family and pairs else share
+                (sure if share >= h.LEAST_SHARED else unsure).add((place, family))
+    return ",".join(sorted({f for _, f in sure})), len(sure), len(unsure - sure)
+
+
+def test_licences_in_wrapped_notices(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for family, text in NOTICES.items():
+        for width in (40, 50, 60, 70, 80):
+            for lead in ("", " * ", "# "):
+                rows.append((len(rows), "Some file\n\n" + "\n".join(lead + line for line in textwrap.wrap(text, width)) + "\n\nAnd more words of it."))
+                want[len(rows) - 1] = family
+    rows.append((len(rows), "\n\n".join("\n".join(textwrap.wrap(NOTICES[f], 60)) for f in ("mit", "gpl"))))
+    want[len(rows) - 1] = "gpl,mit"
+    got = {r.doc_id: r.families for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+    assert all(plain_licenses(t)[0] == want[i] for i, t in rows)
+
+
+@needs_data
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_licences_query_against_plain_python(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    got = {r.doc_id: (r.families, r.n_license, r.n_unconfirmed) for r in queries.op4_licenses(spark, f"/root/testdata/{sf}").collect()}
+    assert got == {i: plain_licenses(t) for i, t in docs.items()}
+    assert sum(n > 0 for _, n, _ in got.values()) > 0
+
+
 def test_licenses_run_no_python(spark):
     plan = licenses.scan_licenses(spark.range(5).select(F.col("id").alias("doc_id"), F.lit("text").alias("text")))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
