@@ -29,6 +29,14 @@ def pass_id(frame: DataFrame, id_col: str) -> str:
     return f"`{id_col}` {frame.schema[id_col].dataType.simpleString()}"
 
 
+def free_name(frame: DataFrame, name: str = "row_of_input") -> str:
+    """A column name that the frame doesn't have yet."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def schema_of(fields: list[str]) -> T.StructType:
     return T.StructType.fromDDL(", ".join(fields))
 

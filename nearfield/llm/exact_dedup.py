@@ -20,8 +20,8 @@ characters became one space. Digests are SHA-256.
 
 Defined results: null text counts as empty; of equal texts the smallest id
 stays, null ids come last; among equal rows with equal ids one stays, the first
-in the order of the table's files; an empty table gives an empty table; extra
-columns aren't read (``drop_duplicates`` returns them as they were).
+in the order of the table's files; very long texts are hashed whole; an empty table gives an empty table; extra
+columns aren't read (``drop_duplicates`` returns them as they were, whatever their names).
 """
 
 from __future__ import annotations
@@ -32,16 +32,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut
+from .common import cut, free_name
 
 FAN_IN = 8
 #: Entries that a cell should hold at most; the tree gets as many cells as that takes.
 CELL_ENTRIES = 400_000
 _ROW_BITS = 33
 
-RUN = T.StructType([T.StructField(*f) for f in (("sender", T.LongType()), ("digest", T.BinaryType()), ("absent", T.BooleanType()), ("id", T.LongType()), ("row", T.LongType()), ("size", T.LongType()), ("runs", T.ArrayType(T.IntegerType())))])
+#: Odd steps between the leaves that blocks of one partition are dealt to.
+_LEAF_STEP = 7919
+
+
+def run_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(*f) for f in (("sender", T.LongType()), ("digest", T.BinaryType()), ("absent", T.BooleanType()), ("id", id_type), ("row", T.LongType()), ("size", T.LongType()), ("runs", T.ArrayType(T.IntegerType())))])
+
+
+def comparable(ids: pa.Array) -> np.ndarray:
+    """Integers in the order of the ids; absent ones are zero."""
+    if pa.types.is_integer(ids.type):
+        return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.unique(np.array(["" if x is None else x for x in ids.to_pylist()], object), return_inverse=True)[1].astype(np.int64)
 
 
 def normalised(text):
@@ -83,7 +94,7 @@ def merged(table: pa.Table, sender: int, is_sorted: bool) -> pa.RecordBatch:
     col = {c: table.column(c).combine_chunks() for c in table.column_names}
     raw = b"".join(col["digest"].to_pylist())
     words = np.frombuffer(raw, ">u8").reshape(-1, 4).astype(np.uint64)
-    ids = col["id"].fill_null(0).to_numpy(zero_copy_only=False)
+    ids = comparable(col["id"])
     absent, rows, size = (col[c].to_numpy(zero_copy_only=False) for c in ("absent", "row", "size"))
     order, first = merge_runs(words, absent, ids, rows, col["sender"].to_numpy() if is_sorted else None)
     total = np.add.reduceat(size[order], first)
@@ -97,12 +108,12 @@ def merged(table: pa.Table, sender: int, is_sorted: bool) -> pa.RecordBatch:
     pairs = np.unique(np.repeat(place, lists.value_lengths().to_numpy()) << 32 | lists.flatten().to_numpy())
     runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs >> 32, np.arange(len(first) + 1)), pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32()))
     keep = pa.array(order[first])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), sender), pa.int64()), col["digest"].take(keep), col["absent"].take(keep), col["id"].take(keep), col["row"].take(keep), pa.array(total), runs], schema=to_arrow_schema(RUN))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), sender), pa.int64()), col["digest"].take(keep), col["absent"].take(keep), col["id"].take(keep), col["row"].take(keep), pa.array(total), runs], names=table.column_names)
 
 
 def sorted_runs(batches):
     """The first level: blocks of single rows become runs."""
-    part, arrow = TaskContext.get().partitionId(), to_arrow_schema(RUN)
+    part = TaskContext.get().partitionId()
     held, size, block = [], 0, 0
     for b in batches:
         held.append(b)
@@ -123,7 +134,13 @@ def merge_cell(batches):
 
 def digest_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, digest): one row per document, written. row holds the partition's number above ``_ROW_BITS`` bits."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)).alias("digest"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), whole_id(docs, id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)).alias("digest"))
+
+
+def whole_id(docs: DataFrame, id_col: str):
+    """The id as a long if it is a whole number, else as a string."""
+    kind = docs.schema[id_col].dataType
+    return F.col(f"`{id_col}`").cast("bigint" if isinstance(kind, T.IntegralType) else "string")
 
 
 def merge_tree(table: DataFrame) -> DataFrame:
@@ -132,20 +149,21 @@ def merge_tree(table: DataFrame) -> DataFrame:
     cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // CELL_ENTRIES))
     rounds = tree_shape(cells)
     cells = int(np.prod(rounds))
-    run = F.shiftright("row", _ROW_BITS).cast("int")
-    level = table.select(F.lit(0).cast("bigint").alias("sender"), "digest", F.col("id").isNull().alias("absent"), "id", "row", F.lit(1).cast("bigint").alias("size"), F.array(run).alias("runs")).mapInArrow(sorted_runs, RUN)
+    run, schema = F.shiftright("row", _ROW_BITS).cast("int"), run_schema(table.schema["id"].dataType)
+    level = table.select(F.lit(0).cast("bigint").alias("sender"), "digest", F.col("id").isNull().alias("absent"), "id", "row", F.lit(1).cast("bigint").alias("size"), F.array(run).alias("runs")).mapInArrow(sorted_runs, schema)
     slices = 1
     for fan_in in rounds:
-        # a cell's number is node * slices + slice; the first runs' nodes are their tasks
-        node = F.floor(F.pmod(F.shiftright("sender", 20), F.lit(cells)) / F.lit(slices * fan_in))
+        # a cell's number is node * slices + slice; the first runs' nodes are leaves, of which a partition's first block takes its own and others take those farther on
+        leaf = F.shiftright("sender", 20) + F.col("sender").bitwiseAND((1 << 20) - 1) * F.lit(_LEAF_STEP)
+        node = F.floor(F.pmod(leaf, F.lit(cells)) / F.lit(slices * fan_in))
         slices *= fan_in
         part = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint"), 32 - (slices.bit_length() - 1))
-        level = level.repartitionById(cells, (node * F.lit(slices) + part).cast("int")).mapInArrow(merge_cell, RUN)
+        level = level.repartitionById(cells, (node * F.lit(slices) + part).cast("int")).mapInArrow(merge_cell, schema)
     return level
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256, and row, which tells equal rows apart."""
+    """One row per document: id, keep_id, group_size, kept, text_sha256, and row, which tells equal rows apart. Whole-number ids are longs, others strings."""
     return resolve(cut(digest_table(docs, id_col, text_col)), id_col)
 
 
@@ -158,8 +176,8 @@ def resolve(table: DataFrame, id_col: str) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their columns. Documents are written once with a row number, which decisions are joined by."""
-    row = "__row_of_input"
+    row = free_name(docs)
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    table = cut(numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)).alias("digest")))
+    table = cut(numbered.select(F.col(row).alias("row"), whole_id(docs, id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)).alias("digest")))
     stay = resolve(table, id_col).where("kept").select(F.col("row").alias(row))
     return numbered.join(stay, row, "left_semi").drop(row)

@@ -23,8 +23,8 @@ folder after every round.
 Defined results: null text is an empty text, whose fingerprint is zero and
 links like any other; of a class the smallest id is named (null ids last), and
 among rows with this id the first in the order of the table's files is the one
-that ``drop_near_duplicates`` keeps; an empty table gives an empty table; extra
-columns aren't read.
+that ``drop_near_duplicates`` keeps, with its columns whatever their names; very long texts are read whole, in pieces of
+``PIECE_WORDS`` words; an empty table gives an empty table; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, cut_at, drop_table, free_name, pass_id
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints at home at one anchor above which it is split, and the most anchors that a broadcast list can split.
@@ -45,6 +45,8 @@ HOT_HOMES, HOT_ANCHORS = 4096, 50_000
 #: Distinct fingerprints from which two wide blocks serve better than three.
 WIDE_FROM = 200_000_000
 PAIRS_AT_ONCE = 2_000_000
+#: Words that are hashed together, and entries that a partition of anchors should hold.
+PIECE_WORDS, PARTITION_ENTRIES = 100_000, 4_000_000
 _SALT_BITS = 20
 
 CELL = T.StructType([T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("fp", T.LongType())])
@@ -57,17 +59,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8").lower().split()  # of bytes: A-Z only, and the six ASCII white-space characters
     if not words:
         return 0
-    joined = b" ".join(words)
+    count = max(len(words) - shingle + 1, 1)
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, count, PIECE_WORDS):
+        octets = np.array(shingle_hashes(words[i : i + PIECE_WORDS + shingle - 1], shingle), "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS_OF_BYTE for i in range(8)])
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0])
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
+    """XXH64 of every run of ``shingle`` words, or of all words where there are fewer."""
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.r_[0, ends[:-1]]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())]
-    octets = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS_OF_BYTE for i in range(8)])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+        return [digest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.r_[0, ends[:-1]]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())]
 
 
 class Covering:
@@ -214,22 +221,28 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD, blocks: int | No
                     cells, home, fp = salted(*part, shared.value)
                     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(home), pa.array(fp)], schema=arrow)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = count * sum(np.mean([len(m) for m in masks]) for _, _, _, masks in covering.blocks)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // PARTITION_ENTRIES))
     cells = fps.mapInArrow(replicate, CELL).repartition(n, "cell").sortWithinPartitions("cell", F.desc("home"))
     return cells.mapInArrow(lambda batches: compared(batches, threshold), LINK)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links, root being the smallest node reachable; alternating large and small stars."""
-    edges, before = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    """(node, root) for every node of the links, root being the smallest node reachable; alternating large and small stars. A round's tables are removed when the next is written."""
+    spark = links.sparkSession
+    edges, at = cut_at(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
     while True:
         # minima are written before the joins: then either side of a join is a shuffle of its own, and the partition of a row with very many links is split
         both = edges.union(edges.select("v", "u"))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low, low_at = cut_at(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large, large_at = cut_at(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down, down_at = cut_at(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        edges, new_at = cut_at(small)
+        for path in (at, low_at, large_at, down_at):
+            drop_table(spark, path)
+        at = new_at
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -239,13 +252,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, row=None) -> DataFrame:
     """(row, id, fp) of every document."""
-    rows = docs.select((F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select((F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(values):
         for row, key, text in values:
             yield row, key, fingerprint(text)
 
-    return arrow_map(rows, ["row", "id", "text"], run, ["row bigint", "id bigint", "fp bigint"])
+    return arrow_map(rows, ["row", "id", "text"], run, ["row bigint", pass_id(rows, "id"), "fp bigint"])
 
 
 def classes(table: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -268,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The first document of each class, with its columns. Documents are written once with a row number, which decisions are joined by."""
-    row = "__row_of_input"
+    row = free_name(docs)
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     table = cut(fingerprints(numbered, id_col, text_col, row))
     stay = classes(table, threshold).select(F.col("first.row").alias(row)).distinct()

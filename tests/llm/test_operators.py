@@ -75,6 +75,39 @@ def test_secret_and_quality_filters_keep_rows_as_they_were(spark, odd):
     assert secrets.drop_documents(odd.limit(0), queries.RANKS).count() == quality.filter_documents(odd.limit(0)).count() == 0
 
 
+def test_ids_that_are_strings_and_columns_of_any_name(spark):
+    rows = [("b", "x y", 1), ("a", "x  y", 2), ("c", "z", 3), (None, "z", 4), ("ä", "x y", 5), ("a", "x y", 6)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, row_of_input int").withColumn("ROW_OF_INPUT_", F.lit("clash")).repartition(3)
+    got = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(d).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {**{(i, digest("x y")): ("a", 4) for i in ("a", "b", "ä")}, **{(i, digest("z")): ("c", 2) for i in ("c", None)}}
+    for drop in (exact_dedup.drop_duplicates, simhash.drop_near_duplicates):
+        stay = drop(d)
+        assert stay.columns == d.columns and sorted(r.doc_id for r in stay.collect()) == ["a", "c"]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()} == {"a": "a", "b": "a", "ä": "a", "c": "c", None: "c"}
+
+
+def test_many_blocks_of_one_partition(spark):
+    """A partition of many runs, which are dealt to leaves of their own."""
+    d = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id % 700) AS text").coalesce(1)
+    old = exact_dedup.CELL_ENTRIES
+    exact_dedup.CELL_ENTRIES = 100
+    try:
+        got = exact_dedup.exact_duplicates(d).toPandas()
+    finally:
+        exact_dedup.CELL_ENTRIES = old
+    assert (got.keep_id == got.doc_id % 700).all() and (got.kept == (got.doc_id < 700)).all() and got.group_size.sum() == sum(((4000 - 1 - i) // 700 + 1) ** 2 for i in range(700))
+
+
+def test_two_and_three_blocks_find_the_same_classes(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**63), 2**63 - 1, 50, dtype=np.int64)
+    fps = np.unique([b ^ np.int64(np.uint64(sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 6), replace=False))).view(np.int64)) for b in base for _ in range(5)])
+    d = spark.createDataFrame([(int(x),) for x in fps], "fp bigint")
+    found = [{r.node: r.root for r in simhash.components(simhash.near_links(d, blocks=b)).collect()} for b in (2, 3)]
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_equal_rows_leave_one(spark):
     d = spark.createDataFrame([(1, "a b")] * 5 + [(None, "c")] * 3, "doc_id bigint, text string").repartition(4)
     assert exact_dedup.drop_duplicates(d).count() == 2 and simhash.drop_near_duplicates(d).count() == 2

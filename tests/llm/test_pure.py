@@ -166,6 +166,16 @@ def test_fingerprints(text):
     assert simhash.fingerprint(text) % (1 << 64) == slow_fingerprint(text)
 
 
+def test_long_texts_in_pieces():
+    old, text = simhash.PIECE_WORDS, " ".join(f"w{i % 97}" for i in range(500))
+    whole = simhash.fingerprint(text)
+    simhash.PIECE_WORDS = 7
+    try:
+        assert simhash.fingerprint(text) == whole and whole % (1 << 64) == slow_fingerprint(text)
+    finally:
+        simhash.PIECE_WORDS = old
+
+
 @given(st.lists(st.sampled_from("a b c\n ## | \x1c é".split(" ") + ["\n", " "]), max_size=80))
 @settings(max_examples=150, deadline=None)
 def test_quality_counts(parts):
