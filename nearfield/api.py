@@ -16,6 +16,7 @@ from .operators.cells import CellIndex
 from .operators.graphs import GraphIndex, clustered_knn_graph
 from .operators.kmeans import assign, train_centroids  # noqa: F401 - part of the API
 from .operators.kmknn import KMkNN
+from .operators.routers import KMeansParams
 from .sources import persist
 
 
@@ -28,8 +29,8 @@ def build_exhaustive_index(base: DataFrame, metric: str = "euclidean", **more) -
     return _cells(base, "exhaustive", metric, **more)
 
 
-def build_kmknn_index(base: DataFrame, metric: str = "euclidean", nlist: int | None = None, **more) -> KMkNN:
-    return KMkNN.build(base, metric, nlist, **more)
+def build_kmknn_index(base: DataFrame, metric: str = "euclidean", nlist: int | None = None, k_means_params: KMeansParams | None = None, **more) -> KMkNN:
+    return KMkNN.build(base, metric, nlist, k_means_params, **more)
 
 
 def build_annoy_index(base: DataFrame, metric: str = "euclidean", n_trees: int = 25, **more) -> CellIndex:
@@ -50,29 +51,29 @@ def build_lsh_index(base: DataFrame, metric: str = "euclidean", num_tables: int
     return _cells(base, "lsh", metric, R.Hashes(num_tables, bits_per_hash, slot_bits), **more)
 
 
-def build_ivf_index(base: DataFrame, nlist: int | None = None, metric: str = "euclidean", balance: bool = False, **more) -> CellIndex:
-    return _cells(base, "ivf", metric, R.Centroids(nlist, balance=balance), **more)
+def build_ivf_index(base: DataFrame, nlist: int | None = None, metric: str = "euclidean", k_means_params: KMeansParams | None = None, **more) -> CellIndex:
+    return _cells(base, "ivf", metric, R.Centroids(nlist, k_means_params), **more)
 
 
-def build_soar_index(base: DataFrame, nlist: int | None = None, rule: str | None = None, weight: float | None = None, metric: str = "euclidean", **more) -> CellIndex:
+def build_soar_index(base: DataFrame, nlist: int | None = None, rule: str | None = None, weight: float | None = None, metric: str = "euclidean", k_means_params: KMeansParams | None = None, **more) -> CellIndex:
     """rule: nearest, shifted (weight mu), or orthogonal (weight lambda)."""
-    return _cells(base, "soar", metric, R.Spilled(nlist, rule, weight), **more)
+    return _cells(base, "soar", metric, R.Spilled(nlist, rule, weight, params=k_means_params), **more)
 
 
 def build_exhaustive_bf16_index(base, metric="euclidean", **more):
     return _cells(base, "exhaustive_bf16", metric, None, C.BFloat16, **more)
 
 
-def build_ivf_bf16_index(base, nlist=None, metric="euclidean", **more):
-    return _cells(base, "ivf_bf16", metric, R.Centroids(nlist), C.BFloat16, **more)
+def build_ivf_bf16_index(base, nlist=None, metric="euclidean", k_means_params=None, **more):
+    return _cells(base, "ivf_bf16", metric, R.Centroids(nlist, k_means_params), C.BFloat16, **more)
 
 
 def build_exhaustive_sq8_index(base, metric="euclidean", **more):
     return _cells(base, "exhaustive_sq8", metric, None, C.SQ8, **more)
 
 
-def build_ivf_sq8_index(base, nlist=None, metric="euclidean", **more):
-    return _cells(base, "ivf_sq8", metric, R.Centroids(nlist), C.SQ8, **more)
+def build_ivf_sq8_index(base, nlist=None, metric="euclidean", k_means_params=None, **more):
+    return _cells(base, "ivf_sq8", metric, R.Centroids(nlist, k_means_params), C.SQ8, **more)
 
 
 def build_exhaustive_pq_index(base, m=8, n_pq_centroids=256, metric="euclidean", **more):
@@ -83,30 +84,31 @@ def build_exhaustive_opq_index(base, m=8, n_pq_centroids=256, opq_iter=3, metric
     return _cells(base, "exhaustive_opq", metric, None, lambda d: C.OPQ(d, m, n_pq_centroids, False, opq_iter), **more)
 
 
-def build_ivf_pq_index(base, nlist=None, m=8, n_pq_centroids=256, metric="euclidean", **more):
-    return _cells(base, "ivf_pq", metric, R.Centroids(nlist), lambda d: C.PQ(d, m, n_pq_centroids), **more)
+def build_ivf_pq_index(base, nlist=None, m=8, n_pq_centroids=256, metric="euclidean", k_means_params=None, **more):
+    return _cells(base, "ivf_pq", metric, R.Centroids(nlist, k_means_params), lambda d: C.PQ(d, m, n_pq_centroids), **more)
 
 
-def build_ivf_opq_index(base, nlist=None, m=8, n_opq_centroids=256, opq_iter=3, metric="euclidean", **more):
-    return _cells(base, "ivf_opq", metric, R.Centroids(nlist), lambda d: C.OPQ(d, m, n_opq_centroids, True, opq_iter), **more)
+def build_ivf_opq_index(base, nlist=None, m=8, n_opq_centroids=256, opq_iter=3, metric="euclidean", k_means_params=None, **more):
+    return _cells(base, "ivf_opq", metric, R.Centroids(nlist, k_means_params), lambda d: C.OPQ(d, m, n_opq_centroids, True, opq_iter), **more)
 
 
-def build_soar_pq_index(base, nlist=None, m=8, rule=None, weight=None, n_pq_centroids=256, metric="euclidean", **more):
-    return _cells(base, "soar_pq", metric, R.Spilled(nlist, rule, weight), lambda d: C.PQ(d, m, n_pq_centroids), **more)
+def build_soar_pq_index(base, nlist=None, m=8, rule=None, weight=None, n_pq_centroids=256, metric="euclidean", k_means_params=None, **more):
+    return _cells(base, "soar_pq", metric, R.Spilled(nlist, rule, weight, params=k_means_params), lambda d: C.PQ(d, m, n_pq_centroids), **more)
 
 
-def build_soar_opq_index(base, nlist=None, m=8, rule=None, weight=None, n_opq_centroids=256, opq_iter=3, metric="euclidean", **more):
-    return _cells(base, "soar_opq", metric, R.Spilled(nlist, rule, weight), lambda d: C.OPQ(d, m, n_opq_centroids, True, opq_iter), **more)
+def build_soar_opq_index(base, nlist=None, m=8, rule=None, weight=None, n_opq_centroids=256, opq_iter=3, metric="euclidean", k_means_params=None, **more):
+    return _cells(base, "soar_opq", metric, R.Spilled(nlist, rule, weight, params=k_means_params), lambda d: C.OPQ(d, m, n_opq_centroids, True, opq_iter), **more)
 
 
 def build_exhaustive_index_binary(base, n_bits=256, binary_init="random", metric="cosine", asymmetric=False, **more):
     return _cells(base, "exhaustive_binary", metric, None, lambda d: C.Binary(d, n_bits, binary_init, asymmetric), **more)
 
 
-def build_ivf_index_binary(base, n_bits=256, nlist=None, binary_init="random", metric="euclidean", asymmetric=False, **more):
+def build_ivf_index_binary(base, n_bits=256, nlist=None, binary_init="random", metric="euclidean", asymmetric=False, residual=False, k_means_params=None, **more):
+    """residual: rows, and queries anew for each cell that is looked at, are coded less its centroid (binary_init "sign" only)."""
     if parse_metric(metric) == "manhattan":
         raise ValueError("no Manhattan distance over compressed vectors")
-    return _cells(base, "ivf_binary", metric, R.Centroids(nlist), lambda d: C.Binary(d, n_bits, binary_init, asymmetric), **more)
+    return _cells(base, "ivf_binary", metric, R.Centroids(nlist, k_means_params), lambda d: C.Binary(d, n_bits, binary_init, asymmetric, residual), **more)
 
 
 def build_exhaustive_index_rabitq(base, n_clust=None, metric="euclidean", **more):
@@ -188,6 +190,11 @@ def save_index(index, path: str) -> None:
     index.save(path)
 
 
+def save_store(index: CellIndex, path: str) -> None:
+    """The vectors that an index re-ranks by, at a place of their own; ``index.with_store(path)`` reads them from there."""
+    index.save_store(path)
+
+
 def load_index(spark: SparkSession, path: str, kind: str | None = None, element: str | None = None):
     """The index saved at a path; raises a subclass of ``persist.IndexFormatError`` that says what is wrong with it."""
     found = persist.load(spark, path, kind, element)[0]

@@ -6,21 +6,31 @@ import numpy as np
 import pyarrow as pa
 
 #: Distances that a block holds at once.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 1_000_000
 
 
-def matrix(column) -> np.ndarray:
-    """An Arrow column of equally long lists, or of equally long binaries, as rows of a matrix."""
+def matrix(column, dim: int | None = None) -> np.ndarray:
+    """An Arrow column of equally long lists, or of equally long binaries, as rows of a matrix. Null rows or elements, NaN, and rows of other lengths raise."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    if not n:
+        return np.zeros((0, dim or 0), np.uint8 if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else np.float64)
+    if column.null_count:
+        raise ValueError("a vector is null")
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
         raw = b"".join(column.to_pylist())
-        return np.frombuffer(raw, np.uint8).reshape(n, -1) if n else np.zeros((0, 0), np.uint8)
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    if n and len(values) % n:
-        raise ValueError("vectors differ in length")
-    return values.reshape(n, -1) if n else np.zeros((0, 0))
+        return np.frombuffer(raw, np.uint8).reshape(n, -1)
+    values, ends = column.flatten(), column.offsets.to_numpy()
+    size = np.diff(ends)
+    if (size != size[0]).any() or dim is not None and size[0] != dim:
+        raise ValueError(f"vectors differ in length: {sorted(set(size.tolist()))[:5]}" + (f" where {dim} is wanted" if dim is not None else ""))
+    if values.null_count:
+        raise ValueError("a vector has a null element")
+    out = values.to_numpy(zero_copy_only=False).reshape(n, -1)
+    if out.dtype.kind == "f" and np.isnan(out).any():
+        raise ValueError("a vector has a NaN element")
+    return out
 
 
 def lists(rows: np.ndarray, kind=None) -> pa.ListArray:
@@ -63,18 +73,21 @@ def pairs(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if metric == "cosine":
         norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
         return np.where(norms > 0, 1 - (a * b).sum(1) / np.where(norms > 0, norms, 1), 1.0)
-    return ((a - b) ** 2).sum(1)
+    diff = a - b
+    return np.einsum("ij,ij->i", diff, diff)
 
 
-def top(dist: np.ndarray, ids: np.ndarray, k: int, exact=None, bound: np.ndarray | None = None, room: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, distance) of the k nearest of each row, by distance and then id; ties at the k-th place are all looked at.
+#: Pairs whose distances are taken again together, so that their rows stay in the processor's cache.
+PAIRS = 4_096
+
+
+def near(dist: np.ndarray, ids: np.ndarray, k: int, exact=None, bound: np.ndarray | None = None, room: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, distance, what a row's k-th distance in the block doesn't exceed) of all that may be among the k nearest of each row, rows in order.
 
     exact(rows, cols) gives the distances again where those of the block are rounded by up to ``room``; infinite ones are left out.
     bound: what a row's k-th distance is already known not to exceed; where all rows have one, nothing has to be selected.
     """
     n, m = dist.shape
-    if not n or not m:
-        return np.zeros(0, np.int64), ids[:0], np.zeros(0)
     if bound is not None and np.isfinite(bound).all():
         last = bound
     else:
@@ -83,14 +96,25 @@ def top(dist: np.ndarray, ids: np.ndarray, k: int, exact=None, bound: np.ndarray
     slack = 1e-7 * np.maximum(1, np.abs(np.where(np.isfinite(last), last, 0)))
     slack = slack if room is None else slack + room
     rows, cols = np.divmod(np.flatnonzero(dist <= (last + slack)[:, None].astype(dist.dtype)), m)
-    value = (exact(rows, cols) if exact and len(rows) else dist[rows, cols]).astype(np.float64)
+    if exact and len(rows):
+        value = np.concatenate([exact(rows[i : i + PAIRS], cols[i : i + PAIRS]) for i in range(0, len(rows), PAIRS)]).astype(np.float64)
+    else:
+        value = dist[rows, cols].astype(np.float64)
     some = np.isfinite(value) & np.isfinite(dist[rows, cols])
-    rows, cols, value = rows[some], cols[some], value[some]
-    order = np.lexsort((ids[cols], value, rows))
-    rows, cols, value = rows[order], cols[order], value[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
-    keep = place < k
-    return rows[keep], ids[cols[keep]], value[keep]
+    if not some.all():
+        rows, cols, value = rows[some], cols[some], value[some]
+    return rows, ids[cols], value, last + slack if m >= k else np.full(n, np.inf)
+
+
+def top(dist: np.ndarray, ids: np.ndarray, k: int, exact=None, bound: np.ndarray | None = None, room: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, distance) of the k nearest of each row, by distance and then id; ties at the k-th place are all looked at."""
+    if not dist.size:
+        return np.zeros(0, np.int64), ids[:0], np.zeros(0)
+    rows, found, value, _ = near(dist, ids, k, exact, bound, room)
+    order = np.lexsort((found, value, rows))
+    rows, found, value = rows[order], found[order], value[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
+    return rows[keep], found[keep], value[keep]
 
 
 def nearest(metric: str, q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int):

@@ -37,6 +37,16 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 25, seed: int = 42) -> np.ndarray
     return c
 
 
+def products(metric: str, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(block, offsets, room): distances less an offset for each query from one product in 32 bits, and how far rounding may take them."""
+    error = 4 * (v.shape[1] + 8) * 6e-8
+    if metric == "cosine":
+        return -unit(np.asarray(q, np.float64)).astype(np.float32) @ unit(v).T.astype(np.float32), np.ones(len(q)), error
+    norms, own = (v * v).sum(1), (np.asarray(q, np.float64) ** 2).sum(1)
+    wide = np.concatenate([-2 * np.asarray(q, np.float32), np.ones((len(q), 1), np.float32)], 1)
+    return wide @ np.concatenate([v, norms[:, None]], 1).T, own, error * float(own.max() + norms.max())
+
+
 class Raw:
     """The vectors themselves, in 32 or 64 bits."""
 
@@ -70,19 +80,14 @@ class Raw:
         out += (q * q).sum(1)[:, None]
         return out
 
-    def partial(self, q, codes):
-        """(block, offsets, room): distances less an offset for each query, from one product of 32-bit rows; None for room where they are in doubles."""
+    def partial(self, q, codes, centre=None):
+        """``products`` of 32-bit rows; None for room where distances are in doubles."""
         v = self.decode(codes)
         if self.dtype != "<f4" or self.metric == "manhattan":
             return distances(self.metric, q, v), np.zeros(len(q)), None
-        error = 4 * (v.shape[1] + 8) * 6e-8
-        if self.metric == "cosine":
-            return -unit(q).astype(np.float32) @ unit(v).T, np.ones(len(q)), error
-        norms, own = (v * v).sum(1), (np.asarray(q, np.float64) ** 2).sum(1)
-        wide = np.concatenate([-2 * np.asarray(q, np.float32), np.ones((len(q), 1), np.float32)], 1)
-        return wide @ np.concatenate([v, norms[:, None]], 1).T, own, error * float(own.max() + norms.max())
+        return products(self.metric, q, v)
 
-    def exact(self, q, codes):
+    def exact(self, q, codes, centre=None):
         return pairs(self.metric, q, self.decode(codes))
 
 
@@ -115,6 +120,12 @@ class BFloat16:
     def score(self, q, codes, centre=None):
         return distances(self.metric, q, self.decode(codes)).astype(np.float32)
 
+    def partial(self, q, codes, centre=None):
+        return products(self.metric, q, self.decode(codes))
+
+    def exact(self, q, codes, centre=None):
+        return pairs(self.metric, q, self.decode(codes)).astype(np.float32)
+
 
 class SQ8:
     """Signed bytes with a symmetric scale for each dimension, max(abs) / 128; distances are those of the whole-number codes."""
@@ -152,6 +163,15 @@ class SQ8:
     def score(self, q, codes, centre=None):
         return distances(self.metric, self.whole(q), codes.view(np.int8))
 
+    def partial(self, q, codes, centre=None):
+        """Whole numbers below 2^24 are exact in 32 bits, so squared distances of up to 340 dimensions have no error."""
+        whole, v = self.whole(q).astype(np.float32), codes.view(np.int8).astype(np.float32)
+        out, own, room = products(self.metric, whole, v)
+        return out, own, (0.0 if self.metric == "euclidean" and v.shape[1] <= 340 else room)
+
+    def exact(self, q, codes, centre=None):
+        return pairs(self.metric, self.whole(q), codes.view(np.int8))
+
 
 class PQ:
     """Product quantisation: m sub-spaces of up to 256 centroids; scores are sums of table look-ups (squared L2, of unit vectors for cosine).
@@ -213,9 +233,16 @@ class PQ:
         y = self.turned(q, centre)
         out = np.zeros((len(q), len(codes)))
         for j, (part, book) in enumerate(zip(np.split(y, self.m, axis=1), self.books)):
-            out += distances("euclidean", part, book)[:, codes[:, j]]
+            out += np.take(distances("euclidean", part, book), codes[:, j], axis=1)
         return out
 
+    def partial(self, q, codes, centre=None):
+        """A sum of look-ups is the distance to the row that the codes rebuild, so one product gives a block of them."""
+        return products("euclidean", self.turned(q, centre), self.rebuilt(codes).astype(np.float32))
+
+    def exact(self, q, codes, centre=None):
+        return pairs("euclidean", self.turned(q, centre), self.rebuilt(codes))
+
 
 def OPQ(metric: str, m: int = 8, centroids: int = 256, residual: bool = True, rotations: int = 3) -> PQ:
     """Product quantisation after a learned rotation."""
@@ -233,11 +260,13 @@ class Binary:
     """Sign bits: of centred random projections, of principal components (padded with random directions), or of the coordinates.
 
     score: Hamming distance; with ``asymmetric`` the negated dot product of the query with codes of -1 and 1.
+    residual (coordinates only): rows and queries are coded less the centroid of the cell that is looked at, for cosine as unit vectors.
     """
 
-    residual = False
-
-    def __init__(self, metric: str, bits: int = 256, init: str = "random", asymmetric: bool = False):
+    def __init__(self, metric: str, bits: int = 256, init: str = "random", asymmetric: bool = False, residual: bool = False):
+        if residual and parse_binariser(init) != "sign":
+            raise ValueError("projections have a frame of their own: residuals are coded by sign only")
+        self.residual = residual
         self.metric, self.bits, self.init, self.asymmetric = metric, bits, parse_binariser(init), asymmetric
         self.mean = self.axes = None
         self.distance_kind = "negative_asymmetric_dot" if asymmetric else "hamming"
@@ -263,25 +292,26 @@ class Binary:
         self.axes = axes[:, : self.bits]
         return self
 
-    def project(self, x):
-        y = self.ready(x) - self.mean
+    def project(self, x, centre=None):
+        y = self.ready(x) - (self.mean if centre is None else centre)
         return y if self.axes is None else y @ self.axes
 
     def encode(self, x, centre=None):
-        return np.packbits(self.project(x) >= 0, axis=1)
+        return np.packbits(self.project(x, centre) >= 0, axis=1)
 
     def score(self, q, codes, centre=None):
         if self.asymmetric:
-            return -(self.project(q) @ (2.0 * np.unpackbits(codes, axis=1)[:, : self.bits] - 1).T)
-        return hamming_block(self.encode(q), codes)
+            return -(self.project(q, centre) @ (2.0 * np.unpackbits(codes, axis=1)[:, : self.bits] - 1).T)
+        return hamming_block(self.encode(q, centre), codes)
 
 
 def hamming_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of all pairs of two blocks of byte rows."""
-    out = np.zeros((len(a), len(b)), np.int64)
+    """Differing bits of all pairs of two blocks of byte rows, eight bytes at a time."""
+    a, b = (np.ascontiguousarray(np.pad(x, ((0, 0), (0, -x.shape[1] % 8)))).view(np.uint64) for x in (a, b))
+    out = np.zeros((len(a), len(b)), np.float32)
     for j in range(a.shape[1]):
         out += np.bitwise_count(a[:, j, None] ^ b[None, :, j])
-    return out.astype(np.float64)
+    return out
 
 
 class RaBitQ:
@@ -378,11 +408,20 @@ class TurboQuant:
         planes = [np.packbits(code >> b & 1, axis=1) for b in range(self.bits)]
         return np.concatenate([*planes, side.view(np.uint8).reshape(len(x), -1)], 1)
 
-    def score(self, q, codes, centre=None):
-        q = np.asarray(q, np.float64)
+    def unpacked(self, codes) -> tuple[np.ndarray, np.ndarray]:
+        """The level of each coordinate, and the norm and correction of each row."""
         w = len(self.turn) // 8
         code = sum(np.unpackbits(codes[:, b * w : (b + 1) * w], axis=1).astype(np.int64) << b for b in range(self.bits))
-        side = np.ascontiguousarray(codes[:, -8:]).view("<f4").astype(np.float64)
+        return code, np.ascontiguousarray(codes[:, -8:]).view("<f4").astype(np.float64)
+
+    def decode(self, codes, centre=None):
+        """Rows rebuilt: the levels turned back, with their correction, times the norm."""
+        code, side = self.unpacked(codes)
+        return (self.levels[code] @ self.turn.T) * (side[:, 1] * side[:, 0])[:, None]
+
+    def score(self, q, codes, centre=None):
+        q = np.asarray(q, np.float64)
+        code, side = self.unpacked(codes)
         cosine = (unit(q) @ self.turn) @ self.levels[code].T * side[:, 1]
         if self.metric == "cosine":
             zero = (np.linalg.norm(q, axis=1) == 0)[:, None] | (side[:, 0] == 0)

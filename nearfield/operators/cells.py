@@ -7,9 +7,9 @@ numpy, and a top-k. Two plans give the same result:
 
 * Queries up to ``BROADCAST_BYTES`` are broadcast with their cell lists; rows are scanned where they
   lie, nothing of the index is shuffled, and each task sends on at most k
-  candidates a query.
+  candidates a query. A task knows what a query's k-th distance can't exceed after its first cell, and from then on only looks at what is nearer.
 * More queries than that are dealt by cell and meet the rows of a cell in a
-  co-group. Cells over ``CELL_ROWS`` rows and the queries of a cell are cut into
+  co-group. Cells over ``CELL_ROWS`` rows, and those that over ``QUERY_BLOCK`` queries look at (both are counted), are cut into
   salted blocks first, so no task holds a whole hot cell.
 """
 
@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codecs as C
-from ..functions.blocks import binaries, lists, matrix, merge_top, top
+from ..functions.blocks import BLOCK_CELLS, binaries, lists, matrix, merge_top, near, top
 from ..functions.vectors import distance, parse_metric
 from ..sources import persist
 from ..sources.tables import materialise
@@ -33,17 +34,32 @@ CELL_ROWS = 20_000
 QUERY_BLOCK = 20_000
 #: Cells up to which a scan is told which ones to read, for Parquet to skip the rest.
 PUSHED_CELLS = 500
+#: Rows of a cell that are scored together, and candidates that a task gathers before it drops those that can't be among the nearest.
+SCAN_ROWS, GATHERED = 8_192, 2_000_000
+#: Bytes of an index that a partition should hold.
+PARTITION_BYTES = 128 << 20
 _FOUND = "qid bigint, id bigint, distance double"
-CLASSES = {c.__name__: c for c in (*R.ROUTERS.values(), C.Raw, C.BFloat16, C.SQ8, C.PQ, C.Binary, C.RaBitQ, C.TurboQuant)}
-
-
-def sample(frame: DataFrame, n: int, seed: int) -> np.ndarray:
-    """At most n vectors, those with the smallest hashes of id and seed, whatever the partitions."""
-    rows = frame.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).select("vec").toArrow()
+CLASSES = {c.__name__: c for c in (*R.ROUTERS.values(), R.KMeansParams, C.Raw, C.BFloat16, C.SQ8, C.PQ, C.Binary, C.RaBitQ, C.TurboQuant)}
+
+
+def sample(frame: DataFrame, n: int, seed: int, total: int | None = None) -> np.ndarray:
+    """At most n vectors, those with the smallest hashes of id and seed, whatever the partitions. total: the frame's rows, so that only those with hashes
+    below what n rows will have are sorted."""
+    key = F.xxhash64("id", F.lit(seed))
+    few = frame
+    if total and n < total:
+        share = (n + 8 * n**0.5 + 64) / total
+        few = frame.where(key < int(-(1 << 63) + share * (1 << 64))) if share < 1 else frame
+    rows = few.orderBy(key, "id").limit(n).select("vec").toArrow()
+    if few is not frame and rows.num_rows < n:
+        return sample(frame, n, seed)
     return np.asarray(matrix(rows.column("vec")), np.float64)
 
 
 def as_vectors(frame: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    kind = frame.schema[vec_col].dataType
+    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))):
+        raise TypeError(f"{vec_col} must be an array of float or double, not {kind.simpleString()}")
     return frame.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vec_col}`").alias("vec"))
 
 
@@ -52,6 +68,7 @@ class CellIndex:
         self.kind, self.metric, self.router, self.codec = kind, metric, router, codec
         self.rows, self.vectors, self.sizes, self.n, self.dim, self.element = rows, vectors, sizes, n, dim, element
         self.defaults = defaults or {}
+        self.store = vectors  # what re-ranking reads
 
     @property
     def distance_kind(self) -> str:
@@ -65,9 +82,10 @@ class CellIndex:
         router, codec = router or R.OneCell(), codec or C.Raw(metric, "<f8" if element == "double" else "<f4")
         n = vectors.count()
         size = router.sample_size(n, router.lists(n)) if isinstance(router, R.Centroids) else min(n, 50_000)
-        few = sample(vectors, max(size, min(n, 50_000) if not isinstance(codec, C.Raw) else 1), seed)
-        if not len(few):
+        if not n:
             raise ValueError("no vectors to index")
+        few = sample(vectors, max(size, min(n, 50_000) if not isinstance(codec, C.Raw) else 1), seed, n)
+        dim = few.shape[1]
         router.fit(few[: max(size, 1)], n, metric, seed)
         if isinstance(codec, C.SQ8):
             codec.fit_maxima(maxima(vectors, codec))
@@ -82,7 +100,7 @@ class CellIndex:
             for b in batches:
                 if not b.num_rows:
                     continue
-                ids, x = b.column(0).to_numpy(), np.asarray(matrix(b.column(1)), np.float64)
+                ids, x = b.column(0).to_numpy(), np.asarray(matrix(b.column(1), dim), np.float64)
                 row, cell, primary = router.assign(x)
                 home = np.empty(len(x), np.int64)
                 home[row[primary]] = cell[primary]
@@ -98,10 +116,15 @@ class CellIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home[row]), pa.array(ids[row]), binaries(code)], names=["cell", "home", "id", "code"])
 
         rows = vectors.mapInArrow(encode, "cell bigint, home bigint, id bigint, code binary")
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        rows = materialise(rows if router.cells == 1 else rows.repartition(parts, "cell", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("cell"))
+        width = 32 + len(codec.encode(few[:1], cell_centre(router, codec, 0))[0])
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * router.copies * width // PARTITION_BYTES))
+        if router.cells > 1:
+            largest = np.unique(router.assign(few[:20_000])[1], return_counts=True)[1].max() / min(len(few), 20_000) * n
+            salts = max(1, min(64, int(largest // (4 * CELL_ROWS))))  # so that one large cell is several partitions
+            rows = rows.repartition(parts, "cell", F.pmod(F.xxhash64("id"), F.lit(salts))).sortWithinPartitions("cell")
+        rows = materialise(rows)
         sizes = {r[0]: r[1] for r in rows.where("cell = home").groupBy("cell").count().collect()} if router.copies <= 2 else {r[0]: r[1] for r in rows.groupBy("cell").count().collect()}
-        return cls(kind, metric, router, codec, rows, vectors, sizes, n, few.shape[1], element, defaults)
+        return cls(kind, metric, router, codec, rows, vectors, sizes, n, dim, element, defaults)
 
     # search
 
@@ -111,12 +134,14 @@ class CellIndex:
             raise ValueError("k must be 1 or more")
         params = self.defaults | params
         rerank = params.pop("rerank", False) if rerank is None else rerank
+        if unknown := params.keys() - {"plan", *self.router.SEARCH}:
+            raise TypeError(f"unknown search parameters: {', '.join(sorted(unknown))}")
         q = as_vectors(queries, id_col, vec_col)
         want = min(k * (rerank_factor if rerank else 1), self.n)
         found = self.candidates(q, want, params)
         if rerank:
             pairs = top_k(found, want, self.router.copies > 1).select("qid", "id")
-            pairs = pairs.join(self.vectors, "id").join(q.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
+            pairs = pairs.join(self.store, "id").join(q.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
             found = pairs.select("qid", "id", distance(self.metric)("qvec", "vec").alias("distance"))
         out = top_k(found, k, self.router.copies > 1)
         return out if return_dist else out.drop("distance")
@@ -151,14 +176,14 @@ class CellIndex:
     def candidates(self, q: DataFrame, k: int, params: dict) -> DataFrame:
         count = q.count()
         plan = params.pop("plan", None) or ("broadcast" if count * (8 * self.dim + 16 * self.expected_cells(params)) <= BROADCAST_BYTES else "cogroup")
-        spark = q.sparkSession
-        router, sizes = self.router, self.size_table()
+        spark, dim = q.sparkSession, self.dim
+        router, sizes = self.router, q.sparkSession.sparkContext.broadcast(self.size_table())  # at most a number for each cell
 
         def probes(batches):
             for b in batches:
                 if b.num_rows:
-                    ids, x = b.column(0).to_numpy(), np.asarray(matrix(b.column(1)), np.float64)
-                    row, cell = router.probe(x, k, sizes, **params)
+                    ids, x = b.column(0).to_numpy(), np.asarray(matrix(b.column(1), dim), np.float64)
+                    row, cell = router.probe(x, k, sizes.value, **params)
                     order = np.argsort(row, kind="stable")
                     ends = np.searchsorted(row[order], np.arange(len(x) + 1))
                     listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell[order], pa.int64()))
@@ -166,7 +191,7 @@ class CellIndex:
 
         asked = q.mapInArrow(probes, "qid bigint, vec array<double>, cells array<bigint>")
         if plan == "cogroup":
-            return self.met(asked, k, count)
+            return self.met(materialise(asked), k)
         table = q.repartition(max(1, min(spark.sparkContext.defaultParallelism, count // 64))).mapInArrow(probes, "qid bigint, vec array<double>, cells array<bigint>").toArrow()
         return self.scanned(spark, table, k)
 
@@ -176,9 +201,11 @@ class CellIndex:
         return 1 if self.router.cells == 1 else 64 * self.router.copies
 
     def size_table(self):
+        """Rows of each cell: an array by cell, or for hashes and trees the cells that have rows and their numbers."""
         if isinstance(self.router, R.Centroids):
             return np.array([self.sizes.get(c, 0) for c in range(self.router.cells)])
-        return self.sizes
+        cells = np.array(sorted(self.sizes), np.int64)
+        return cells, np.array([self.sizes[c] for c in cells.tolist()], np.int64)
 
     def scanned(self, spark, table, k: int) -> DataFrame:
         """Rows scanned where they lie, for queries that fit a broadcast."""
@@ -200,6 +227,7 @@ class CellIndex:
         def scan(batches):
             qid, q, who, looked, start = asked.value
             bound, met, held, fresh = np.full(len(q), np.inf), ([], [], []), 0, 0
+            best = np.full((len(q), k), np.inf, np.float32) if total > 1 and len(q) * k <= 50_000_000 else None
             keys = np.sort(who * total + np.repeat(looked, np.diff(start))) if spilled else None
 
             def squeezed():
@@ -207,26 +235,22 @@ class CellIndex:
                 rows, ids, value = merge_top(*(np.concatenate(x) for x in met), k, copies > 1)
                 ends = np.searchsorted(rows, np.arange(len(q) + 1))
                 full = np.flatnonzero(np.diff(ends) == k)
-                bound[full] = value[ends[full + 1] - 1]
+                bound[full] = np.minimum(bound[full], value[ends[full + 1] - 1])
                 return rows, ids, value
 
-            for b in batches:
-                if not b.num_rows:
+            for cell, home, ids, codes in cells_of(batches):
+                at = int(np.searchsorted(looked, cell))
+                if at == len(looked) or looked[at] != cell:
                     continue
-                cell, home, ids = (b.column(i).to_numpy() for i in range(3))
-                codes = matrix(b.column(3))
-                order = np.argsort(cell, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-                    at = int(np.searchsorted(looked, cell[part[0]]))
-                    if at == len(looked) or looked[at] != cell[part[0]]:
-                        continue
-                    mine = who[start[at] : start[at + 1]]
-                    hidden = (home[part], mine * total, keys) if spilled and (home[part] != cell[part]).any() else None
-                    for r, i, v in scored(codec, cell_centre(router, codec, cell[part[0]]), q[mine], ids[part], codes[part], k, hidden, cell[part[0]], bound[mine]):
-                        for x, y in zip(met, (mine[r], i, v)):
-                            x.append(y)
-                        fresh += len(v)
-                if fresh > max(held, 4 * len(q)):
+                mine = who[start[at] : start[at + 1]]
+                hidden = (home, mine * total, keys) if spilled and (home != cell).any() else None
+                # a copy of a row in another cell would count twice for a bound
+                nearest = best if copies == 1 else None
+                for r, i, v in scored(codec, cell_centre(router, codec, cell), q[mine], ids, codes, k, hidden, cell, bound, mine, nearest, copies == 1):
+                    for x, y in zip(met, (mine[r], i, v)):
+                        x.append(y)
+                    fresh += len(v)
+                if fresh > max(held, GATHERED if best is not None else 20 * len(q)):
                     kept = squeezed()
                     met, held, fresh = tuple([x] for x in kept), len(kept[0]), 0
             if held + fresh:
@@ -236,19 +260,20 @@ class CellIndex:
 
         return rows.mapInArrow(scan, _FOUND)
 
-    def met(self, asked: DataFrame, k: int, count: int) -> DataFrame:
-        """Queries and rows met by cell, in blocks of bounded size on either side."""
-        spark = asked.sparkSession
+    def met(self, asked: DataFrame, k: int) -> DataFrame:
+        """Written queries and rows met by cell, in blocks of bounded size on either side. Lists of cells travel with queries of spilled files only."""
+        spark, spilled = asked.sparkSession, isinstance(self.router, R.Spilled)
         stored = {r[0]: r[1] for r in self.rows.groupBy("cell").count().where(F.col("count") > CELL_ROWS).collect()}  # fewer than rows / CELL_ROWS cells
-        hot = spark.createDataFrame([(c, -(-n // CELL_ROWS)) for c, n in stored.items()], "cell bigint, salts bigint")
-        turns = max(1, -(-count // QUERY_BLOCK)) if self.router.cells == 1 else max(1, count * self.expected_cells({}) // max(1, self.router.cells) // QUERY_BLOCK)
-        salts = F.coalesce(F.col("salts"), F.lit(1))
-        queries = asked.select("qid", "vec", "cells", F.explode("cells").alias("cell")).join(F.broadcast(hot), "cell", "left")
-        queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).withColumn("turn", F.pmod(F.xxhash64("qid"), F.lit(turns)))
+        looks = asked.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > QUERY_BLOCK)
+        looked = {r[0]: r[1] for r in looks.collect()}  # fewer than looks / QUERY_BLOCK cells
+        hot = spark.createDataFrame([(c, -(-stored.get(c, 1) // CELL_ROWS), -(-looked.get(c, 1) // QUERY_BLOCK)) for c in sorted({*stored, *looked})], "cell bigint, salts bigint, turns bigint")
+        salts, turns = F.coalesce(F.col("salts"), F.lit(1)), F.coalesce(F.col("turns"), F.lit(1))
+        listed = F.col("cells") if spilled else F.lit(None).cast("array<bigint>")
+        queries = asked.select("qid", "vec", listed.alias("cells"), F.explode("cells").alias("cell")).join(F.broadcast(hot), "cell", "left")
+        queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).withColumn("turn", F.pmod(F.xxhash64("qid"), turns))
         rows = self.rows.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts))
-        rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(turns - 1).cast("bigint"))))
+        rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), turns - 1)))
         router, codec = self.router, self.codec
-        spilled = isinstance(router, R.Spilled)
 
         def score(left, right):
             if not left.num_rows or not right.num_rows:
@@ -270,6 +295,20 @@ class CellIndex:
 
     # storage
 
+    def save_store(self, path: str) -> None:
+        """Writes the vectors that re-ranking reads to a place of their own."""
+        persist.save(self.rows.sparkSession, path, "store", self.element, persist.freeze({"n": self.n, "dim": self.dim}, {}), {"store": self.vectors})
+
+    def with_store(self, path: str) -> CellIndex:
+        """This index, re-ranking by the vectors of a saved store; it must hold as many of the same dimension."""
+        spark = self.rows.sparkSession
+        _, _, raw, parts = persist.load(spark, path, "store", self.element)
+        state = persist.thaw(raw, {})
+        if (state["n"], state["dim"]) != (self.n, self.dim):
+            raise persist.TruncatedError(f"the store holds {state['n']} vectors of {state['dim']} dimensions, the index {self.n} of {self.dim}")
+        self.store = parts["store"]
+        return self
+
     def save(self, path: str) -> None:
         state = {"metric": self.metric, "router": self.router, "codec": self.codec, "sizes": self.sizes, "n": self.n, "dim": self.dim, "defaults": self.defaults}
         parts = {"rows": self.rows if self.router.cells == 1 else self.rows.sortWithinPartitions("cell"), "vectors": self.vectors}
@@ -305,17 +344,46 @@ def cell_centre(router, codec, cell):
     return C.unit(router.table)[cell] if router.metric == "cosine" else router.table[cell]
 
 
-def scored(codec, centre, q, ids, codes, k, hidden=None, cell=None, bound=None):
-    """(row of q, id, score) of the k nearest in a block of codes.
+def cells_of(batches):
+    """(cell, home, ids, codes) of runs of rows of one cell, across batches, up to about SCAN_ROWS rows at a time."""
+    held, rows = [], 0
+
+    def whole():
+        homes, ids, codes = zip(*(x[1:] for x in held))
+        return held[0][0], np.concatenate(homes), np.concatenate(ids), np.concatenate(codes)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cell, home, ids = (b.column(i).to_numpy() for i in range(3))
+        codes = matrix(b.column(3))
+        order = np.argsort(cell, kind="stable") if (cell[1:] < cell[:-1]).any() else np.arange(len(cell))
+        ends = np.flatnonzero(np.diff(cell[order])) + 1
+        for first, last in zip([0, *ends], [*ends, len(order)]):
+            for i in range(first, last, SCAN_ROWS):
+                part = order[i : min(i + SCAN_ROWS, last)]
+                own = int(cell[part[0]])
+                if held and (held[0][0] != own or rows + len(part) > SCAN_ROWS):
+                    yield whole()
+                    held, rows = [], 0
+                held.append((own, home[part], ids[part], codes[part]))
+                rows += len(part)
+    if held:
+        yield whole()
+
+
+def scored(codec, centre, q, ids, codes, k, hidden=None, cell=None, bound=None, mine=None, best=None, single=False):
+    """(row of q, id, score) of the k nearest in a block of codes; with ``bound`` those that may be among them, in any order.
 
     hidden: (first cells of the rows, each query's number times the cells, sorted sums of that and a cell looked at); second copies are left out for queries that look at the first.
+    bound: what each query's k-th distance doesn't exceed, by its number in ``mine``, which is kept up to date if rows have a ``single`` copy; best: its k smallest distances so far (an upper bound each), which are kept up to date with it.
     """
-    step = max(1, 4_000_000 // max(1, len(codes)))
-    raw = isinstance(codec, C.Raw)
+    step = max(1, BLOCK_CELLS // max(1, len(codes)))
+    quick = hasattr(codec, "partial")
     for i in range(0, len(q), step):
         part, offset, room = q[i : i + step], None, None
-        if raw:
-            dist, offset, room = codec.partial(part, codes)
+        if quick:
+            dist, offset, room = codec.partial(part, codes, centre)
         else:
             dist = codec.score(part, codes, centre)
         if hidden is not None:
@@ -325,7 +393,22 @@ def scored(codec, centre, q, ids, codes, k, hidden=None, cell=None, bound=None):
             at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
             seen = (keys[at] == want) & (firsts != cell)[None]
             dist = np.where(seen[:, which], np.inf, dist)
-        exact = (lambda r, c, part=part: codec.exact(part[r], codes[c])) if raw else None
-        limit = None if bound is None else bound[i : i + step] - (0 if offset is None else offset)
+        exact = (lambda r, c, part=part: codec.exact(part[r], codes[c], centre)) if quick else None
+        limit, own = None, None
+        if bound is not None:
+            own = mine[i : i + step]
+            if best is not None:
+                low = np.partition(dist, k - 1, axis=1)[:, :k] if dist.shape[1] > k else dist
+                low = (low + ((0 if offset is None else offset[:, None]) + (room or 0))).astype(np.float32)
+                kept = np.partition(np.concatenate([best[own], low], 1), k - 1, axis=1)[:, :k]
+                best[own] = kept
+                # 32-bit rounding may have gone down
+                bound[own] = np.minimum(bound[own], kept[:, k - 1] + 2e-7 * np.abs(kept[:, k - 1]))
+            limit = bound[own] - (0 if offset is None else offset)
+            r, found, value, last = near(dist, ids, k, exact, limit, room)
+            if best is None and hidden is None and single:
+                bound[own] = np.minimum(bound[own], last + (0 if offset is None else offset))
+            yield r + i, found, value
+            continue
         r, found, value = top(dist, ids, k, exact, limit, room)
         yield r + i, found, value

@@ -1,10 +1,12 @@
 """Graph indices: NN-Descent, HNSW, NSG, Vamana, relative-neighbour descent and detour-pruned graphs, built shard by shard.
 
-Rows are dealt to shards of bounded size by a hash of their id. A shard's
-vectors and graph are one row of the index: arrays in npz form. A query
-searches every shard with its whole beam and the shards' results are merged, so
-recall doesn't fall with the number of shards while work grows with it. Within a shard a
-block of queries walks together: one step of all beams is a few numpy calls.
+Rows are dealt to shards by k-means centroids, each to its ``OVERLAP`` nearest
+ones, so that neighbours share a shard; shards over twice the rows that they have on average are cut
+by a hash of the id. A shard's vectors and graph are one row of the index: arrays in npz form. A query
+goes to the shards of its nearest centroids and meets them in a co-group, in blocks of bounded
+size; nothing of the queries or the index passes through the driver, and work doesn't grow with the number of shards.
+Within a shard a block of queries walks together: one step of all beams is a few numpy calls. Graphs that need each row's nearest ones as
+candidates get them from products of blocks, and lists are pruned for blocks of rows together.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from ..functions.blocks import distances, matrix, merge_top, nearest, unit
 from ..functions.vectors import parse_metric
 from ..sources import persist
 from ..sources.tables import materialise
-from .cells import BROADCAST_BYTES, as_vectors
-from .routers import Forest
+from .cells import as_vectors, sample
+from .routers import Centroids, Forest, KMeansParams
 from .topk import top_k
 
-SHARD_ROWS = 20_000
-QUERY_BLOCK = 512
+SHARD_ROWS, OVERLAP = 20_000, 2
+#: Queries that walk together, and those that meet a shard in one task: at least, at most.
+QUERY_BLOCK, LEAST_MET, MOST_MET = 512, 128, 20_000
 _SHARD = "shard bigint, n bigint, payload binary"
 
 
@@ -45,8 +48,11 @@ def gathered(metric: str, q: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.nd
     return np.where(at < 0, np.inf, out)
 
 
-def beam(metric: str, q: np.ndarray, x: np.ndarray, graph: np.ndarray, seeds: np.ndarray, ef: int, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(places, distances) of the ef nearest that a best-first walk from the seeds finds, for a block of queries together."""
+def beam(metric: str, q: np.ndarray, x: np.ndarray, graph: np.ndarray, seeds: np.ndarray, ef: int, width: int | None = None, expand: int = 1, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, distances) of the ef nearest that a best-first walk from the seeds finds, for a block of queries together.
+
+    expand: rows whose neighbours are looked at in a step, the nearest first; rounds: most steps.
+    """
     n = len(q)
     rows = np.arange(n)[:, None]
     seen = np.zeros((n, len(x)), bool)
@@ -72,33 +78,88 @@ def beam(metric: str, q: np.ndarray, x: np.ndarray, graph: np.ndarray, seeds: np
 
     first = fresh(np.array(seeds))
     take(first, gathered(metric, q, x, first))
-    while True:
-        best = np.where(open_, dist, np.inf)
-        at = best.argmin(1)
-        go = np.isfinite(best[np.arange(n), at])
-        if not go.any():
-            return ids, dist
-        open_[np.arange(n), at] = False
-        new = fresh(np.where(go[:, None], graph[ids[np.arange(n), at]][:, :width], -1))
-        take(new, gathered(metric, q, x, new))
+    step = 0
+    while open_.any() and (rounds is None or step < rounds):
+        step += 1
+        at = np.argsort(~open_, axis=1, kind="stable")[:, :expand]  # lists are in order
+        go = open_[rows, at]
+        open_[rows, at] = False
+        near = graph[ids[rows, at]][:, :, :width]
+        new = fresh(np.where(go[:, :, None], near, -1).reshape(n, -1))
+        if (new >= 0).any():
+            keep = (new >= 0).any(0)
+            take(new[:, keep], gathered(metric, q, x, new[:, keep]))
+    return ids, dist
 
 
 # pieces of construction
 
 
-def occluded(metric: str, x: np.ndarray, node: int, cand: np.ndarray, far: np.ndarray, most: int, alpha: float = 1.0, strict: bool = True) -> list[int]:
-    """Candidates, nearest first, that aren't closer to a kept one (times alpha) than to the node; at most ``most``."""
-    order = np.argsort(far, kind="stable")
-    cand, far = cand[order], far[order]
-    between = distances(metric, x[cand], x[cand])
-    alive, kept = np.ones(len(cand), bool), []
-    for i in range(len(cand)):
-        if alive[i] and cand[i] != node:
-            kept.append(i)
-            if len(kept) == most:
-                break
-            alive &= ~(alpha * between[i] <= far)
-    return cand[kept].tolist()
+def neighbours(metric: str, x: np.ndarray, k: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest others of each row, by products of blocks; by NN-Descent for Manhattan distance, which has none."""
+    n = len(x)
+    k = min(k, n - 1)
+    if k < 1:
+        return np.full((n, 1), -1), np.full((n, 1), np.inf)
+    if metric == "manhattan" and n > 2_000:
+        return nn_descent(metric, x, k, seed=seed)[:2]
+    out, far = np.empty((n, k), np.int64), np.empty((n, k))
+    y = x.astype(np.float32)
+    half = (y * y).sum(1) / 2
+    for i in range(0, n, 1024):
+        rows = np.arange(i, min(i + 1024, n))
+        d = distances(metric, x[rows], x) if metric == "manhattan" else (0 if metric == "cosine" else half) - y[rows] @ y.T
+        d[np.arange(len(rows)), rows] = np.inf
+        at = np.argpartition(d, k - 1, axis=1)[:, :k]
+        exact = gathered(metric, x[rows], x, at)
+        order = np.argsort(exact, axis=1, kind="stable")
+        out[rows], far[rows] = np.take_along_axis(at, order, 1), np.take_along_axis(exact, order, 1)
+    return out, far
+
+
+def pruned(metric: str, x: np.ndarray, cand: np.ndarray, far: np.ndarray, most: int, alpha: float = 1.0, hiders: bool = False):
+    """Of each row's candidates, nearest first and padded with -1, those that no kept one is closer to (times alpha) than the row is; at most ``most``, padded.
+
+    hiders: gives (kept or not, the place among the candidates of the one that hides a candidate, or -1) in place of the lists.
+    """
+    n, width = cand.shape
+    out, keeps, hides = np.full((n, most), -1), np.zeros((n, width), bool), np.full((n, width), -1)
+    step = max(1, 16_000_000 // (width * max(width, x.shape[1])))
+    for i in range(0, n, step):
+        own, limit = cand[i : i + step], far[i : i + step]
+        v = x[np.maximum(own, 0)].astype(np.float32)
+        if metric == "manhattan":
+            between = np.abs(v[:, :, None] - v[:, None]).sum(3)
+        else:
+            between = v @ v.transpose(0, 2, 1)
+            if metric == "cosine":
+                between = 1 - between
+            else:
+                norm = np.einsum("ijj->ij", between)
+                between = norm[:, :, None] + norm[:, None] - 2 * between
+        alive, count = own >= 0, np.zeros(len(own), int)
+        keep, hide = keeps[i : i + step], hides[i : i + step]
+        for j in range(width):
+            go = alive[:, j] & (count < most)
+            keep[:, j] = go
+            count += go
+            gone = go[:, None] & alive & (alpha * between[:, j] <= limit)
+            gone[:, : j + 1] = False
+            if hiders:
+                hide[gone] = j
+            alive &= ~gone
+    if hiders:
+        return keeps, hides
+    order = np.argsort(~keeps, axis=1, kind="stable")[:, :most]
+    kept = np.where(np.take_along_axis(keeps, order, 1), np.take_along_axis(cand, order, 1), -1)
+    out[:, : kept.shape[1]] = kept
+    return out
+
+
+def both_ways(metric: str, x: np.ndarray, graph: np.ndarray, most: int, alpha: float, rng) -> np.ndarray:
+    """A pruned graph with the edges back, pruned again."""
+    every = np.concatenate([graph, reverse(graph, most, rng)], 1)
+    return pruned(metric, x, *knn_rows(metric, x, every, every.shape[1]), most, alpha)
 
 
 def padded(lists: list, width: int | None = None) -> np.ndarray:
@@ -202,29 +263,6 @@ def strided(n: int) -> np.ndarray:
     return np.unique(np.linspace(0, n - 1, m).astype(np.int64))
 
 
-def inserted(metric, x, lists: list[list[int]], nodes, seeds, ef: int, degree: int, alpha: float, block: int = 128) -> None:
-    """Inserts nodes block by block into a graph of neighbour lists: beam search, occlusion prune, and pruned edges back."""
-    nodes = np.asarray(nodes)
-    for i in range(0, len(nodes), block):
-        part = nodes[i : i + block]
-        ids, far = beam(metric, x[part], x, padded(lists), seeds, ef)
-        for node, cand, d in zip(part.tolist(), ids, far):
-            own = (cand >= 0) & (cand != node)
-            cand, d = cand[own], d[own]
-            if lists[node]:
-                more = np.setdiff1d(lists[node], cand)
-                cand, d = np.r_[cand, more], np.r_[d, distances(metric, x[node][None], x[more])[0]]
-            if not len(cand):
-                continue
-            lists[node] = occluded(metric, x, node, cand, d, degree, alpha)
-            for other in lists[node]:
-                if node not in lists[other]:
-                    lists[other].append(node)
-                    if len(lists[other]) > degree:
-                        near = np.array(lists[other])
-                        lists[other] = occluded(metric, x, other, near, distances(metric, x[other][None], x[near])[0], degree, alpha)
-
-
 def reached(lists: list[list[int]], root: int) -> np.ndarray:
     seen = np.zeros(len(lists), bool)
     seen[root], stack = True, [root]
@@ -276,62 +314,60 @@ def diversified(metric, x, node, cand, far, chance, rng) -> list[int]:
     return cand[kept + dropped].tolist()
 
 
+def as_lists(graph: np.ndarray) -> list[list[int]]:
+    return [row[row >= 0].tolist() for row in graph]
+
+
 def build_hnsw(metric, x, p, seed):
+    """Layers of falling size; in each, a row's candidates are its nearest ones there (up to ef_construction, and three times the degree), pruned, with the edges back."""
     m, ef = p.get("m", 16), p.get("ef_construction", 200)
     n, rng = len(x), np.random.default_rng(seed)
     level = np.minimum(np.floor(-np.log(np.maximum(rng.random(n), 1e-300)) / math.log(m)).astype(int), 15)
     out = {"levels": np.array(level.max() if n else 0)}
     entry = int(level.argmax())
     for layer in range(int(out["levels"]), -1, -1):
-        nodes = np.flatnonzero(level >= layer)
-        lists: list[list[int]] = [[] for _ in range(n)]
-        nodes = np.r_[entry, nodes[nodes != entry]]
-        grow = 1
-        while grow < len(nodes):  # blocks double, so that a block meets a graph as large as itself
-            part = nodes[grow : grow + min(grow, 256)]
-            inserted(metric, x, lists, part, np.array([entry]), min(ef, n), 2 * m if layer == 0 else m, 1.0, 256)
-            grow += len(part)
-        if layer == 0:
-            connected(metric, x, lists, entry)
-        out[f"layer{layer}"] = padded(lists)
+        nodes, degree = np.flatnonzero(level >= layer), 2 * m if layer == 0 else m
+        own = x[nodes]
+        graph = pruned(metric, own, *neighbours(metric, own, min(ef, 3 * degree), seed), degree)
+        graph = both_ways(metric, own, graph, degree, 1.0, rng)
+        lists = as_lists(graph)
+        connected(metric, own, lists, int(np.searchsorted(nodes, entry)))
+        graph = padded(lists)
+        whole = np.full((n, graph.shape[1]), -1)
+        whole[nodes] = np.where(graph >= 0, nodes[np.maximum(graph, 0)], -1)
+        out[f"layer{layer}"] = whole
     return out | {"graph": out.pop("layer0"), "entry": np.array(entry), "seeds": np.array([entry])}
 
 
 def build_vamana(metric, x, p, seed):
+    """Candidates are the nearest ``l_build`` rows and some at random, which give the long edges; two passes of pruning, the second with a wider alpha over what the first kept as well."""
     r, ef = p.get("r", 32), p.get("l_build", 75)
     root, rng = medoid(metric, x), np.random.default_rng(seed)
-    lists = [row[row >= 0].tolist() for row in random_graph(len(x), min(r, 16), rng)]
+    cand = np.concatenate([neighbours(metric, x, ef, seed)[0], random_graph(len(x), min(r, 16), rng)], 1)
+    graph = None
     for alpha in (p.get("alpha1", 1.0), p.get("alpha2", 1.2)):
-        alpha = alpha if metric == "manhattan" else alpha**2 if metric == "euclidean" else alpha
-        inserted(metric, x, lists, rng.permutation(len(x)), np.array([root]), min(ef, len(x)), r, alpha)
+        alpha = alpha**2 if metric == "euclidean" else alpha
+        every = cand if graph is None else np.concatenate([cand, graph], 1)
+        graph = both_ways(metric, x, pruned(metric, x, *knn_rows(metric, x, every, every.shape[1]), r, alpha), r, alpha, rng)
+    lists = as_lists(graph)
     connected(metric, x, lists, root)
     return {"graph": padded(lists), "seeds": np.unique(np.r_[root, strided(len(x))[:16]])}
 
 
 def build_nsg(metric, x, p, seed):
-    r, l_build, knn_k = p.get("r", 32), p.get("l_build", 100), p.get("knn_k", 64)
-    graph = p["knn"] if "knn" in p else nn_descent(metric, x, knn_k, seed=seed)[0]
+    """Candidates are the kNN lists and what a walk over them from the medoid finds (with no lists given: the nearest ``l_build`` rows), at most ``c``."""
+    r, l_build, knn_k, c = p.get("r", 32), p.get("l_build", 100), p.get("knn_k", 64), p.get("c", 500)
     root, n = medoid(metric, x), len(x)
-    lists: list[list[int]] = []
-    for i in range(0, n, 256):
-        ids, far = beam(metric, x[i : i + 256], x, graph, np.r_[root, strided(n)], min(l_build, n))
-        for node, cand, d in zip(range(i, i + 256), ids, far):
-            own = (cand >= 0) & (cand != node)
-            more = np.setdiff1d(graph[node][graph[node] >= 0], cand)
-            cand, d = np.r_[cand[own], more], np.r_[d[own], distances(metric, x[node][None], x[more])[0]]
-            order = np.argsort(d, kind="stable")[: p.get("c", 500)]
-            lists.append(occluded(metric, x, node, cand[order], d[order], r) if len(cand) else [])
-    for node in range(n):
-        for other in list(lists[node]):
-            if node not in lists[other]:
-                if len(lists[other]) < r:
-                    lists[other].append(node)
-                else:
-                    far = distances(metric, x[other][None], x[lists[other] + [node]])[0]
-                    worst = int(far[:-1].argmax())
-                    if far[-1] < far[worst]:
-                        lists[other][worst] = node
-    for node in range(n):
+    if "knn" in p:
+        graph = p["knn"]
+        found = np.concatenate([beam(metric, x[i : i + 256], x, graph, np.r_[root, strided(n)], min(l_build, n), expand=4)[0] for i in range(0, n, 256)])
+        cand = np.concatenate([graph, found], 1)
+    else:
+        cand = neighbours(metric, x, max(knn_k, l_build), seed)[0]
+        graph = cand[:, :knn_k]
+    near, far = knn_rows(metric, x, cand.copy(), min(c, cand.shape[1]))
+    lists = as_lists(both_ways(metric, x, pruned(metric, x, near, far, r), r, 1.0, np.random.default_rng(seed)))
+    for node in range(n):  # places that are left over
         for other in graph[node][graph[node] >= 0].tolist():
             if len(lists[node]) >= r:
                 break
@@ -341,42 +377,42 @@ def build_nsg(metric, x, p, seed):
     return {"graph": padded(lists), "seeds": np.unique(np.r_[root, strided(n)])}
 
 
+def gathered_lists(n: int, src: np.ndarray, dst: np.ndarray, most: int, metric: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest different ends of each row's edges, in order and padded."""
+    keep = (src != dst) & (dst >= 0)
+    pairs = np.unique(src[keep] * n + dst[keep])
+    src, dst = pairs // n, pairs % n
+    far = np.concatenate([gathered(metric, x[src[i : i + 65_536]], x, dst[i : i + 65_536, None])[:, 0] for i in range(0, len(src), 65_536)]) if len(src) else np.zeros(0)
+    order = np.lexsort((far, src))
+    src, dst, far = src[order], dst[order], far[order]
+    place = np.arange(len(src)) - np.searchsorted(src, src, "left")
+    own = place < most
+    graph, out = np.full((n, most), -1), np.full((n, most), np.inf)
+    graph[src[own], place[own]], out[src[own], place[own]] = dst[own], far[own]
+    wide = max(1, int((graph >= 0).sum(1).max()))
+    return graph[:, :wide], out[:, :wide]
+
+
 def build_rnn(metric, x, p, seed):
     """Relative-neighbour descent: an edge that a nearer neighbour occludes moves to that neighbour; reverse edges join between the outer rounds."""
     s, r, t1, t2 = p.get("s", 20), p.get("r", 96), p.get("t1", 4), p.get("t2", 15)
     n, rng = len(x), np.random.default_rng(seed)
-    lists = [dict.fromkeys(row[row >= 0].tolist()) for row in random_graph(n, s, rng)]
+    start = random_graph(n, s, rng)
+    src, dst = np.repeat(np.arange(n), start.shape[1]), start.ravel()
     for outer in range(t1):
         for _ in range(t2):
-            moved = 0
-            arrived: list[list[int]] = [[] for _ in range(n)]
-            for node in range(n):
-                cand = np.array([c for c in lists[node] if c != node], np.int64)
-                if not len(cand):
-                    continue
-                far = distances(metric, x[node][None], x[cand])[0]
-                order = np.argsort(far, kind="stable")[:r]
-                cand, far = cand[order], far[order]
-                between, kept = distances(metric, x[cand], x[cand]), []
-                for i in range(len(cand)):
-                    hide = next((j for j in kept if between[i, j] < far[i]), None)
-                    if hide is None:
-                        kept.append(i)
-                    else:
-                        arrived[cand[hide]].append(int(cand[i]))
-                        moved += 1
-                lists[node] = dict.fromkeys(cand[kept].tolist())
-            for node in range(n):
-                lists[node].update(dict.fromkeys(c for c in arrived[node] if c != node))
-            if moved <= 0.001 * n * s:
+            graph, far = gathered_lists(n, src, dst, r, metric, x)
+            keeps, hides = pruned(metric, x, graph, far, r, hiders=True)
+            a, i = np.nonzero(hides >= 0)
+            k, j = np.nonzero(keeps)
+            src, dst = np.r_[k, graph[a, hides[a, i]]], np.r_[graph[k, j], graph[a, i]]
+            if len(a) <= 0.001 * n * s:
                 break
         if outer < t1 - 1:
-            pointing = reverse(padded([list(x) for x in lists]), r, rng)
-            for node in range(n):
-                lists[node].update(dict.fromkeys(c for c in pointing[node].tolist() if c >= 0))
-    final = [list(v) for v in lists]
-    back = reverse(padded(final), s, rng)
-    final = [list(dict.fromkeys(a + [c for c in b.tolist() if c >= 0])) for a, b in zip(final, back)]
+            src, dst = np.r_[src, dst], np.r_[dst, src]
+    graph = gathered_lists(n, src, dst, r, metric, x)[0]
+    back = reverse(graph, s, rng)
+    final = [list(dict.fromkeys([c for c in (*a.tolist(), *b.tolist()) if c >= 0])) for a, b in zip(graph, back)]
     connected(metric, x, final, 0)
     return {"graph": padded(final), "seeds": strided(n)}
 
@@ -422,34 +458,64 @@ def descend(metric, q, x, arrays) -> np.ndarray:
     return at
 
 
+#: Parameters that a method's builder takes.
+BUILD = {"nndescent": "k delta prune rounds trees", "hnsw": "m ef_construction", "vamana": "r l_build alpha1 alpha2", "nsg": "r l_build c knn_k", "rnn_descent": "s r t1 t2", "cagra": "degree rounds refine"}
+
+
+def dealt(vectors: DataFrame, n: int, metric: str, shard_rows: int, overlap: int, seed: int) -> tuple[DataFrame, np.ndarray | None, dict[int, int]]:
+    """(id, vec, shard) of rows in all their shards, the centroids, and the salts of cells that are cut into several shards. A shard's number is its cell * 2^20 + salt."""
+    if n <= shard_rows:
+        return vectors.withColumn("shard", F.lit(0).cast("bigint")), None, {}
+    count, kind = -(-n // shard_rows), "cosine" if metric == "cosine" else "euclidean"
+    router = Centroids(count, KMeansParams(rounds=15, balance=True)).fit(sample(vectors, min(n, 250_000, max(256 * count, 2_000)), seed, n), n, kind, seed)
+    element = vectors.schema["vec"].dataType.simpleString()
+
+    def join(batches):
+        for b in batches:
+            if b.num_rows:
+                row, cell, _ = router.assign_top(np.asarray(matrix(b.column(1)), np.float64), overlap)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns), pa.array(cell)], names=["id", "vec", "cell"])
+
+    joined = materialise(vectors.mapInArrow(join, f"id bigint, vec {element}, cell bigint"))
+    sizes = {r[0]: r[1] for r in joined.groupBy("cell").count().collect()}  # rows / shard_rows of them
+    most = 2 * overlap * shard_rows
+    salts = {c: -(-m // most) for c, m in sizes.items() if m > most}
+    hot = joined.sparkSession.createDataFrame(sorted(salts.items()), "cell bigint, salts bigint")
+    salt = F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce("salts", F.lit(1)))
+    return joined.join(F.broadcast(hot), "cell", "left").select("id", "vec", (F.shiftleft("cell", 20) + salt).alias("shard")), router.table, salts
+
+
 class GraphIndex:
-    def __init__(self, kind, metric, shards, vectors, n, dim, element, params):
+    def __init__(self, kind, metric, shards, vectors, n, dim, element, params, centroids=None, salts=None):
         self.kind, self.metric, self.shards, self.vectors, self.n, self.dim, self.element, self.params = kind, metric, shards, vectors, n, dim, element, params
+        self.centroids, self.salts = centroids, salts or {}
         self.distance_kind = {"euclidean": "squared_l2", "cosine": "one_minus_cosine", "manhattan": "l1"}[metric]
         self.shard_count = max(1, shards.count())
 
     @classmethod
-    def build(cls, base: DataFrame, kind: str, metric: str = "euclidean", id_col: str = "id", vec_col: str = "vec", seed: int = 42, shard_rows: int = SHARD_ROWS, **params) -> GraphIndex:
+    def build(cls, base: DataFrame, kind: str, metric: str = "euclidean", id_col: str = "id", vec_col: str = "vec", seed: int = 42, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, **params) -> GraphIndex:
         metric = parse_metric(metric)
+        if unknown := params.keys() - set(BUILD[kind].split()):
+            raise TypeError(f"unknown parameters: {', '.join(sorted(unknown))}")
+        params = {name: value for name, value in params.items() if value is not None}
         vectors = as_vectors(base, id_col, vec_col)
         element = vectors.schema["vec"].dataType.elementType.simpleString()
         n = vectors.count()
         if not n:
             raise ValueError("no vectors to index")
-        count = -(-n // shard_rows)
+        dim = vectors.select(F.size("vec")).first()[0]
         build = BUILDERS[kind]
 
         def grow(table):
             order = np.argsort(table.column("id").to_numpy(), kind="stable")
-            ids, raw = table.column("id").to_numpy()[order], np.asarray(matrix(table.column("vec")), np.float64)[order]
+            ids, raw = table.column("id").to_numpy()[order], np.asarray(matrix(table.column("vec"), dim), np.float64)[order]
             x = unit(raw) if metric == "cosine" else raw
             out = io.BytesIO()
             np.savez(out, ids=ids, x=raw.astype("<f8" if element == "double" else "<f4"), **build(metric, x, params, seed))
             return pa.table({"shard": table.column("shard")[:1], "n": pa.array([len(ids)], pa.int64()), "payload": pa.array([out.getvalue()], pa.binary())})
 
-        shards = vectors.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count))).groupBy("shard").applyInArrow(grow, _SHARD)
-        dim = vectors.select(F.size("vec")).first()[0]
-        return cls(kind, metric, materialise(shards), vectors, n, dim, element, params)
+        rows, centroids, salts = dealt(vectors, n, metric, shard_rows, overlap, seed)
+        return cls(kind, metric, materialise(rows.groupBy("shard").applyInArrow(grow, _SHARD)), vectors, n, dim, element, params, centroids, salts)
 
     def nsg(self, seed: int = 42, **params) -> GraphIndex:
         """An NSG index over the kNN lists that this index holds."""
@@ -464,58 +530,84 @@ class GraphIndex:
                     np.savez(out, ids=data["ids"], x=data["x"], **build_nsg(metric, unit(raw) if metric == "cosine" else raw, params | {"knn": data["knn"]}, seed))
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["shard", "n", "payload"])
 
-        return GraphIndex("nsg", metric, materialise(self.shards.mapInArrow(grow, _SHARD)), self.vectors, self.n, self.dim, self.element, params)
+        return GraphIndex("nsg", metric, materialise(self.shards.mapInArrow(grow, _SHARD)), self.vectors, self.n, self.dim, self.element, params, self.centroids, self.salts)
+
+    def query(
+        self, queries: DataFrame, k: int = 15, id_col: str = "id", vec_col: str = "vec", ef: int | None = None, return_dist: bool = True, width: int | None = None, nprobe: int | None = None,
+        beam_width: int | None = None, max_beam_iters: int | None = None, n_entry_points: int | None = None, expand_per_iter: int | None = None,
+    ) -> DataFrame:
+        """(qid, rk, id, distance): the k nearest that beams of ``ef`` (or ``beam_width``) find in the shards of the ``nprobe`` nearest centroids.
 
-    def query(self, queries: DataFrame, k: int = 15, id_col: str = "id", vec_col: str = "vec", ef: int | None = None, return_dist: bool = True, width: int | None = None, **_) -> DataFrame:
-        """(qid, rk, id, distance): the k nearest that beams of ``ef`` find in all shards."""
+        max_beam_iters: most steps of a walk; n_entry_points: rows that it starts from; expand_per_iter: rows whose neighbours a step looks at.
+        """
         if k < 1:
             raise ValueError("k must be 1 or more")
         q = as_vectors(queries, id_col, vec_col)
-        ef = max(k, ef or DEFAULT_EF[self.kind](k))
-        blocks = max(1, -(-q.count() * self.dim * 8 // BROADCAST_BYTES))
-        part = [q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [q]
-        found = [self.walked(p, k, ef, width) for p in part]
-        out = found[0]
-        for more in found[1:]:
-            out = out.union(more)
-        out = top_k(out, k)
+        ef = max(k, ef or beam_width or DEFAULT_EF[self.kind](k))
+        found = self.walked(q, k, ef, width, nprobe, max_beam_iters, n_entry_points, expand_per_iter or 3)
+        out = top_k(found, k, self.centroids is not None)
         return out if return_dist else out.drop("distance")
 
-    def walked(self, q: DataFrame, k: int, ef: int, width: int | None) -> DataFrame:
-        """Every shard searched for a broadcast block of queries."""
-        spark = q.sparkSession
-        table = q.toArrow()
-        if not table.num_rows:
-            return spark.createDataFrame([], "qid bigint, id bigint, distance double")
-        asked = spark.sparkContext.broadcast((table.column("id").to_numpy(), np.asarray(matrix(table.column("vec")), np.float64)))
-        metric = self.metric
-        # few shards: each is read by several tasks with a share of the queries; many shards are searched where they lie
-        slices = max(1, min(8, spark.sparkContext.defaultParallelism // self.shard_count, len(asked.value[0]) // 64))
-
-        def search(batches):
-            qid, q = asked.value
+    def routed(self, q: DataFrame, nprobe: int | None) -> DataFrame:
+        """(qid, vec, shard) of queries at all shards that they look at."""
+        dim = self.dim
+        if self.centroids is None:
+            def checked(batches):
+                for b in batches:
+                    if b.num_rows:
+                        matrix(b.column(1), dim)
+                    yield b
+
+            return q.mapInArrow(checked, q.schema).select(F.col("id").alias("qid"), "vec", F.lit(0).cast("bigint").alias("shard"))
+        router, salts = Centroids(centroids=self.centroids), self.salts
+        router.fit(None, 0, "cosine" if self.metric == "cosine" else "euclidean")
+        probe = min(nprobe or 2 + math.isqrt(router.cells), router.cells)
+        element = q.schema["vec"].dataType.simpleString()
+
+        def route(batches):
             for b in batches:
-                for piece, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    data = np.load(io.BytesIO(payload), allow_pickle=False)
-                    arrays = {name: data[name] for name in data.files}
-                    raw = arrays["x"].astype(np.float64)
-                    x, y = (unit(raw), unit(q)) if metric == "cosine" else (raw, q)
-                    out = [], [], []
-                    for i in range(piece * QUERY_BLOCK, len(q), slices * QUERY_BLOCK):
-                        own = y[i : i + QUERY_BLOCK]
-                        start = descend(metric, own, x, arrays) if "entry" in arrays else arrays["seeds"]
-                        at, far = beam(metric, own, x, arrays["graph"], start, min(ef, len(x)), width)
-                        r, c = np.nonzero(np.isfinite(far))
-                        got = merge_top(i + r, arrays["ids"][at[r, c]], far[r, c], k)
-                        for a, v in zip(out, got):
-                            a.append(v)
-                    if out[0]:
-                        a, ids, far = (np.concatenate(v) for v in out)
-                        yield pa.RecordBatch.from_arrays([pa.array(qid[a], pa.int64()), pa.array(ids, pa.int64()), pa.array(np.maximum(far, 0), pa.float64())], names=["qid", "id", "distance"])
-
-        pieces = self.shards.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("piece"), "payload")
-        pieces = pieces.repartition(slices * self.shard_count) if slices > 1 else pieces
-        return pieces.mapInArrow(search, "qid bigint, id bigint, distance double")
+                if b.num_rows:
+                    row, cell, _ = router.assign_top(np.asarray(matrix(b.column(1), dim), np.float64), probe)
+                    times = np.array([salts.get(c, 1) for c in cell.tolist()])
+                    salt = np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+                    row, shard = np.repeat(row, times), (np.repeat(cell, times) << 20) + salt
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns), pa.array(shard)], names=["qid", "vec", "shard"])
+
+        return q.mapInArrow(route, f"qid bigint, vec {element}, shard bigint")
+
+    def walked(self, q: DataFrame, k: int, ef: int, width: int | None, nprobe: int | None, rounds: int | None, entries: int | None, expand: int) -> DataFrame:
+        """Queries and shards met by shard; a shard that very many queries look at is met in several blocks of them."""
+        spark, metric = q.sparkSession, self.metric
+        asked = materialise(self.routed(q, nprobe))
+        looks = {r[0]: r[1] for r in asked.groupBy("shard").count().collect()}  # a number for each shard
+        size = min(MOST_MET, max(LEAST_MET, sum(looks.values()) // max(1, 2 * spark.sparkContext.defaultParallelism)))
+        turns = spark.createDataFrame([(s, -(-m // size)) for s, m in sorted(looks.items())], "shard bigint, turns bigint")
+        left = asked.join(F.broadcast(turns), "shard").withColumn("turn", F.pmod(F.xxhash64("qid"), F.col("turns")))
+        right = self.shards.join(F.broadcast(turns), "shard").select("shard", "payload", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)).alias("turn"))
+
+        def search(a, b):
+            if not a.num_rows or not b.num_rows:
+                return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+            data = np.load(io.BytesIO(b.column("payload")[0].as_py()), allow_pickle=False)
+            arrays = {name: data[name] for name in data.files}
+            qid, q, raw = a.column("qid").to_numpy(), np.asarray(matrix(a.column("vec")), np.float64), arrays["x"].astype(np.float64)
+            x, y = (unit(raw), unit(q)) if metric == "cosine" else (raw, q)
+            out = [], [], []
+            for i in range(0, len(q), QUERY_BLOCK):
+                own = y[i : i + QUERY_BLOCK]
+                if entries:
+                    start = np.unique(np.linspace(0, len(x) - 1, min(entries, len(x))).astype(np.int64))
+                else:
+                    start = descend(metric, own, x, arrays) if "entry" in arrays else arrays["seeds"]
+                at, far = beam(metric, own, x, arrays["graph"], start, min(ef, len(x)), width, expand, rounds)
+                r, c = np.nonzero(np.isfinite(far))
+                for o, v in zip(out, merge_top(i + r, arrays["ids"][at[r, c]], far[r, c], k)):
+                    o.append(v)
+            r, ids, far = (np.concatenate(v) for v in out)
+            return pa.table({"qid": pa.array(qid[r], pa.int64()), "id": pa.array(ids, pa.int64()), "distance": pa.array(np.maximum(far, 0), pa.float64())})
+
+        keys = ["shard", "turn"]
+        return left.select("qid", "vec", *keys).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "qid bigint, id bigint, distance double")
 
     def self_knn(self, k: int = 15, **params) -> DataFrame:
         return self.query(self.vectors, k, **params)
@@ -540,7 +632,7 @@ class GraphIndex:
 
     def knn_lists(self) -> DataFrame:
         """The kNN graph (src, dst, distance) of all rows. The lists that a shard keeps know its own rows only, so with several shards every row is
-        searched in all of them, and the k nearest of what was found and of the shards' lists stay; pruned lists are filled up again by this."""
+        searched in those of its nearest centroids, and the k nearest of what was found and of all its shards' lists stay; pruned lists are filled up again by this."""
         if self.shard_count == 1 or self.kind not in KNN_WIDTH:
             return self.graph()
         k = KNN_WIDTH[self.kind](self.params)
@@ -558,14 +650,14 @@ class GraphIndex:
         return bool(self.shards.select("payload").mapInArrow(flags, "done boolean").agg(F.coalesce(F.min("done"), F.lit(True))).first()[0])
 
     def save(self, path: str) -> None:
-        state = {"metric": self.metric, "n": self.n, "dim": self.dim, "params": self.params}
+        state = {"metric": self.metric, "n": self.n, "dim": self.dim, "params": self.params, "centroids": self.centroids, "salts": self.salts}
         persist.save(self.shards.sparkSession, path, self.kind, self.element, persist.freeze(state, {}), {"shards": self.shards, "vectors": self.vectors})
 
     @classmethod
     def load(cls, spark, path: str, kind: str | None = None, element: str | None = None) -> GraphIndex:
         kind, element, raw, parts = persist.load(spark, path, kind, element)
         s = persist.thaw(raw, {})
-        return cls(kind, s["metric"], parts["shards"], parts["vectors"], s["n"], s["dim"], element, s["params"])
+        return cls(kind, s["metric"], parts["shards"], parts["vectors"], s["n"], s["dim"], element, s["params"], s["centroids"], s["salts"])
 
 
 # graphs over tables
@@ -574,15 +666,12 @@ class GraphIndex:
 def clustered_knn_graph(base: DataFrame, k: int = 15, metric: str = "euclidean", id_col: str = "id", vec_col: str = "vec", cells: int | None = None, overlap: int = 2, seed: int = 42, cell_rows: int = SHARD_ROWS) -> DataFrame:
     """A kNN graph (src, rk, dst, distance) of all rows: every row joins its ``overlap`` nearest balanced cells, each cell's rows find their
     neighbours among themselves, and the lists are merged by id. Cells over ``cell_rows`` are met in blocks."""
-    from .cells import sample
-    from .routers import Centroids
-
     metric = parse_metric(metric)
     vectors = as_vectors(base, id_col, vec_col)
     n = vectors.count()
     count = cells or max(1, -(-n // (cell_rows // 4)))
-    router = Centroids(count, balance=True)
-    router.fit(sample(vectors, max(min(n, 250_000) // 10 if n > 10_000 else n, min(n, 16 * count)), seed), n, metric, seed)
+    router = Centroids(count, KMeansParams(balance=True))
+    router.fit(sample(vectors, max(min(n, 250_000) // 10 if n > 10_000 else n, min(n, 16 * count)), seed, n), n, metric, seed)
     turns = max(1, -(-(overlap * n) // count // cell_rows))
 
     def join(batches):

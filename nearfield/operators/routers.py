@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -20,6 +21,7 @@ class OneCell:
     """All rows in one cell."""
 
     copies, cells = 1, 1
+    SEARCH = ()
 
     def fit(self, x, n, metric, seed=42):
         return self
@@ -30,29 +32,70 @@ class OneCell:
     def assign(self, x):
         return np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
 
-    def probe(self, q, k, sizes, **_):
+    def probe(self, q, k, sizes):
         return np.arange(len(q)), np.zeros(len(q), np.int64)
 
 
-def seeds(x: np.ndarray, k: int, rng) -> np.ndarray:
-    """First centroids: rows at random beyond 200, else drawn by squared distance to those already drawn."""
-    if k > 200 or k >= len(x):
+@dataclass
+class KMeansParams:
+    """How centroids are trained: most rounds, the first centroids ("draws": by squared distance to those drawn, "parallel": several a round, "rows": rows at random; draws up to 200 centroids and
+    parallel beyond where None), and whether small cells (under ``threshold`` of the mean) are pulled toward rows of large ones."""
+
+    rounds: int = 30
+    init: str | None = None
+    balance: bool = False
+    threshold: float = 0.25
+    pull: float = 5.0
+
+
+def seeds(x: np.ndarray, k: int, rng, init: str | None = None) -> np.ndarray:
+    """First centroids."""
+    init = init or ("draws" if k <= 200 else "parallel")
+    if init not in ("draws", "parallel", "rows"):
+        raise ValueError(f"unknown way to choose first centroids: {init!r}")
+    if init == "rows" or k >= len(x):
         return x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    out = [x[rng.integers(len(x))]]
+    if init == "parallel":
+        return parallel_seeds(x, k, rng)
+    return drawn_seeds(x, np.ones(len(x)), k, rng)
+
+
+def drawn_seeds(x: np.ndarray, weight: np.ndarray, k: int, rng) -> np.ndarray:
+    """Rows drawn by weight times squared distance to those already drawn."""
+    out = [x[rng.choice(len(x), p=weight / weight.sum())]]
     near = distances("euclidean", x, out[0][None])[:, 0]
     while len(out) < k:
-        total = near.sum()
-        out.append(x[rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))])
+        cost = near * weight
+        out.append(x[rng.choice(len(x), p=cost / cost.sum()) if cost.sum() > 0 else rng.integers(len(x))])
         near = np.minimum(near, distances("euclidean", x, out[-1][None])[:, 0])
     return np.array(out)
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 30, seed: int = 42, balance: bool = False, threshold: float = 0.25, pull: float = 5.0) -> np.ndarray:
+def parallel_seeds(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """Rounds that draw about 2 k / rounds rows at once by squared distance; these, weighed by the rows that are nearest to each, are drawn from again."""
+    rounds = max(1, int(math.log(k)) + 1)
+    few = x[rng.integers(len(x))][None]
+    near = distances("euclidean", x, few)[:, 0]
+    for _ in range(rounds):
+        total = near.sum()
+        if total <= 0:
+            break
+        new = x[rng.random(len(x)) < 2.0 * k / rounds * near / total]
+        for i in range(0, len(new), 256):
+            near = np.minimum(near, distances("euclidean", x, new[i : i + 256]).min(1))
+        few = np.concatenate([few, new])
+    if len(few) < k:
+        few = np.concatenate([few, x[rng.choice(len(x), k - len(few), replace=False)]])
+    own = nearest_cell(x.astype(np.float32), few)
+    return drawn_seeds(few, np.bincount(own, minlength=len(few)) + 1e-9, k, rng)
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = 30, seed: int = 42, balance: bool = False, threshold: float = 0.25, pull: float = 5.0, init: str | None = None) -> np.ndarray:
     """Lloyd's rounds over a sample. balance: cells under ``threshold`` of the mean size move toward rows of large cells, by a weight that falls with ``pull`` and their size."""
     if k > len(x):
         raise ValueError(f"{k} centroids of {len(x)} rows")
     x, rng = np.asarray(x, np.float64), np.random.default_rng(seed)
-    c, near = seeds(x, k, rng).astype(np.float64), x.astype(np.float32)
+    c, near = seeds(x, k, rng, init).astype(np.float64), x.astype(np.float32)
     still = 1e-4 * np.sqrt(x.var(0).sum()) + 1e-12  # centroids that move less than this no longer change cells to speak of
     for i in range(rounds):
         own = nearest_cell(near, c)
@@ -88,9 +131,10 @@ class Centroids:
     """k-means cells; a row belongs to the nearest centroid."""
 
     copies = 1
+    SEARCH = ("nprobe",)
 
-    def __init__(self, nlist: int | None = None, rounds: int = 30, balance: bool = False, centroids=None):
-        self.nlist, self.rounds, self.balance, self.fixed = nlist, rounds, balance, centroids
+    def __init__(self, nlist: int | None = None, params: KMeansParams | None = None, centroids=None):
+        self.nlist, self.params, self.fixed = nlist, params or KMeansParams(), centroids
         self.table = None
 
     @property
@@ -108,7 +152,7 @@ class Centroids:
         if metric == "manhattan":
             raise ValueError("k-means cells need Euclidean or cosine distance")
         self.metric = metric
-        self.table = np.asarray(self.fixed, np.float64) if self.fixed is not None else kmeans(self.ready(x), min(self.lists(n), len(x)), self.rounds, seed, self.balance)
+        self.table = np.asarray(self.fixed, np.float64) if self.fixed is not None else kmeans(self.ready(x), min(self.lists(n), len(x)), seed=seed, **vars(self.params))
         return self
 
     def ready(self, x):
@@ -129,7 +173,7 @@ class Centroids:
         order = np.argsort(self.far(x), axis=1, kind="stable")[:, :m]
         return np.repeat(np.arange(len(x)), order.shape[1]), order.ravel(), np.tile(np.arange(order.shape[1]), len(x))
 
-    def probe(self, q, k, sizes, nprobe: int | None = None, **_):
+    def probe(self, q, k, sizes, nprobe: int | None = None):
         nprobe = min(nprobe or max(1, math.isqrt(self.cells)), self.cells)
         order = np.argsort(self.far(q), axis=1, kind="stable")
         keep = probe_rule(order, sizes, nprobe, k)
@@ -185,6 +229,8 @@ class Hashes:
     A query looks at its own code, then at codes with one slot moved by one, nearest boundary first, then at pairs of such moves.
     """
 
+    SEARCH = ("n_probe", "max_candidates")
+
     def __init__(self, tables: int = 8, bits: int = 12, slot_bits: int | None = None):
         if not 1 <= bits <= 20:
             raise ValueError("1 to 20 bits")
@@ -199,7 +245,7 @@ class Hashes:
 
     def fit(self, x, n, metric, seed=42):
         self.metric = metric
-        self.slot_bits = self.slot_bits or (1 if metric == "cosine" else 2)
+        self.slot_bits = min(self.slot_bits or (1 if metric == "cosine" else 2), self.bits)
         self.width = max(1, self.bits // self.slot_bits)
         d, rng, slots = x.shape[1], np.random.default_rng(seed), 1 << self.slot_bits
         self.axes, self.bounds = [], []
@@ -230,47 +276,56 @@ class Hashes:
         n = np.arange(len(x))
         return np.tile(n, self.copies), np.concatenate(cells), np.repeat(np.arange(self.copies) == 0, len(x))
 
-    def probe(self, q, k, sizes, n_probe: int = 8, max_candidates: int | None = None, **_):
+    def moved(self, q, t):
+        """(queries x codes) of a table in the order in which they are looked at: the own code, one slot moved by one, nearest boundary first, then pairs of such moves by the sum of their gaps; -1 where there are no more."""
+        p, slot = self.slots(q, t)
+        n, last = len(q), (1 << self.slot_bits) - 1
+        bounds = self.bounds[t]
+        place, every = np.arange(self.width), np.arange(n)[:, None]
+        down = np.where(slot > 0, np.abs(p - bounds[np.maximum(slot - 1, 0), place]), np.inf)
+        up = np.where(slot < last, np.abs(bounds[np.minimum(slot, last - 1), place] - p), np.inf)
+        step = np.int64(1) << self.slot_bits * (self.width - 1 - place)
+        gap, delta, dim = np.concatenate([down, up], 1), np.r_[-step, step], np.r_[place, place]
+        order = np.argsort(gap, axis=1, kind="stable")
+        gap, delta, dim = gap[every, order], delta[order], dim[order]
+        a, b = np.triu_indices(gap.shape[1], 1)
+        both = np.where(dim[:, a] != dim[:, b], gap[:, a] + gap[:, b], np.inf)
+        pairs = np.argsort(both, axis=1, kind="stable")
+        own = self.pack(slot, t)[:, None]
+        one = np.where(np.isfinite(gap), own + delta, -1)
+        two = np.where(np.isfinite(both), own + delta[:, a] + delta[:, b], -1)[every, pairs]
+        return np.concatenate([own, one, two], 1)
+
+    def probe(self, q, k, sizes, n_probe: int = 8, max_candidates: int | None = None):
+        """Of each table the own code and ``n_probe`` more, and further ones until one table's cells, whose rows all differ, hold k rows; where all that can be
+        reached hold fewer, the fullest cells of the first table as well. max_candidates: no further cells once these many rows were met."""
+        known, count = sizes
         rows, cells = [], []
-        last = (1 << self.slot_bits) - 1
-        for t in range(self.copies):
-            p, slot = self.slots(q, t)
-            for i in range(len(q)):
-                moves = []
-                for j in range(self.width):
-                    s = slot[i, j]
-                    if s > 0:
-                        moves.append((abs(p[i, j] - self.bounds[t][s - 1, j]), j, -1))
-                    if s < last:
-                        moves.append((abs(self.bounds[t][s, j] - p[i, j]), j, 1))
-                moves.sort()
-                more = [(g, ((j, d),)) for g, j, d in moves]
-                more += [(a[0] + b[0], (a[1:], b[1:])) for x, a in enumerate(moves) for b in moves[x + 1 :] if a[1] != b[1]]
-                more.sort(key=lambda m: (len(m[1]), m[0]))
-                codes = [slot[i]]
-                for _, steps in more[:n_probe]:
-                    own = slot[i].copy()
-                    for j, d in steps:
-                        own[j] += d
-                    codes.append(own)
-                found = self.pack(np.array(codes), t)
-                rows += [i] * len(found)
-                cells += found.tolist()
-        rows, cells = np.array(rows, np.int64), np.array(cells, np.int64)
+        for i in range(0, len(q), 1024):
+            part = q[i : i + 1024]
+            codes = np.stack([self.moved(part, t) for t in range(self.copies)], 2)  # queries, order, tables
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            held = np.where(known[at] == codes, count[at], 0)
+            before = held.cumsum(1) - held
+            rank = (codes >= 0).cumsum(1) - 1
+            keep = (rank <= n_probe) | (before.max(2, keepdims=True) < k)
+            if max_candidates:
+                met = (held * keep).reshape(len(part), -1).cumsum(1).reshape(held.shape) - held * keep
+                keep &= met < max_candidates
+            keep &= held > 0
+            r, level, t = np.nonzero(keep)
+            rows.append(i + r)
+            cells.append(codes[r, level, t])
+            for short in np.flatnonzero((held * keep).sum(1).max(1) < k) if not max_candidates else ():
+                own = np.flatnonzero(known >> self.bits == 0)
+                own = own[np.argsort(-count[own], kind="stable")]
+                more = known[own[: 1 + int(np.searchsorted(count[own].cumsum(), 2 * k))]]
+                more = np.setdiff1d(more, codes[short][keep[short]])
+                rows.append(np.full(len(more), i + short))
+                cells.append(more)
+        rows, cells = np.concatenate(rows), np.concatenate(cells)
         order = np.argsort(rows, kind="stable")
-        rows, cells = rows[order], cells[order]
-        held = np.array([sizes.get(c, 0) for c in cells.tolist()])
-        if max_candidates:
-            start = np.searchsorted(rows, rows, "left")
-            total = np.cumsum(held)
-            before = total - held - np.where(start > 0, total[start - 1], 0)
-            held = np.where(before < max_candidates, held, 0)
-        some = held > 0
-        none = np.setdiff1d(np.arange(len(q)), rows[some])
-        if len(none) and sizes:  # nothing where it looked: the fullest cells, in place of a random sample
-            full = sorted(sizes, key=lambda c: (-sizes[c], c))[: max(1, n_probe)]
-            rows, cells, some = np.r_[rows, np.repeat(none, len(full))], np.r_[cells, np.tile(full, len(none))], np.r_[some, np.ones(len(none) * len(full), bool)]
-        return rows[some], cells[some]
+        return rows[order], cells[order]
 
 
 class Forest:
@@ -280,6 +335,8 @@ class Forest:
     of one of the dimensions of largest spread; kind "ball": the two sides of a far pair, with a radius.
     """
 
+    SEARCH = ("budget",)
+
     def __init__(self, kind: str = "hyperplane", trees: int = 25, leaf: int = 64):
         self.kind, self.copies, self.leaf = kind, 1 if kind == "ball" else trees, leaf
 
@@ -372,8 +429,9 @@ class Forest:
         cells = [self.descend(y, t) for t in self.trees]
         return np.tile(np.arange(len(x)), self.copies), np.concatenate(cells), np.repeat(np.arange(self.copies) == 0, len(x))
 
-    def probe(self, q, k, sizes, budget: int | None = None, **_):
+    def probe(self, q, k, sizes, budget: int | None = None):
         """Leaves by growing distance to the splits passed on the wrong side (balls: to the ball less its radius), until ``budget`` rows were met."""
+        sizes = dict(zip(sizes[0].tolist(), sizes[1].tolist()))
         budget = budget or (max(k, self.n // 20) if self.kind == "ball" else k * self.copies * 20)
         rows, cells, y = [], [], self.ready(q)
         balls = [dict(zip(t["ball_node"].tolist(), zip(t["ball_centre"], t["ball_radius"]))) for t in self.trees] if self.kind == "ball" else None
@@ -403,4 +461,4 @@ class Forest:
 
 
 ROUTERS = {"OneCell": OneCell, "Centroids": Centroids, "Spilled": Spilled, "Hashes": Hashes, "Forest": Forest}
-__all__ = ["ROUTERS", "Centroids", "Forest", "Hashes", "OneCell", "Spilled", "kmeans", "orthogonal", "probe_rule", "second_cell"]
+__all__ = ["ROUTERS", "Centroids", "Forest", "Hashes", "KMeansParams", "OneCell", "Spilled", "kmeans", "orthogonal", "probe_rule", "second_cell"]

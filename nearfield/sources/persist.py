@@ -1,15 +1,17 @@
-"""Saved indices: component tables as Parquet, and a manifest that is written last and so marks a whole index."""
+"""Saved indices: component tables as Parquet in a new folder, and a manifest that names it and is written last. An index that is saved again replaces
+the old one when its manifest does; until then the old one is whole, and an index may be saved onto the path it was loaded from."""
 
 from __future__ import annotations
 
 import io
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 
 
 class IndexFormatError(Exception):
@@ -36,6 +38,10 @@ class TruncatedError(IndexFormatError):
     pass
 
 
+class TrailingError(IndexFormatError):
+    pass
+
+
 def freeze(value, classes: dict[str, type]) -> bytes:
     """An object of known classes, with nested lists, dicts and arrays, as bytes; nothing in them is executed when read."""
     arrays: dict[str, np.ndarray] = {}
@@ -79,18 +85,33 @@ def thaw(raw: bytes, classes: dict[str, type]):
     return get(json.loads(data["tree"].tobytes()))
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def save(spark: SparkSession, path: str, kind: str, element: str, state: bytes, parts: dict[str, DataFrame]) -> None:
-    """Writes the parts, each to a folder of its own, then the manifest with their row counts."""
-    counts = {}
+    """Writes the parts to a new folder, then the manifest with its name and their row counts, then removes what an earlier manifest named."""
+    counts, home = {}, f"parts-{uuid.uuid4().hex}"
     for name, frame in parts.items():
-        frame.write.mode("overwrite").parquet(f"{path}/{name}")
-        counts[name] = spark.read.parquet(f"{path}/{name}").count()
-    row = (kind, FORMAT_VERSION, element, json.dumps(counts), bytearray(state))
-    spark.createDataFrame([row], "kind string, format_version int, element string, counts string, state binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+        frame.write.parquet(f"{path}/{home}/{name}")
+        counts[name] = spark.read.parquet(f"{path}/{home}/{name}").count()
+    row = (kind, FORMAT_VERSION, element, home, json.dumps(counts), bytearray(state))
+    spark.createDataFrame([row], "kind string, format_version int, element string, home string, counts string, state binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    for old in _children(spark, path):
+        if old.startswith("parts-") and old != home:
+            p, fs = _folder(spark, f"{path}/{old}")
+            fs.delete(p, True)
 
 
 def load(spark: SparkSession, path: str, kind: str | None = None, element: str | None = None) -> tuple[str, str, bytes, dict[str, DataFrame]]:
-    """(kind, element type, state, parts). Raises what is wrong: no manifest, another version, kind or element type, parts with other row counts."""
+    """(kind, element type, state, parts). Raises what is wrong: no manifest, another version, kind or element type, parts with other row counts, parts that the manifest doesn't name."""
     try:
         row = spark.read.parquet(f"{path}/manifest").first()
     except Exception as e:
@@ -103,18 +124,14 @@ def load(spark: SparkSession, path: str, kind: str | None = None, element: str |
         raise KindError(f"{path} holds {row.kind}, not {kind}")
     if element is not None and row.element != element:
         raise ElementTypeError(f"{path} holds {row.element}, not {element}")
-    parts = {}
-    for name, n in json.loads(row.counts).items():
+    counts, parts = json.loads(row.counts), {}
+    if extra := set(_children(spark, f"{path}/{row.home}")) - counts.keys():
+        raise TrailingError(f"{path}/{row.home} has parts that the manifest doesn't name: {', '.join(sorted(extra))}")
+    for name, n in counts.items():
         try:
-            parts[name] = spark.read.parquet(f"{path}/{name}")
+            parts[name] = spark.read.parquet(f"{path}/{row.home}/{name}")
         except Exception as e:
-            raise TruncatedError(f"{path}/{name} is missing") from e
+            raise TruncatedError(f"{path}/{row.home}/{name} is missing") from e
         if (found := parts[name].count()) != n:
-            raise TruncatedError(f"{path}/{name} has {found} rows of {n}")
+            raise TruncatedError(f"{path}/{row.home}/{name} has {found} rows of {n}")
     return row.kind, row.element, bytes(row.state), parts
-
-
-def relocate(frame: DataFrame, path: str) -> DataFrame:
-    """A copy of a part (a store of vectors for exact re-ranking, say) at another place."""
-    frame.write.mode("overwrite").parquet(path)
-    return frame.sparkSession.read.parquet(path).select(*[F.col(c) for c in frame.columns])

@@ -131,7 +131,7 @@ def test_second_cell_is_another_one():
 
 def test_shards_and_metrics_of_graphs(base):
     index = api.build_hnsw_index(base, metric="cosine", shard_rows=150)
-    assert index.shards.count() == 3
+    assert index.shards.count() >= 3
     recall, _ratio = evaluate.validate(index, K)
     assert recall > 0.95
     assert evaluate.validate(api.build_nndescent_index(base, metric="manhattan"), K)[0] > 0.9
@@ -140,7 +140,7 @@ def test_shards_and_metrics_of_graphs(base):
 @pytest.mark.parametrize("build", [api.build_nndescent_index, api.build_nndescent_index_gpu])
 def test_extracted_lists_cross_shards(base, truth, build):
     index = build(base, k=K + 2, shard_rows=100)
-    assert index.shard_count == 4
+    assert index.shard_count >= 4
     p = api.extract_nndescent_knn(index).toPandas()
     width = K + 2 if build is api.build_nndescent_index else (K + 2) * 3 // 2
     assert not p.duplicated(["src", "dst"]).any() and (p.src != p.dst).all() and (p.groupby("src").size() == width).all() and p.src.nunique() == N
@@ -149,6 +149,34 @@ def test_extracted_lists_cross_shards(base, truth, build):
     assert recall > 0.95
 
 
+GRAPHS = (api.build_hnsw_index, api.build_nndescent_index, api.build_vamana_index, api.build_nsg_index, api.build_rnn_descent_index, api.build_nndescent_index_gpu)
+
+
+@pytest.mark.parametrize("build", GRAPHS)
+def test_recall_over_many_shards(base, truth, build):
+    index = build(base, shard_rows=60)
+    assert index.shard_count >= 7
+    assert recalled(index.self_knn(K), truth) > 0.93
+    assert recalled(index.self_knn(K, nprobe=100), truth) > 0.97
+
+
+def test_a_hot_centroid_is_several_shards(spark, base):
+    """A third of all rows are one vector."""
+    one = base.where("id = 5").first().vec
+    same = base.where("id < 200").select((F.col("id") + 10_000).alias("id"), F.array(*[F.lit(float(x)).cast("float") for x in one]).alias("vec"))
+    index = api.build_nndescent_index(materialise(base.union(same)), k=10, shard_rows=40)
+    assert index.salts and index.shards.agg(F.max("n")).first()[0] <= 2 * 2 * 40 * 1.5
+    found = index.query(base.where("id = 5"), 5).toPandas()
+    assert len(found) == 5 and (found.distance < 1e-9).all()
+
+
+def test_search_parameters_of_the_accelerated_graph(base, truth):
+    index = api.build_nndescent_index_gpu(base)
+    full = recalled(index.self_knn(K, beam_width=64, max_beam_iters=192, n_entry_points=8, expand_per_iter=3), truth)
+    short = recalled(index.self_knn(K, beam_width=K, max_beam_iters=1, n_entry_points=8, expand_per_iter=1), truth)
+    assert full > 0.9 > short
+
+
 def test_knn_graph_merge_and_refine(base, truth):
     g = api.build_knn_graph(base, k=K, cells=4)
     p = g.toPandas()
@@ -171,18 +199,78 @@ def test_saving_and_what_can_be_wrong(spark, base):
         api.load_index(spark, path, "ivf")
     with pytest.raises(persist.ElementTypeError):
         api.load_index(spark, path, element="double")
-    spark.read.parquet(f"{path}/rows").limit(7).coalesce(1).write.mode("append").parquet(f"{path}/vectors_more")
+    home = spark.read.parquet(f"{path}/manifest").first().home
+    spark.read.parquet(f"{path}/{home}/rows").limit(7).coalesce(1).write.parquet(f"{path}/{home}/more")
+    with pytest.raises(persist.TrailingError):
+        api.load_index(spark, path)
     m = spark.read.parquet(f"{path}/manifest")
     materialise(m.withColumn("format_version", F.lit(99))).write.mode("overwrite").parquet(f"{path}/manifest")
     with pytest.raises(persist.VersionError):
         api.load_index(spark, path)
     path = shared_dir(spark)
     api.save_index(api.build_ivf_index(base, 6), path)
-    materialise(spark.read.parquet(f"{path}/rows").limit(100)).write.mode("overwrite").parquet(f"{path}/rows")
+    again = api.load_index(spark, path)
+    api.save_index(again, path)  # onto the place it is read from
+    assert api.load_index(spark, path).self_knn(3, nprobe=6).count() == 3 * N
+    home = spark.read.parquet(f"{path}/manifest").first().home
+    materialise(spark.read.parquet(f"{path}/{home}/rows").limit(100)).write.mode("overwrite").parquet(f"{path}/{home}/rows")
     with pytest.raises(persist.TruncatedError):
         api.load_index(spark, path)
 
 
+def test_rerank_stores(spark, base):
+    index = api.build_exhaustive_index_binary(base, metric="euclidean")
+    path = shared_dir(spark)
+    api.save_store(index, path)
+    want = {(r.qid, r.id) for r in index.self_knn(5, rerank=True).collect()}
+    assert {(r.qid, r.id) for r in index.with_store(path).self_knn(5, rerank=True).collect()} == want
+    with pytest.raises(persist.TruncatedError):
+        api.build_exhaustive_index_binary(base.where("id > 5"), metric="euclidean").with_store(path)
+    with pytest.raises(persist.KindError):
+        api.load_index(spark, path, "ivf")
+
+
+@pytest.mark.parametrize("bad", ["null", "short", "nan", "element"])
+def test_bad_vectors_raise_when_built_and_when_asked(spark, base, bad):
+    wrong = {"null": "NULL", "short": "slice(vec, 1, 31)", "nan": "transform(vec, x -> float('nan'))", "element": "transform(vec, x -> CAST(NULL AS FLOAT))"}[bad]
+    mixed = base.selectExpr("id", f"CASE WHEN id = 37 THEN {wrong} ELSE vec END AS vec")
+    with pytest.raises(Exception, match="vector"):
+        api.build_exhaustive_index(mixed)
+    with pytest.raises(Exception, match="vector"):
+        api.build_exhaustive_index(base).query(mixed, 3).count()
+    with pytest.raises(TypeError):
+        api.build_exhaustive_index(base.selectExpr("id", "CAST(vec AS array<string>) AS vec"))
+
+
+def test_unknown_parameters_raise(base):
+    for build, how in ((api.build_ivf_index, {"nprob": 9}), (api.build_exhaustive_index, {"nprobe": 2}), (api.build_lsh_index, {"typo": 1}), (api.build_hnsw_index, {"typo": 1}), (api.build_annoy_index, {"n_probe": 1})):
+        with pytest.raises(TypeError):
+            build(base).self_knn(3, **how)
+    with pytest.raises(TypeError):
+        api.build_hnsw_index(base, typo=1)
+
+
+@pytest.mark.parametrize("init", ["draws", "parallel", "rows"])
+def test_ways_to_train_centroids(base, truth, init):
+    params = api.KMeansParams(rounds=12, init=init, balance=True)
+    assert recalled(api.build_ivf_index(base, 9, k_means_params=params).self_knn(K, nprobe=9), truth) == 1.0
+    x = np.array([r.vec for r in base.collect()], float)
+    c = R.kmeans(x, 9, init=init)
+    assert c.shape == (9, D) and ((x[:, None] - c[None]) ** 2).sum(2).min(1).mean() < 0.6 * x.var(0).sum()
+
+
+def test_hashing_always_finds_k(base):
+    for how in ({}, {"n_probe": 0}):
+        found = api.build_lsh_index(base, num_tables=2, bits_per_hash=16).self_knn(K, **how).toPandas()
+        assert (found.groupby("qid").size() == K).all() and found.qid.nunique() == N
+
+
+def test_residual_sign_codes(base, truth):
+    assert recalled(api.build_ivf_index_binary(base, binary_init="sign", residual=True, nlist=9).self_knn(K, nprobe=9, rerank=True), truth) > 0.8
+    with pytest.raises(ValueError):
+        api.build_ivf_index_binary(base, residual=True)
+
+
 @pytest.mark.parametrize("family", FAMILIES)
 def test_synthetic_rows_depend_on_seed_and_id_only(spark, family):
     a, b = vectors(spark, family, 60, 24, partitions=3), vectors(spark, family, 60, 24, partitions=5)
