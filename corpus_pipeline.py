@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's documents. All but the last
 return the columns of documents.
+
+Defined results: what each operator's docstring says of nulls, empty and very long texts, ties, repeated rows, empty
+tables and extra columns holds for its stage; columns other than doc_id and text pass through the filters as they are.
+Quality judges a document by its lines and keeps or drops it whole: texts go on as they were.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import exact_dedup, packing, quality, secrets, simhash
-from nearfield.llm.common import cut
+from nearfield.llm.common import cut_at, drop_table
 from nearfield.llm.queries import BYTE_BPE, RANKS
 
 
@@ -46,9 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs)
+            docs, path = cut_at(docs)
+            if last:
+                drop_table(spark, last)
+            last = path
     return docs
