@@ -112,12 +112,6 @@ def _assigned(spark, sf_dir, m):
     return kmeans.assign(e, means(e), top=m)
 
 
-def kmeans_cells(spark, sf_dir):
-    """Cells of centroids trained on all rows, ten of them."""
-    e = base(spark, sf_dir)
-    return kmeans.assign(e, kmeans.train_centroids(e, 10)).groupBy("cell").agg(F.count("*").alias("n"))
-
-
 def assign_nearest_centroid(spark, sf_dir):
     return _assigned(spark, sf_dir, 1).select("id", "cell")
 
@@ -150,10 +144,6 @@ def ivf_probe_cogroup(spark, sf_dir):
     return shown(_by_label_index(spark, sf_dir).self_knn(K, nprobe=2, plan="cogroup"))
 
 
-def ivf_default(spark, sf_dir):
-    return shown(api.build_ivf_index(base(spark, sf_dir)).self_knn(K))
-
-
 def kmknn(spark, sf_dir):
     return shown(api.build_kmknn_index(base(spark, sf_dir)).self_knn(K))
 
@@ -180,10 +170,6 @@ def soar_full_probe(spark, sf_dir):
     return shown(api.build_soar_index(base(spark, sf_dir), 12).self_knn(K, nprobe=12))
 
 
-def soar_default(spark, sf_dir):
-    return shown(api.build_soar_index(base(spark, sf_dir)).self_knn(K))
-
-
 def _codes(spark, sf_dir, codec, scaled=False, **more):
     """A flat scan of codes asked with the vectors themselves."""
     index = CellIndex.build(base(spark, sf_dir, scaled), "flat", codec.metric, None, codec)
@@ -295,13 +281,16 @@ def _own(build, params=None, **more):
 
 
 def synthetic_sources(spark, sf_dir):
-    """Rows and mean norms of each synthetic family."""
+    """Rows of each synthetic family, and whether their labels, lengths and noise are as asked for."""
     from ..sources.synthetic import FAMILIES, noised_queries, vectors
 
     out = None
     for family in FAMILIES:
         made = vectors(spark, family, 2_000, 32)
-        one = noised_queries(made).agg(F.count("*").alias("n"), F.avg(V.l2_norm("vec")).alias("mean_norm")).select(F.lit(family).alias("family"), "n", rounded("mean_norm").alias("mean_norm"))
+        moved = made.join(noised_queries(made).withColumnRenamed("vec", "moved"), "id")
+        noise = F.avg(V.squared_euclidean("vec", "moved"))  # 32 * 0.05^2 = 0.08
+        one = moved.agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), ((F.min(F.size("vec")) == 32) & (F.abs(noise - 0.08) < 0.004)).alias("sound"))
+        one = one.select(F.lit(family).alias("family"), "n", "labels", "sound")
         out = one if out is None else out.union(one)
     return out
 
@@ -339,7 +328,10 @@ _FLAT_ALL = {
     "rnn_descent_full_beam": _beam(api.build_rnn_descent_index),
     "cagra_full_beam": _beam(api.build_nndescent_index_gpu),
 }
-_OWN_WIDTH = {
+#: Every approximate engine at its usual width, whole results; the benchmark times them.
+ENGINES = {
+    "ivf_default": _own(api.build_ivf_index),
+    "soar_default": _own(api.build_soar_index),
     "annoy": _own(api.build_annoy_index),
     "kd_forest": _own(api.build_kd_tree_index),
     "ball_tree": _own(api.build_balltree_index),
@@ -351,46 +343,188 @@ _OWN_WIDTH = {
     "rnn_descent": _own(api.build_rnn_descent_index),
     "cagra": _own(api.build_nndescent_index_gpu),
     "bf16": _own(api.build_exhaustive_bf16_index),
-    "ivf_bf16": _own(api.build_ivf_bf16_index),
-    "ivf_sq8": _own(api.build_ivf_sq8_index),
-    "pq": _own(api.build_exhaustive_pq_index, m=16, n_pq_centroids=128),
-    "opq": _own(api.build_exhaustive_opq_index, m=16, n_pq_centroids=128),
     "ivf_pq": _own(api.build_ivf_pq_index, m=16, n_pq_centroids=128),
-    "ivf_opq": _own(api.build_ivf_opq_index, m=16, n_opq_centroids=128),
-    "soar_pq": _own(api.build_soar_pq_index, m=16, n_pq_centroids=128),
-    "soar_opq": _own(api.build_soar_opq_index, m=16, n_opq_centroids=128),
-    "binary_random": _own(api.build_exhaustive_index_binary),
-    "binary_pca": _own(api.build_exhaustive_index_binary, binary_init="pca"),
-    "ivf_binary": _own(api.build_ivf_index_binary, {"rerank": True}),
-    "rabitq": _own(api.build_exhaustive_index_rabitq),
     "ivf_rabitq": _own(api.build_ivf_index_rabitq),
     "turboquant": _own(api.build_exhaustive_index_turboquant),
-    "ivf_turboquant": _own(api.build_ivf_index_turboquant, bits=2),
 }
 
 
-def knn_graph(spark, sf_dir):
-    return api.build_knn_graph(base(spark, sf_dir), k=K, cells=8).select("src", "rk", "dst", rounded("distance").alias("distance"))
+def hits(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(qid, recalled): whether nine in ten of a query's true neighbours were found."""
+    hit = truth.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("hit")).distinct(), ["qid", "id"], "left")
+    return hit.groupBy("qid").agg((F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))
+
 
+def _recall(build, params=None, **more):
+    """An index over all rows, asked with every row whose id is divisible by 50, against the flat scan."""
+
+    def run(spark, sf_dir):
+        e = base(spark, sf_dir)
+        asked = e.where("id % 50 = 0")
+        return hits(build(e, **more).query(asked, K, **(params or {})), api.build_exhaustive_index(e).query(asked, K))
+
+    return run
+
+
+#: The table's 64 dimensions are nearly independent, so that cells prune little of its few rows.
+_MOST = {"nprobe": 14}
+_AGAIN = {"rerank": True}
+_PQ, _OPQ = {"m": 16, "n_pq_centroids": 128}, {"m": 16, "n_opq_centroids": 128}
+#: Every approximate engine at a setting that finds nine in ten.
+RECALL = {
+    "recall_ivf": _recall(api.build_ivf_index, _MOST, nlist=16),
+    "recall_ivf_balanced": _recall(api.build_ivf_index, _MOST, k_means_params=api.KMeansParams(balance=True, init="parallel"), nlist=16),
+    "recall_soar": _recall(api.build_soar_index, {"nprobe": 14}),
+    "recall_annoy": _recall(api.build_annoy_index),
+    "recall_kd_forest": _recall(api.build_kd_tree_index),
+    "recall_ball_tree": _recall(api.build_balltree_index, {"budget": 470}),
+    "recall_lsh": _recall(api.build_lsh_index, {"n_probe": 24}, num_tables=16, bits_per_hash=8),
+    "recall_hnsw": _recall(api.build_hnsw_index),
+    "recall_nndescent": _recall(api.build_nndescent_index),
+    "recall_vamana": _recall(api.build_vamana_index),
+    "recall_nsg": _recall(api.build_nsg_index),
+    "recall_rnn_descent": _recall(api.build_rnn_descent_index),
+    "recall_cagra": _recall(api.build_nndescent_index_gpu, {"beam_width": 96, "expand_per_iter": 3, "n_entry_points": 32}),
+    "recall_hnsw_shards": _recall(api.build_hnsw_index, {"nprobe": 6}, shard_rows=100),
+    "recall_nndescent_shards": _recall(api.build_nndescent_index, {"nprobe": 6}, shard_rows=100),
+    "recall_bf16": _recall(api.build_exhaustive_bf16_index, _AGAIN),
+    "recall_ivf_bf16": _recall(api.build_ivf_bf16_index, _MOST | _AGAIN, nlist=16),
+    "recall_sq8": _recall(api.build_exhaustive_sq8_index, _AGAIN),
+    "recall_ivf_sq8": _recall(api.build_ivf_sq8_index, _MOST | _AGAIN, nlist=16),
+    "recall_pq": _recall(api.build_exhaustive_pq_index, _AGAIN, **_PQ),
+    "recall_opq": _recall(api.build_exhaustive_opq_index, _AGAIN, **_PQ),
+    "recall_ivf_pq": _recall(api.build_ivf_pq_index, _MOST | _AGAIN, **_PQ, nlist=16),
+    "recall_ivf_opq": _recall(api.build_ivf_opq_index, _MOST | _AGAIN, **_OPQ, nlist=16),
+    "recall_soar_pq": _recall(api.build_soar_pq_index, _MOST | _AGAIN, **_PQ),
+    "recall_soar_opq": _recall(api.build_soar_opq_index, _MOST | _AGAIN, **_OPQ),
+    "recall_binary_random": _recall(api.build_exhaustive_index_binary, _AGAIN),
+    "recall_binary_pca": _recall(api.build_exhaustive_index_binary, _AGAIN, binary_init="pca"),
+    "recall_ivf_binary": _recall(api.build_ivf_index_binary, _MOST | _AGAIN, nlist=16),
+    "recall_rabitq": _recall(api.build_exhaustive_index_rabitq, {"nprobe": 10} | _AGAIN),
+    "recall_ivf_rabitq": _recall(api.build_ivf_index_rabitq, _MOST | _AGAIN, nlist=16),
+    "recall_turboquant": _recall(api.build_exhaustive_index_turboquant, _AGAIN),
+    "recall_ivf_turboquant": _recall(api.build_ivf_index_turboquant, _MOST | _AGAIN, bits=2, nlist=16),
+}
 
-def nsg_from_knn(spark, sf_dir):
+
+def _edges_found(edges: DataFrame, e: DataFrame) -> DataFrame:
+    """Whether lists of neighbours hold nine in ten of the K nearest others, for rows whose id is divisible by 50."""
+    asked = e.where("id % 50 = 0")
+    truth = top_k(api.build_exhaustive_index(e).query(asked, K + 1).where("qid <> id"), K)
+    return hits(edges.where("src % 50 = 0").select(F.col("src").alias("qid"), F.col("dst").alias("id")), truth)
+
+
+def recall_knn_graph(spark, sf_dir):
+    e = base(spark, sf_dir)
+    return _edges_found(api.build_knn_graph(e, k=K, cells=8, overlap=4), e)
+
+
+def recall_nsg_from_knn(spark, sf_dir):
     e = base(spark, sf_dir)
-    return shown(api.build_nsg_from_knn_index(api.build_nndescent_index(e)).self_knn(K))
+    asked = e.where("id % 50 = 0")
+    return hits(api.build_nsg_from_knn_index(api.build_nndescent_index(e)).query(asked, K), api.build_exhaustive_index(e).query(asked, K))
+
+
+def recall_nndescent_edges(spark, sf_dir):
+    """The kNN lists of an index over several shards."""
+    e = base(spark, sf_dir)
+    return _edges_found(api.extract_nndescent_knn(api.build_nndescent_index(e, shard_rows=100)), e)
+
+
+def kmeans_fixed_point(spark, sf_dir):
+    """Centroids trained on all rows: every row is in the cell of its nearest one, and each is the mean of its rows."""
+    e = base(spark, sf_dir)
+    c = kmeans.train_centroids(e, 10, rounds=200)
+    cells = kmeans.assign(e, c).join(e, "id").select("cell", F.posexplode(F.col("vec").cast("array<double>")).alias("place", "x"))
+    mean = cells.groupBy("cell", "place").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
+    own = spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(c) for j, v in enumerate(row)], "cell bigint, place int, centre double")
+    return mean.join(own, ["cell", "place"]).groupBy("place").agg(F.sum("n").alias("n"), (F.max(F.abs(F.col("mean") - F.col("centre"))) < 1e-4).alias("fixed")).select(F.col("place").cast("bigint").alias("place"), "n", "fixed")
+
+
+class _Books(C.PQ):
+    """Product codes whose books are the label means' parts."""
+
+    def __init__(self, table: np.ndarray):
+        super().__init__("euclidean", 8, len(table), residual=False)
+        self.table = table
 
+    def fit(self, x, seed=42):
+        self.books = np.split(self.table, self.m, axis=1)
+        return self
 
-def nndescent_edges(spark, sf_dir):
-    return api.extract_nndescent_knn(api.build_nndescent_index(base(spark, sf_dir))).select("src", "dst", rounded("distance").alias("distance"))
+
+class _PlainRaBitQ(C.RaBitQ):
+    """Without a rotation."""
+
+    def fit(self, x, seed=42):
+        self.turn = np.eye(x.shape[1])
+        return self
+
+
+class _PlainTurboQuant(C.TurboQuant):
+    """Without a rotation, and with levels that SQL can repeat."""
+
+    LEVELS = (-0.19, -0.06, 0.06, 0.19)
+
+    def fit(self, x, seed=42):
+        self.turn, self.levels = np.eye(x.shape[1]), np.array(self.LEVELS)
+        return self
+
+
+def pq_label_books(spark, sf_dir):
+    return shown(_codes(spark, sf_dir, _Books(means(base(spark, sf_dir)))))
+
+
+def bf16_codes(spark, sf_dir):
+    return shown(_codes(spark, sf_dir, C.BFloat16("euclidean")))
+
+
+def rabitq_plain(spark, sf_dir):
+    return shown(_codes(spark, sf_dir, _PlainRaBitQ("euclidean")))
+
+
+def turboquant_plain(spark, sf_dir):
+    return shown(_codes(spark, sf_dir, _PlainTurboQuant("euclidean", 2)))
+
+
+def turboquant_rebuilt(spark, sf_dir):
+    """The rows that the codes rebuild, coordinate by coordinate."""
+    index = CellIndex.build(base(spark, sf_dir), "flat", "euclidean", None, _PlainTurboQuant("euclidean", 2))
+    return index.rebuilt().select("id", F.posexplode("vec").alias("place", "x")).select("id", F.col("place").cast("bigint").alias("place"), rounded("x").alias("x"))
+
+
+def residual_signs(spark, sf_dir):
+    """Sign codes less the cell's mean, asked with the query less the same mean."""
+    e = base(spark, sf_dir)
+    index = CellIndex.build(e, "ivf_binary", "euclidean", by_label(e), C.Binary("euclidean", init="sign", residual=True))
+    return shown(index.self_knn(K, nprobe=2))
+
+
+def rerank_from_store(spark, sf_dir):
+    from ..sources.tables import shared_dir
+
+    index, path = CellIndex.build(base(spark, sf_dir), "flat", "euclidean", None, C.Binary("euclidean", init="sign")), shared_dir(spark)
+    api.save_store(index, path)
+    return shown(index.with_store(path).query(index.vectors, K, rerank=True, rerank_factor=10))
+
+
+def vector_arithmetic(spark, sf_dir):
+    """Norms of a row plus and less its label's mean."""
+    e = base(spark, sf_dir)
+    m = label_means(e).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", "mean"))).alias("m")).select("label", F.col("m.mean").alias("m"))
+    return e.join(F.broadcast(m), "label").select("id", rounded(V.l2_norm(V.subtract("vec", "m"))).alias("less"), rounded(V.l1_norm(V.add("vec", "m"))).alias("plus"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         flat_l2, flat_cosine, flat_manhattan, flat_l2_external, flat_l2_cogroup, flat_canberra, knn_self_graph, norms, pairwise_metrics, centroid_by_label,
-        assign_nearest_centroid, assign_top_m, kmeans_cells, cell_stats, ivf_probe, ivf_probe_cogroup, ivf_full_probe, ivf_default, kmknn, soar_nearest, soar_shifted, soar_orthogonal,
-        soar_full_probe, soar_default, sq8_flat_l2, sq8_flat_cosine, sign_hamming, sign_asymmetric, hamming_columns, rerank_exact, reverse_edges, graph_merge_topk,
-        graph_two_hop, graph_refine, recall_at_k, mean_distance_ratio, synthetic_sources, saved_and_loaded, events_profile, knn_graph, nsg_from_knn, nndescent_edges,
+        assign_nearest_centroid, assign_top_m, kmeans_fixed_point, cell_stats, ivf_probe, ivf_probe_cogroup, ivf_full_probe, kmknn, soar_nearest, soar_shifted, soar_orthogonal,
+        soar_full_probe, sq8_flat_l2, sq8_flat_cosine, sign_hamming, sign_asymmetric, hamming_columns, rerank_exact, reverse_edges, graph_merge_topk,
+        graph_two_hop, graph_refine, recall_at_k, mean_distance_ratio, synthetic_sources, saved_and_loaded, events_profile, recall_knn_graph, recall_nsg_from_knn, recall_nndescent_edges,
+        pq_label_books, bf16_codes, rabitq_plain, turboquant_plain, turboquant_rebuilt, residual_signs, rerank_from_store, vector_arithmetic,
     )
-} | _FLAT_ALL | _OWN_WIDTH
+} | _FLAT_ALL | RECALL
 
 # SQL
 
@@ -458,7 +592,37 @@ d AS (SELECT p.id AS qid, e.id, {_dist('l2')} AS dist FROM probes AS p JOIN e AS
 f AS (SELECT qid, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rk FROM d) WHERE rk <= {K}),
 t AS (SELECT qid, id, dist FROM (SELECT q.id AS qid, e.id, {_dist('l2')} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {_dist('l2')}, e.id) AS rk FROM e AS q, e) WHERE rk <= {K})"""
 
+_RECALLED = f"WITH {_E} SELECT id AS qid, TRUE AS recalled FROM e WHERE id % 50 = 0"
+_PART = "[j * 8 + 1:j * 8 + 8]"
+_REBUILT = f"""{_E.replace("e AS", "u AS", 1)}, p AS (SELECT label, i, avg(vec[i]) AS mean FROM u, range(1, 65) AS t(i) GROUP BY label, i), m AS (SELECT label, list(mean ORDER BY i) AS vec FROM p GROUP BY label),
+far AS (SELECT u.id, j, m.label, m.vec{_PART} AS part, {_L2.format(a="u.vec" + _PART, b="m.vec" + _PART)} AS d FROM u, m, range(0, 8) AS t(j)),
+c AS (SELECT id, j, part FROM (SELECT *, row_number() OVER (PARTITION BY id, j ORDER BY d, label) AS rk FROM far) WHERE rk = 1), e AS (SELECT id, flatten(list(part ORDER BY j)) AS vec FROM c GROUP BY id)"""
+_ROUNDED = f"{_U}, e AS (SELECT id, list_transform(vec, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2.0, floor(log2(abs(x))) - 7), 0) * pow(2.0, floor(log2(abs(x))) - 7) END) AS vec FROM u)"
+_NORM = "sqrt(list_inner_product({v}, {v}))"
+_SCALED = """x AS (SELECT id, vec, sqrt(list_inner_product(vec, vec)) AS n FROM u), y AS (SELECT id, n, list_transform(vec, lambda v: v / n) AS o FROM x)"""
+_RABITQ = f"""{_U}, {_SCALED}, e AS (SELECT id, CAST(CAST(n AS FLOAT) AS DOUBLE) AS n, CAST(CAST(list_sum(list_transform(o, lambda v: abs(v))) / 8 AS FLOAT) AS DOUBLE) AS fits, list_transform(o, lambda v: CASE WHEN v >= 0 THEN 0.125 ELSE -0.125 END) AS vec FROM y),
+z AS (SELECT id, n, o, list_min(o) AS low, (list_max(o) - list_min(o)) / 15 AS step FROM y), w AS (SELECT id, n, list_transform(o, lambda v: floor((v - low) / step + 0.5) * step + low) AS vec FROM z)"""
+_RABIT_DIST = "sqrt(greatest(q.n * q.n + e.n * e.n - 2 * q.n * e.n * greatest(-1, least(1, list_inner_product(q.vec, e.vec) / e.fits)), 0))"
+_LEVEL = "CASE WHEN v <= -0.125 THEN -0.19 WHEN v <= 0.0 THEN -0.06 WHEN v <= 0.125 THEN 0.06 ELSE 0.19 END"
+_TURBO = f"""{_U}, {_SCALED}, l AS (SELECT id, n, o, list_transform(o, lambda v: {_LEVEL}) AS vec FROM y),
+e AS (SELECT id, CAST(CAST(n AS FLOAT) AS DOUBLE) AS n, CAST(CAST(1 / list_inner_product(o, vec) AS FLOAT) AS DOUBLE) AS fix, vec FROM l)"""
+_TURBO_DIST = "greatest(q.n * q.n + e.n * e.n - 2 * q.n * e.n * list_inner_product(q.o, e.vec) * e.fix, 0)"
+_SIDES = "list_sum(list_transform(list_zip(q.vec, e.vec, m.vec), lambda p: CASE WHEN (p[1] >= p[3]) <> (p[2] >= p[3]) THEN 1.0 ELSE 0.0 END))"
+_RESIDUAL = f"""WITH {_A}, {_SIZES}, {_PROBE},
+d AS (SELECT p.id AS qid, e.id, {_SIDES} AS dist FROM probes AS p JOIN e AS q ON q.id = p.id JOIN a ON a.cell = p.cell AND a.rk = 1 JOIN e ON e.id = a.id JOIN m ON m.label = p.cell WHERE p.rk <= 2 OR p.before < {K}),
+r AS (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rk FROM d)
+SELECT qid, rk, id, round(dist, 6) + 0.0 AS distance FROM r WHERE rk <= {K}"""
+
 ORACLE_SQL = {
+    "pq_label_books": _knn(_REBUILT, _dist("l2"), queries="u"),
+    "bf16_codes": _knn(_ROUNDED, "CAST(CAST(" + _dist("l2") + " AS FLOAT) AS DOUBLE)", queries="u"),
+    "rabitq_plain": _knn(_RABITQ, _RABIT_DIST, queries="w"),
+    "turboquant_plain": _knn(_TURBO, _TURBO_DIST, queries="y"),
+    "turboquant_rebuilt": f"WITH {_TURBO} SELECT id, i - 1 AS place, round(vec[i] * (fix * n), 6) + 0.0 AS x FROM e, range(1, 65) AS t(i)",
+    "residual_signs": _RESIDUAL,
+    "vector_arithmetic": f"WITH {_E}, {_M} SELECT id, round(list_distance(e.vec, m.vec), 6) + 0.0 AS less, round(list_sum(list_transform(list_zip(e.vec, m.vec), lambda p: abs(p[1] + p[2]))), 6) + 0.0 AS plus FROM e JOIN m USING (label)",
+    "kmeans_fixed_point": "SELECT i - 1 AS place, CAST(count(*) AS BIGINT) AS n, TRUE AS fixed FROM embeddings, range(1, 65) AS t(i) GROUP BY i",
+    "synthetic_sources": "SELECT unnest(['gaussian', 'correlated', 'lowrank', 'cell']) AS family, 2000 AS n, 25 AS labels, TRUE AS sound",
     "flat_l2": _FLAT,
     "flat_l2_cogroup": _FLAT,
     "flat_cosine": _knn(_S, _dist("cos")),
@@ -502,4 +666,5 @@ r AS (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, i
     "events_profile": f"""WITH e AS (SELECT user_id AS id, [CAST(count(*) AS DOUBLE), round(avg(value), 4), round(max(value), 4)] AS vec FROM events GROUP BY user_id),
 d AS (SELECT q.id AS qid, e.id, {_dist('l1')} AS dist FROM e AS q, e WHERE q.id % 50 = 0),
 r AS (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rk FROM d) SELECT qid, rk, id, round(dist, 6) + 0.0 AS distance FROM r WHERE rk <= {K}""",
-} | dict.fromkeys(_FLAT_ALL, _FLAT)
+} | dict.fromkeys(_FLAT_ALL, _FLAT) | dict.fromkeys((*RECALL, "recall_knn_graph", "recall_nsg_from_knn", "recall_nndescent_edges"), _RECALLED)
+ORACLE_SQL["rerank_from_store"] = ORACLE_SQL["rerank_exact"]
