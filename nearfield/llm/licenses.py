@@ -202,7 +202,8 @@ def templates() -> list[tuple[str, int, str, int]]:
 
 
 def cue_pattern() -> str:
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(cues(), key=lambda w: (-len(w), w))) + ")(?![a-z0-9])"
+    """Cue words in any case; MIT in capitals only, for it is a common word of German prose, and alone it says nothing."""
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(cues() - {"mit"}, key=lambda w: (-len(w), w))) + "|(?-i:MIT))(?![a-z0-9])"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
