@@ -378,7 +378,7 @@ RECALL = {
     "recall_annoy": _recall(api.build_annoy_index),
     "recall_kd_forest": _recall(api.build_kd_tree_index),
     "recall_ball_tree": _recall(api.build_balltree_index, {"budget": 470}),
-    "recall_lsh": _recall(api.build_lsh_index, {"n_probe": 24}, num_tables=16, bits_per_hash=8),
+    "recall_lsh": _recall(api.build_lsh_index, {"n_probe": 6}, num_tables=16, bits_per_hash=4),
     "recall_hnsw": _recall(api.build_hnsw_index),
     "recall_nndescent": _recall(api.build_nndescent_index),
     "recall_vamana": _recall(api.build_vamana_index),
