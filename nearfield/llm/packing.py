@@ -103,7 +103,7 @@ class Packer:
         if left := tokens - start:
             self.waits.put((doc, start, left))
         if self.waits.tokens > self.buffer:
-            while self.waits.tokens > self.buffer // 2:
+            while self.waits.tokens > max(self.buffer // 2, self.tiers[-1]):  # enough for any window to be full
                 yield from self.full(*self.window())
 
     def window(self) -> tuple[int, list]:
