@@ -17,6 +17,7 @@ def same(a, b):
 
 
 EVERY = """bf16_rerank_all
+opq_rerank_all
 """.split()
 
 
