@@ -18,6 +18,7 @@ def same(a, b):
 
 EVERY = """bf16_rerank_all
 opq_rerank_all
+pq_rerank_all
 """.split()
 
 
