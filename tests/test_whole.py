@@ -19,6 +19,7 @@ def same(a, b):
 EVERY = """bf16_rerank_all
 opq_rerank_all
 pq_rerank_all
+turboquant_rerank_all
 """.split()
 
 
