@@ -32,6 +32,7 @@ def test_all_rows_are_scored_again_without_pairs(spark, name):
 
 
 BEAMS = """cagra
+hnsw
 """.split()
 
 
