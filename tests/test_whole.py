@@ -33,6 +33,7 @@ def test_all_rows_are_scored_again_without_pairs(spark, name):
 
 BEAMS = """cagra
 hnsw
+nsg
 """.split()
 
 
