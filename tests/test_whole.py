@@ -34,6 +34,7 @@ def test_all_rows_are_scored_again_without_pairs(spark, name):
 BEAMS = """cagra
 hnsw
 nsg
+rnn_descent
 """.split()
 
 
