@@ -35,6 +35,7 @@ BEAMS = """cagra
 hnsw
 nsg
 rnn_descent
+vamana
 """.split()
 
 
