@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from nearfield.operators import graphs
+from nearfield.operators import graphs, kmeans
 from nearfield.plans import queries as plans
 
 DATA = Path("/root/testdata/sf0.001")
@@ -53,3 +53,13 @@ def test_a_beam_as_wide_as_the_shard_meets_what_the_walk_meets(kind):
     want = graphs.merge_top(r, ids[at[r, c]], far[r, c], 7)
     got = graphs.merge_top(*graphs.whole_beam("euclidean", q, x, graph, seeds, ids, 7, {}), 7)
     assert all(np.allclose(a, b) for a, b in zip(got, want))
+
+
+def test_centroids_come_to_rest_within_the_rounds(spark):
+    """Plain rounds need 56 for these rows."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2_000, 8))
+    e = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, vec array<double>")
+    c = kmeans.train_centroids(e, 6, rounds=35)
+    own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    assert np.abs(np.stack([x[own == j].mean(0) for j in range(6)]) - c).max() < 1e-4
