@@ -70,8 +70,8 @@ def test_centroids_come_to_rest_within_the_rounds(spark):
 NARROW = {
     "recall_annoy": (api.build_annoy_index, {"n_trees": 3}, {"budget": 30}),
     "recall_ball_tree": (api.build_balltree_index, {}, {"budget": 30}),
-    "recall_binary_random": (api.build_exhaustive_index_binary, {"n_bits": 16}, {"rerank": True, "rerank_factor": 1}),
-    "recall_binary_pca": (api.build_exhaustive_index_binary, {"binary_init": "pca", "n_bits": 16}, {"rerank": True, "rerank_factor": 1}),
+    "recall_binary_random": (api.build_exhaustive_index_binary, {"metric": "euclidean", "n_bits": 16}, {"rerank": True, "rerank_factor": 1}),
+    "recall_binary_pca": (api.build_exhaustive_index_binary, {"metric": "euclidean", "binary_init": "pca", "n_bits": 16}, {"rerank": True, "rerank_factor": 1}),
     "recall_hnsw_shards": (api.build_hnsw_index, {"shard_rows": 100}, {"nprobe": 1}),
 }
 
