@@ -22,6 +22,7 @@ EVERY = """bf16_rerank_all
 opq_rerank_all
 pq_rerank_all
 turboquant_rerank_all
+ivf_pq_rerank_all
 """.split()
 
 
