@@ -23,6 +23,7 @@ opq_rerank_all
 pq_rerank_all
 turboquant_rerank_all
 ivf_pq_rerank_all
+rabitq_rerank_all
 """.split()
 
 
