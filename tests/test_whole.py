@@ -24,6 +24,7 @@ pq_rerank_all
 turboquant_rerank_all
 ivf_pq_rerank_all
 rabitq_rerank_all
+soar_pq_rerank_all
 """.split()
 
 
