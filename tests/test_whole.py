@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from nearfield import api
-from nearfield.operators import evaluate, graphs, kmeans
+from nearfield.operators import cells, evaluate, graphs, kmeans
 from nearfield.plans import queries as plans
 from nearfield.sources.tables import materialise
 
@@ -89,3 +89,18 @@ def test_widths_grow_until_nine_in_ten_are_found(spark, name):
     recalled = lambda how: plans.hits(index.query(asked, 10, **how), truth).where("recalled").count()
     assert recalled(params) < asked.count()
     assert recalled(evaluate.widened(index, 10, 0.9, **params)) == asked.count()
+
+
+SOME = """rerank_exact
+""".split()
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", SOME)
+def test_some_rows_are_scored_again_without_pairs(spark, name, monkeypatch):
+    """With few candidates held at once, so that there are many blocks of queries."""
+    want = plans.QUERIES[name](spark, str(DATA))
+    assert "Join" not in want._jdf.queryExecution().toString()
+    want = materialise(want)
+    monkeypatch.setattr(cells, "HELD", 700)
+    assert same(plans.QUERIES[name](spark, str(DATA)), want)
