@@ -92,6 +92,7 @@ def test_widths_grow_until_nine_in_ten_are_found(spark, name):
 
 
 SOME = """rerank_exact
+rerank_from_store
 """.split()
 
 
