@@ -150,3 +150,20 @@ def test_distances_of_lists_are_taken_in_small_blocks(monkeypatch):
     monkeypatch.setattr(graphs, "CACHED", 20_000, raising=False)
     monkeypatch.setattr(np, "einsum", lambda how, *a, **b: sizes.append(a[1].size) or plain(how, *a, **b))
     assert np.allclose(graphs.gathered("cosine", q, x, at), want) and max(sizes) <= 20_000
+
+
+CELLS = {
+    "recall_cagra": (api.build_nndescent_index_gpu, {"shard_rows": 100}, {"nprobe": 1}),
+}
+
+
+@pytest.mark.parametrize("name", CELLS)
+def test_cells_and_shards_grow_until_nine_in_ten_are_found(spark, name):
+    build, more, params = CELLS[name]
+    x = np.random.default_rng(4).standard_normal((400, 32))
+    e = materialise(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, vec array<double>"))
+    index, asked = build(e, **more), e.where("id % 50 = 0")
+    truth = api.build_exhaustive_index(e).query(asked, 10)
+    recalled = lambda how: plans.hits(index.query(asked, 10, **how), truth).where("recalled").count()
+    assert recalled(params) < asked.count()
+    assert recalled(evaluate.widened(index, 10, 0.9, **params)) == asked.count()
