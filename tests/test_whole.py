@@ -154,6 +154,7 @@ def test_distances_of_lists_are_taken_in_small_blocks(monkeypatch):
 
 CELLS = {
     "recall_cagra": (api.build_nndescent_index_gpu, {"shard_rows": 100}, {"nprobe": 1}),
+    "recall_ivf_balanced": (api.build_ivf_index, {"nlist": 16, "k_means_params": api.KMeansParams(balance=True, init="parallel")}, {"nprobe": 1}),
     "recall_ivf_binary": (api.build_ivf_index_binary, {"nlist": 16, "n_bits": 16}, {"nprobe": 4, "rerank": True, "rerank_factor": 1}),
     "recall_ivf_opq": (api.build_ivf_opq_index, {"nlist": 16, "m": 8, "n_opq_centroids": 16}, {"nprobe": 4, "rerank": True, "rerank_factor": 1}),
 }
