@@ -156,6 +156,7 @@ CELLS = {
     "recall_cagra": (api.build_nndescent_index_gpu, {"shard_rows": 100}, {"nprobe": 1}),
     "recall_ivf": (api.build_ivf_index, {"nlist": 16}, {"nprobe": 1}),
     "recall_ivf_balanced": (api.build_ivf_index, {"nlist": 16, "k_means_params": api.KMeansParams(balance=True, init="parallel")}, {"nprobe": 1}),
+    "recall_ivf_bf16": (api.build_ivf_bf16_index, {"nlist": 16}, {"nprobe": 1, "rerank": True, "rerank_factor": 1}),
     "recall_ivf_binary": (api.build_ivf_index_binary, {"nlist": 16, "n_bits": 16}, {"nprobe": 4, "rerank": True, "rerank_factor": 1}),
     "recall_ivf_opq": (api.build_ivf_opq_index, {"nlist": 16, "m": 8, "n_opq_centroids": 16}, {"nprobe": 4, "rerank": True, "rerank_factor": 1}),
 }
