@@ -159,6 +159,7 @@ CELLS = {
     "recall_ivf_bf16": (api.build_ivf_bf16_index, {"nlist": 16}, {"nprobe": 1, "rerank": True, "rerank_factor": 1}),
     "recall_ivf_binary": (api.build_ivf_index_binary, {"nlist": 16, "n_bits": 16}, {"nprobe": 4, "rerank": True, "rerank_factor": 1}),
     "recall_ivf_opq": (api.build_ivf_opq_index, {"nlist": 16, "m": 8, "n_opq_centroids": 16}, {"nprobe": 4, "rerank": True, "rerank_factor": 1}),
+    "recall_ivf_pq": (api.build_ivf_pq_index, {"nlist": 16, "m": 8, "n_pq_centroids": 16}, {"nprobe": 4, "rerank": True, "rerank_factor": 1}),
 }
 
 
