@@ -173,3 +173,21 @@ def test_cells_and_shards_grow_until_nine_in_ten_are_found(spark, name):
     recalled = lambda how: plans.hits(index.query(asked, 10, **how), truth).where("recalled").count()
     assert recalled(params) < asked.count()
     assert recalled(evaluate.widened(index, 10, 0.9, **params)) == asked.count()
+
+
+BETWEEN = {name: CELLS[name][:2] + (more,) for name, more in {
+    "recall_ivf": {"nprobe": 1},
+}.items()}
+
+
+@pytest.mark.parametrize("name", BETWEEN)
+def test_a_row_unlike_those_measured_asks_again(spark, tmp_path, name):
+    """Row 0 lies between sixteen far groups, so its neighbours are in more cells than any other row's."""
+    build, more, params = BETWEEN[name]
+    rng = np.random.default_rng(4)
+    x = np.repeat(np.eye(32)[:16] * 10, 25, axis=0)[rng.permutation(400)] + rng.standard_normal((400, 32))
+    x[0] = 0.6
+    e = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = plans._recall(build, params, **more)(spark, str(tmp_path)).collect()
+    assert sorted(r.qid for r in got) == list(range(0, 400, 50)) and all(r.recalled for r in got)
