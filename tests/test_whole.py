@@ -177,6 +177,7 @@ def test_cells_and_shards_grow_until_nine_in_ten_are_found(spark, name):
 
 BETWEEN = {name: CELLS[name][:2] + (more,) for name, more in {
     "recall_ivf": {"nprobe": 1},
+    "recall_ivf_balanced": {"nprobe": 1},
 }.items()}
 
 
