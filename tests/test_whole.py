@@ -179,6 +179,7 @@ BETWEEN = {name: CELLS[name][:2] + (more,) for name, more in {
     "recall_ivf": {"nprobe": 1},
     "recall_ivf_balanced": {"nprobe": 1},
     "recall_ivf_bf16": {"nprobe": 1, "rerank": True, "rerank_factor": 4},
+    "recall_ivf_binary": {"nprobe": 1, "rerank": True, "rerank_factor": 4},
 }.items()}
 
 
