@@ -180,6 +180,7 @@ BETWEEN = {name: CELLS[name][:2] + (more,) for name, more in {
     "recall_ivf_balanced": {"nprobe": 1},
     "recall_ivf_bf16": {"nprobe": 1, "rerank": True, "rerank_factor": 4},
     "recall_ivf_binary": {"nprobe": 1, "rerank": True, "rerank_factor": 4},
+    "recall_ivf_pq": {"nprobe": 1, "rerank": True, "rerank_factor": 4},
 }.items()}
 
 
@@ -194,3 +195,26 @@ def test_a_row_unlike_those_measured_asks_again(spark, tmp_path, name):
     e.write.parquet(f"{tmp_path}/embeddings.parquet")
     got = plans._recall(build, params, **more)(spark, str(tmp_path)).collect()
     assert sorted(r.qid for r in got) == list(range(0, 400, 50)) and all(r.recalled for r in got)
+
+
+RESIDUAL = {
+    "recall_ivf_pq": (api.build_ivf_pq_index, {"m": 8, "n_pq_centroids": 16}),
+}
+
+
+@pytest.mark.parametrize("name", RESIDUAL)
+def test_rows_of_all_cells_are_scored_again_without_pairs(spark, name):
+    """Codes of residuals, 40 candidates a query."""
+    build, more = RESIDUAL[name]
+    x = np.random.default_rng(4).standard_normal((400, 32))
+    e = materialise(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, vec array<double>"))
+    index = build(e, nlist=16, **more)
+    found = index.query(e, 10, nprobe=16, rerank=True, rerank_factor=4)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    codes, got = {}, {}
+    for r in index.query(e, 40, nprobe=16).collect():
+        codes.setdefault(r.qid, []).append(r.id)
+    for r in found.orderBy("rk").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    for q, ids in codes.items():
+        assert got[q] == sorted(ids, key=lambda i: (((x[i] - x[q]) ** 2).sum(), i))[:10]
