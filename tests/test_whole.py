@@ -180,6 +180,7 @@ BETWEEN = {name: CELLS[name][:2] + (more,) for name, more in {
     "recall_ivf_balanced": {"nprobe": 1},
     "recall_ivf_bf16": {"nprobe": 1, "rerank": True, "rerank_factor": 4},
     "recall_ivf_binary": {"nprobe": 1, "rerank": True, "rerank_factor": 4},
+    "recall_ivf_opq": {"nprobe": 1, "rerank": True, "rerank_factor": 4},
     "recall_ivf_pq": {"nprobe": 1, "rerank": True, "rerank_factor": 4},
 }.items()}
 
@@ -198,6 +199,7 @@ def test_a_row_unlike_those_measured_asks_again(spark, tmp_path, name):
 
 
 RESIDUAL = {
+    "recall_ivf_opq": (api.build_ivf_opq_index, {"m": 8, "n_opq_centroids": 16}),
     "recall_ivf_pq": (api.build_ivf_pq_index, {"m": 8, "n_pq_centroids": 16}),
 }
 
